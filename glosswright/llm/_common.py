@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
-#: Bytes of text handed to Python code at once, however long the batch is.
-SLICE_ROWS = 512
+#: Rows of an Arrow batch, and rows handed to Python code at once.
+BATCH_ROWS, SLICE_ROWS = 1024, 512
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """df, after limiting the rows of an Arrow batch, so that long texts fit in a worker."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
+        conf.set(name, BATCH_ROWS)
+    return df
+
+
 def arrow_map(
     df: DataFrame,
     fn: Callable[[dict[str, list]], dict[str, Sequence]],
@@ -82,7 +91,7 @@ def arrow_map(
                     [pa.array(out[f.name], type=f.type) for f in arrow_schema], schema=arrow_schema
                 )
 
-    return df.mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(run, schema)
 
 
 def arrow_filter(
@@ -100,4 +109,4 @@ def arrow_filter(
                 texts = [(t or "").encode() for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(keep(texts), type=pa.bool_()))
 
-    return df.mapInArrow(run, df.schema)
+    return bounded_batches(df).mapInArrow(run, df.schema)

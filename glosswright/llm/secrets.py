@@ -22,7 +22,7 @@ from bisect import bisect_left, bisect_right
 
 from pyspark.sql import DataFrame
 
-from glosswright.llm._common import arrow_map, utf8
+from glosswright.llm._common import arrow_map, bounded_batches, utf8
 
 #: Characters between linked parts at most.
 REACH = 400
@@ -158,4 +158,4 @@ def redact(docs: DataFrame, mask: str = "[SECRET]") -> DataFrame:
                 texts.append(t if t is None else "".join([*out, t[last:]]))
             yield batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
