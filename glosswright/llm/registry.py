@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glosswright.llm import bpe, chat, decontaminate, exact_dedup, license_scan, secrets, url_filter
+from glosswright.llm import bpe, chat, decontaminate, exact_dedup, license_scan, ngram_join, secrets, url_filter
 from glosswright.llm._common import table
 
 
@@ -18,6 +18,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
 
+def op4_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.classes(table(spark, sf_dir, "documents"), n=3, percent=90)
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_chat_format,
         op3_secret_scan,
+        op4_ngram_jaccard,
         op5_exact_dedup,
         op7_license_scan,
         op8_decontaminate,
@@ -54,6 +59,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_chat_format": chat.ORACLE_SQL,
+        "op4_ngram_jaccard": ngram_join.ORACLE_SQL,
         "op5_exact_dedup": exact_dedup.ORACLE_SQL,
         "op8_decontaminate": decontaminate.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
