@@ -16,8 +16,9 @@ documents can share because of a common passage, are the ones left out.
 Product. Documents that share a signature meet. Equal sets are one node from the
 start, and only members of different components need comparing. First each signature's
 smallest member is multiplied with all others. Where components remain apart, small
-groups compare what is left across components, and large groups take a few
-pivots after others until no two components are uncompared. Overlaps are counted exactly on the
+groups compare what is left across components, and the members of large groups are
+grouped anew by rare shingles, with exact frequencies. Groups that are large even then
+take a few pivots after others until no two components are uncompared. Overlaps are counted exactly on the
 full sets, pairs below the bound are discarded. No link between components is missed,
 and no group's pairs are listed in full.
 
@@ -40,7 +41,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswright.llm._common import SLICE_ROWS, bounded_batches, materialize, utf8
@@ -49,9 +50,9 @@ from glosswright.llm._components import components
 #: More column blocks than k + 1, as a share of k + 1.
 SLACK = 0.3
 #: Groups up to this size compare all that is left at once.
-SMALL_GROUP = 64
-#: Members of a large group that meet all others in one round.
-PIVOTS = 32
+SMALL_GROUP = 8
+#: Members of a large group that meet all others in one round: of its largest and of its smallest components.
+PIVOTS = (16, 112)
 #: Id lists up to this many rows (24 bytes each) are broadcast, longer ones are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -236,27 +237,25 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, small_group: int = S
     verify = _Verifier(docs, nodes, n, percent)
     links = verify(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     labels = components(links)
-    used = groups.filter(F.col("size") > small_group).select("sig", F.col("pivot").alias("node"))
-    first = True
+
+    apart = materialize(_apart(members.withColumn("small", F.lit(True)), labels), "join-apart")
+    pairs = _across(apart.filter((F.col("size") <= small_group) & (F.col("node") != F.col("pivot"))))
+    refined = _refined(verify.sets, apart.filter(F.col("size") > small_group), percent)
+    pairs = pairs.unionByName(_across(_apart(refined.filter(F.col("size") <= small_group), labels)))
+    large = refined.filter(F.col("size") > small_group).select("sig", "node", "small")
+    # each node's groups, so that a pair is listed in the first group it shares only
+    shared = materialize(large.groupBy("node").agg(F.collect_set("sig").alias("sigs")), "join-shared")
+    used = large.limit(0).select("sig", "node")
     while True:
-        labelled = members.join(labels, "node", "left").select("sig", "node", "pivot", "size", F.coalesce("label", "node").alias("label"))
-        apart = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high").select("sig")
-        open_members = materialize(labelled.join(apart, "sig"), "join-open")
-        large = open_members.filter(F.col("size") > small_group)
-        pairs, pivots = _next_pivots(large, used)
-        if first:
-            pairs = pairs.unionByName(_across(open_members.filter(F.col("size") <= small_group)))
-            first = False
-        pairs = materialize(pairs.distinct(), "join-pairs")
-        if pairs.isEmpty():
-            break
-        used = materialize(used.unionByName(pivots), "join-used")
-        found = verify(pairs)
-        if not found.isEmpty():
+        more, pivots = _next_pivots(_apart(large, labels), shared, used)
+        pairs = materialize(pairs.unionByName(more).distinct(), "join-pairs")
+        if not pairs.isEmpty() and not (found := verify(pairs)).isEmpty():
             links = links.unionByName(found)
             labels = components(links)
-        elif large.isEmpty():
+        if pivots.isEmpty():
             break
+        used = materialize(used.unionByName(pivots), "join-used")
+        pairs = pairs.limit(0)
 
     known = sets.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component_id"))
     out = rows.drop("sigs").join(known, ["k1", "k2"], "left")
@@ -264,28 +263,84 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, small_group: int = S
     return out.select("doc_id", "n_shingles", own.alias("component_id"))
 
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of one small group in different components; the pivot's are known already."""
-    rest = members.filter("node <> pivot")
-    left = rest.select("sig", F.col("node").alias("a"), F.col("label").alias("label_a"))
-    right = rest.select("sig", F.col("node").alias("b"), F.col("label").alias("label_b"))
-    return left.join(right, "sig").filter("a < b and label_a <> label_b").select("a", "b")
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with labels, of groups that hold more than one component."""
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return labelled.join(mixed.select("sig"), "sig")
 
 
-def _next_pivots(members: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of each large group's next pivots, and the pivots as (sig, node).
+def _across(members: DataFrame) -> DataFrame:
+    """Pairs of one small group that are in different components."""
+    left = members.select("sig", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("small").alias("small_a"))
+    right = members.select("sig", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("small").alias("small_b"))
+    both = left.join(right, "sig").filter("a < b and label_a <> label_b and (small_a or small_b)")
+    return both.select("a", "b")
+
+
+def _refined(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
+    """Groups of the members of large groups by single rare shingles: sig, node, size, small.
+
+    Large groups that stay apart are mostly documents that share a passage. Among these
+    documents exact frequencies are affordable, so the rows of their incidence matrix
+    are cut to prefixes: ordered from rare to frequent, the first size - bound + 1
+    shingles of two linked sets have one in common. A passage comes last in this order.
+    The smaller set of a pair has the higher bound and the shorter prefix, so a pair has
+    a member that holds the shingle in its short prefix; small tells which do.
+    """
 
-    The next pivots are unused members of the group's largest components, which are the
-    likeliest to reach the rest. Members that were pivots have met everyone.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [np.frombuffer(g, np.int64) for g in batch.column(1).to_pylist()]
+            sizes = np.array([len(g) for g in grams])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)),
+                    pa.array(np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes)),
+                    pa.array(np.repeat(sizes - -(-sizes * 2 * percent // (100 + percent)) + 1, sizes)),
+                    pa.array(np.concatenate(grams) if grams else np.empty(0, np.int64)),
+                ],
+                names=["node", "prefix", "short", "sig"],
+            )
+
+    nodes = members.select("node").distinct()
+    rows = bounded_batches(sets.join(nodes, "node", "left_semi").select("node", "grams"))
+    postings = materialize(rows.mapInArrow(run, "node long, prefix long, short long, sig long"), "join-postings")
+    counts = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    rarest = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "sig")
+    kept = postings.join(counts, "sig", "left").withColumn("place", F.row_number().over(rarest))
+    kept = kept.filter("place <= prefix and n > 1").groupBy("sig", "node").agg(F.max(F.expr("place <= short")).alias("small"))
+    kept = materialize(kept, "join-prefixes")
+    sizes = kept.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.max("small").alias("any")).filter("size > 1 and any").drop("any")
+    return materialize(kept.join(sizes, "sig"), "join-refined")
+
+
+def _next_pivots(members: DataFrame, shared: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The pairs of each group's next pivots, and the pivots as (sig, node).
+
+    The next pivots are members of the group's largest components, which are the
+    likeliest to reach the rest, and of its smallest, which are the rest. Members that
+    were pivots have met everyone; a group is done when the others are one component.
     """
-    open_ = members.join(used, ["sig", "node"], "left_anti").select("sig", "node", "label")
+    members = members.join(used, ["sig", "node"], "left_anti")
+    mixed = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("small").alias("any"))
+    members = members.join(mixed.filter("low < high and any").select("sig"), "sig").join(shared, "node")
+    members = materialize(members.select("sig", "node", "label", "small", "sigs"), "join-open")
     sizes = members.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("held"))
-    # Spark cuts this ranking to PIVOTS rows of a group before its shuffle
-    order = Window.partitionBy("sig").orderBy(F.desc("held"), "node")
-    best = open_.join(sizes, ["sig", "label"]).withColumn("place", F.row_number().over(order)).filter(F.col("place") <= PIVOTS)
-    best = materialize(best.select("sig", F.col("node").alias("a"), F.col("label").alias("label_a")), "join-pivots")
-    pairs = open_.join(best, "sig").filter("node <> a and label <> label_a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    return pairs, best.select("sig", F.col("a").alias("node"))
+    ranked = members.join(sizes, ["sig", "label"])
+
+    def first(held: Column, n: int) -> DataFrame:
+        # Spark cuts this ranking to the wanted rows of a group before its shuffle
+        place = F.row_number().over(Window.partitionBy("sig").orderBy(held, "node"))
+        return ranked.withColumn("place", place).filter(F.col("place") <= n).select("sig", "node", "label", "small", "sigs")
+
+    best = materialize(first(F.desc("held"), PIVOTS[0]).unionByName(first(F.asc("held"), PIVOTS[1])).distinct(), "join-pivots")
+    a, b = best.alias("a"), members.alias("b")
+    once = F.array_min(F.array_intersect("a.sigs", "b.sigs")) == F.col("a.sig")
+    small = F.col("a.small") | F.col("b.small")
+    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") != F.col("b.label")) & small & once)
+    pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
+    return pairs, best.select("sig", "node")
 
 
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
