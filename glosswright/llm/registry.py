@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glosswright.llm import bpe, chat, decontaminate, exact_dedup, license_scan, ngram_join, secrets, url_filter
+from glosswright.llm import bpe, chat, decontaminate, exact_dedup, license_scan, ngram_join, quality, secrets, toxicity, url_filter
 from glosswright.llm._common import table
 
 
@@ -14,6 +14,10 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.report(chat.with_probe(table(spark, sf_dir, "conversations")))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.report(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents"))
 
@@ -26,6 +30,10 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.report(table(spark, sf_dir, "documents"))
 
@@ -45,9 +53,11 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_chat_format,
+        op2_quality,
         op3_secret_scan,
         op4_ngram_jaccard,
         op5_exact_dedup,
+        op6_toxicity,
         op7_license_scan,
         op8_decontaminate,
         op9_url_filter,
