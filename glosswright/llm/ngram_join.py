@@ -18,7 +18,8 @@ start, and only members of different components need comparing. First each signa
 smallest member is multiplied with all others. Where components remain apart, small
 groups compare what is left across components, and the members of large groups are
 grouped anew by rare shingles, with exact frequencies. Groups that are large even then
-take a few pivots after others until no two components are uncompared. Overlaps are counted exactly on the
+take a few pivots after others until no two components are uncompared; there, counts by
+column block bound the overlap from above, and pairs below the bound aren't even listed. Overlaps are counted exactly on the
 full sets, pairs below the bound are discarded. No link between components is missed,
 and no group's pairs are listed in full.
 
@@ -53,6 +54,8 @@ SLACK = 0.3
 SMALL_GROUP = 8
 #: Members of a large group that meet all others in one round: of its largest and of its smallest components.
 PIVOTS = (16, 112)
+#: Column blocks of a sketch, which bounds the overlap before a pair is listed.
+SKETCH = 256
 #: Id lists up to this many rows (24 bytes each) are broadcast, longer ones are shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -244,10 +247,11 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, small_group: int = S
     pairs = pairs.unionByName(_across(_apart(refined.filter(F.col("size") <= small_group), labels)))
     large = refined.filter(F.col("size") > small_group).select("sig", "node", "small")
     # each node's groups, so that a pair is listed in the first group it shares only
-    shared = materialize(large.groupBy("node").agg(F.collect_set("sig").alias("sigs")), "join-shared")
+    shared = large.groupBy("node").agg(F.collect_set("sig").alias("sigs"))
+    shared = materialize(shared.join(_sketches(verify.sets), "node"), "join-shared")
     used = large.limit(0).select("sig", "node")
     while True:
-        more, pivots = _next_pivots(_apart(large, labels), shared, used)
+        more, pivots = _next_pivots(_apart(large, labels), shared, used, percent)
         pairs = materialize(pairs.unionByName(more).distinct(), "join-pairs")
         if not pairs.isEmpty() and not (found := verify(pairs)).isEmpty():
             links = links.unionByName(found)
@@ -315,7 +319,31 @@ def _refined(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return materialize(kept.join(sizes, "sig"), "join-refined")
 
 
-def _next_pivots(members: DataFrame, shared: DataFrame, used: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _sketches(sets: DataFrame) -> DataFrame:
+    """node, held, sketch: a set's size and its counts by SKETCH blocks of the columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            grams = [np.frombuffer(g, np.uint64) for g in batch.column(1).to_pylist()]
+            counts = [np.bincount((g % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.int32) for g in grams]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(g) for g in grams], pa.int64()), pa.array(counts, pa.list_(pa.int32()))],
+                names=["node", "held", "sketch"],
+            )
+
+    return bounded_batches(sets).mapInArrow(run, "node long, held long, sketch array<int>")
+
+
+def _can_link(percent: int) -> Column:
+    """Whether the sketches of a and b leave the bound within reach.
+
+    The sets differ by at least as many shingles as their counts by block do.
+    """
+    apart = F.aggregate(F.zip_with("a.sketch", "b.sketch", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    return apart * (100 + percent) <= (100 - percent) * (F.col("a.held") + F.col("b.held"))
+
+
+def _next_pivots(members: DataFrame, shared: DataFrame, used: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The pairs of each group's next pivots, and the pivots as (sig, node).
 
     The next pivots are members of the group's largest components, which are the
@@ -325,20 +353,20 @@ def _next_pivots(members: DataFrame, shared: DataFrame, used: DataFrame) -> tupl
     members = members.join(used, ["sig", "node"], "left_anti")
     mixed = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("small").alias("any"))
     members = members.join(mixed.filter("low < high and any").select("sig"), "sig").join(shared, "node")
-    members = materialize(members.select("sig", "node", "label", "small", "sigs"), "join-open")
-    sizes = members.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("held"))
+    members = materialize(members.select("sig", "node", "label", "small", "sigs", "held", "sketch"), "join-open")
+    sizes = members.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("mates"))
     ranked = members.join(sizes, ["sig", "label"])
 
-    def first(held: Column, n: int) -> DataFrame:
+    def first(mates: Column, n: int) -> DataFrame:
         # Spark cuts this ranking to the wanted rows of a group before its shuffle
-        place = F.row_number().over(Window.partitionBy("sig").orderBy(held, "node"))
-        return ranked.withColumn("place", place).filter(F.col("place") <= n).select("sig", "node", "label", "small", "sigs")
+        place = F.row_number().over(Window.partitionBy("sig").orderBy(mates, "node"))
+        return ranked.withColumn("place", place).filter(F.col("place") <= n).select("sig", "node", "label", "small", "sigs", "held", "sketch")
 
-    best = materialize(first(F.desc("held"), PIVOTS[0]).unionByName(first(F.asc("held"), PIVOTS[1])).distinct(), "join-pivots")
+    best = materialize(first(F.desc("mates"), PIVOTS[0]).unionByName(first(F.asc("mates"), PIVOTS[1])).dropDuplicates(["sig", "node"]), "join-pivots")
     a, b = best.alias("a"), members.alias("b")
     once = F.array_min(F.array_intersect("a.sigs", "b.sigs")) == F.col("a.sig")
     small = F.col("a.small") | F.col("b.small")
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") != F.col("b.label")) & small & once)
+    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") != F.col("b.label")) & small & once & _can_link(percent))
     pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
     return pairs, best.select("sig", "node")
 
