@@ -12,8 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswright.functions import guards
-from glosswright.functions.text import SPACE, clause_start, first_span, folded, scope_start, slice_text, spaced, tail, version
-from glosswright.plans.ir import Plan, RulePlan
+from glosswright.functions.text import SPACE, clause_start, first_span, folded, let, scope_start, slice_text, spaced, tail, version
+from glosswright.plans.ir import Candidate, Plan, RulePlan
 
 PROPOSAL = (
     "struct<score:double,rule_id:string,start:int,stop:int,op:string,candidate_index:int,payload:string,"
@@ -30,8 +30,8 @@ def _anchor(rule: RulePlan, view: Column) -> Column:
     """Each phrase's first occurrence; of these the one that ends last, then starts first."""
     found = F.array(*(first_span(view, p, o) for p, o in rule.anchors))
     keyed = F.transform(F.filter(found, lambda s: s.isNotNull()), lambda s: F.struct(s["stop"].alias("stop"), (-s["start"]).alias("minus")))
-    best = F.array_max(keyed)
-    return F.when(best.isNotNull(), F.struct((-best["minus"]).alias("start"), best["stop"].alias("stop")))
+    span = lambda best: F.when(best.isNotNull(), F.struct((-best["minus"]).alias("start"), best["stop"].alias("stop")))
+    return let(F.array_max(keyed), span)
 
 
 def _close(text: Column, depth: Column) -> Column:
@@ -93,74 +93,84 @@ def _after_text(text: Column, span: Column, candidate: str) -> Column:
     )
 
 
+def _edits(rule: RulePlan, text: Column, span: Column) -> Column:
+    """The rule's proposals for one span."""
+
+    def edit(k: int, c: Candidate) -> Column:
+        raw = _after_text(text, span, c.text) if rule.kind == "after" else F.lit(c.text)
+
+        def made(payload: Column) -> Column:
+            changed = folded(slice_text(text, span["start"], span["stop"])) != folded(payload)
+            score = -(F.length(text) - (span["stop"] - span["start"]) + F.length(payload)).cast("double")
+            struct = F.struct(
+                score.alias("score"), F.lit(rule.rule_id).alias("rule_id"), span["start"].alias("start"), span["stop"].alias("stop"),
+                F.lit("replace").alias("op"), F.lit(k).alias("candidate_index"), payload.alias("payload"),
+                F.lit(c.candidate_id).alias("candidate_id"), F.lit(c.kind).alias("kind"), F.lit(c.label).alias("label"),
+                F.lit(rule.name).alias("rule_name"),
+            )
+            return F.when(changed, struct)
+
+        return let(let(raw, lambda r: spaced(text, span["start"], span["stop"], r)), made)
+
+    ordered = sorted(rule.candidates, key=lambda c: (-c.priority, c.label, c.text))
+    return F.filter(F.array(*(edit(k, c) for k, c in enumerate(ordered))), lambda p: p.isNotNull())
+
+
+def _outcome(rule: RulePlan, text: Column, prompt: Column, tick: Column) -> Column:
+    """struct(edits, reason) of one rule. Each intermediate value is bound once by let."""
+    kind = f"struct<edits:array<{PROPOSAL}>,reason:string>"
+    no = lambda reason: F.struct(_none(PROPOSAL).alias("edits"), F.lit(reason).cast("string").alias("reason")).cast(kind)
+
+    def made(span: Column, low: Column, edit_low: Column, view: Column) -> Column:
+        if not rule.candidates:
+            return no("no candidates")
+        touching = F.lit(True)
+        if rule.kind == "avoid" and rule.guard is not None:
+            touching = guards.touches(rule.guard, view, span["start"] - low, span["stop"] - low)
+        texts = [c.text for c in rule.candidates if c.text]
+        shown = folded(tail(text, edit_low))
+        satisfied = let(shown, lambda t: F.exists(F.array(*(folded(F.lit(c)) for c in texts)), lambda c: F.contains(t, c))) if texts else F.lit(False)
+        done = let(_edits(rule, text, span), lambda e: F.struct(e.alias("edits"), F.when(F.size(e) == 0, "already fired").alias("reason")).cast(kind))
+        return F.when(~touching, no("insufficient overlap actionability")).when(satisfied, no("already_satisfied")).otherwise(done)
+
+    def bracketed(span: Column, anchor: Column) -> Column:
+        if rule.kind == "after" and rule.wait_for_closing and rule.candidates:
+            return F.when(F.rlike(text, F.lit(r"[()]")), _after_brackets(text, span, anchor)).otherwise(span)
+        return span
+
+    def placed(low: Column, edit_low: Column, view: Column) -> Column:
+        end = F.length(text)
+        point = lambda a, b: F.struct(a.cast("int").alias("start"), b.cast("int").alias("stop"))
+        if rule.target == "scope_entire":
+            return let(point(edit_low, end), lambda s: made(s, low, edit_low, view))
+
+        def at(local: Column) -> Column:
+            a = point(local["start"] + low, local["stop"] + low)
+            return F.when(local.isNull(), no("no target span")).otherwise(let(a, anchored))
+
+        def anchored(a: Column) -> Column:
+            clause = clause_start(text, a["start"], edit_low)
+            start = {"match_span": a["start"], "after_anchor": a["stop"], "anchor_clause": clause}[rule.target]
+            span = point(F.greatest(start, edit_low), a["stop"] if rule.target == "match_span" else end)
+            seen = (a["stop"] > edit_low) & (a["start"] < end)
+            found = let(let(span, lambda s: bracketed(s, a)), lambda s: F.when(s.isNull(), no("waiting_for_closing_parenthesis")).otherwise(made(s, low, edit_low, view)))
+            return F.when(seen, found).otherwise(no("no target span"))
+
+        return let(_anchor(rule, view), at)
+
+    def guarded(low: Column) -> Column:
+        def seen(view: Column) -> Column:
+            inner = placed(low, low, view) if rule.edit_scope == rule.scope else let(scope_start(text, rule.edit_scope), lambda e: placed(low, e, view))
+            return F.when(guards.matches(rule.guard, view, prompt), inner).otherwise(no("guard failed"))
+
+        return let(tail(text, low), seen)
+
+    return F.when(tick < rule.skip_tokens, no("skipped")).otherwise(let(scope_start(text, rule.scope), guarded))
+
+
 def _with_rule(df: DataFrame, rule: RulePlan, i: int) -> DataFrame:
-    """Adds r<i>, the rule's edits, and n<i>, why it makes none."""
-    text, prompt = F.col("text"), F.col("prompt_text")
-    df = df.withColumn("_g", scope_start(text, rule.scope)).withColumn("_e", scope_start(text, rule.edit_scope))
-    view = tail(text, F.col("_g"))
-    df = df.withColumn("_ok", guards.matches(rule.guard, view, prompt))
-    end = F.length(text)
-    nothing = F.lit(None).cast("struct<start:int,stop:int>")
-    if rule.target == "scope_entire":
-        df = df.withColumn("_a", nothing).withColumn("_s", F.struct(F.col("_e").cast("int").alias("start"), end.alias("stop")))
-    else:
-        local = _anchor(rule, view)
-        df = df.withColumn("_l", F.when(F.col("_ok"), local))
-        shifted = F.struct((F.col("_l.start") + F.col("_g")).cast("int").alias("start"), (F.col("_l.stop") + F.col("_g")).cast("int").alias("stop"))
-        df = df.withColumn("_a", F.when(F.col("_l").isNotNull(), shifted))
-        a, e = F.col("_a"), F.col("_e")
-        start = {
-            "match_span": a["start"],
-            "after_anchor": a["stop"],
-            "anchor_clause": clause_start(text, a["start"], e),
-        }[rule.target]
-        stop = a["stop"] if rule.target == "match_span" else end
-        seen = a.isNotNull() & (a["stop"] > e) & (a["start"] < end)
-        df = df.withColumn("_s", F.when(seen, F.struct(F.greatest(start, e).cast("int").alias("start"), stop.cast("int").alias("stop"))))
-    df = df.withColumn("_t", F.col("_s"))
-    if rule.kind == "after" and rule.wait_for_closing and rule.candidates:
-        brackets = F.rlike(text, F.lit(r"[()]"))
-        df = df.withColumn("_t", F.when(brackets, _after_brackets(text, F.col("_s"), F.col("_a"))).otherwise(F.col("_s")))
-    touching = F.lit(True)
-    if rule.kind == "avoid" and rule.guard is not None:
-        touching = guards.touches(rule.guard, view, F.col("_t.start") - F.col("_g"), F.col("_t.stop") - F.col("_g"))
-    edited = folded(tail(text, F.col("_e")))
-    satisfied = F.lit(False)
-    for c in rule.candidates:
-        satisfied = satisfied | (F.contains(edited, folded(F.lit(c.text))) if c.text else F.lit(False))
-    reason = (
-        F.when(F.col("tick") < rule.skip_tokens, "skipped")
-        .when(~F.col("_ok"), "guard failed")
-        .when(F.col("_s").isNull(), "no target span")
-        .when(F.col("_t").isNull(), "waiting_for_closing_parenthesis")
-        .when(~touching, "insufficient overlap actionability")
-        .when(F.lit(not rule.candidates), "no candidates")
-        .when(satisfied, "already_satisfied")
-    )
-    df = df.withColumn("_r", reason)
-    s = F.col("_t")
-    edits = []
-    for k, c in enumerate(sorted(rule.candidates, key=lambda c: (-c.priority, c.label, c.text))):
-        raw = _after_text(text, s, c.text) if rule.kind == "after" else F.lit(c.text)
-        payload = spaced(text, s["start"], s["stop"], raw)
-        changed = folded(slice_text(text, s["start"], s["stop"])) != folded(payload)
-        score = -(end - (s["stop"] - s["start"]) + F.length(payload)).cast("double")
-        edits.append(
-            F.when(
-                changed,
-                F.struct(
-                    score.alias("score"), F.lit(rule.rule_id).alias("rule_id"), s["start"].alias("start"), s["stop"].alias("stop"),
-                    F.lit("replace").alias("op"), F.lit(k).alias("candidate_index"), payload.alias("payload"),
-                    F.lit(c.candidate_id).alias("candidate_id"), F.lit(c.kind).alias("kind"), F.lit(c.label).alias("label"),
-                    F.lit(rule.name).alias("rule_name"),
-                ),
-            )
-        )
-    made = F.filter(F.array(*edits), lambda p: p.isNotNull()).cast(f"array<{PROPOSAL}>") if edits else _none(PROPOSAL)
-    df = df.withColumn(f"r{i}", F.when(F.col("_r").isNull(), made).otherwise(_none(PROPOSAL)))
-    why = F.coalesce("_r", F.when(F.size(f"r{i}") == 0, "already fired"))
-    note = F.struct(F.lit(rule.rule_id).alias("rule_id"), why.alias("reason"))
-    return df.withColumn(f"n{i}", note).drop("_g", "_e", "_ok", "_l", "_a", "_s", "_t", "_r")
+    """Adds r<i>, the rule's edits and why it makes none."""
+    return df.withColumn(f"r{i}", _outcome(rule, F.col("text"), F.col("prompt_text"), F.col("tick")))
 
 
 def propose(documents: DataFrame, plan: Plan) -> DataFrame:
@@ -175,12 +185,13 @@ def propose(documents: DataFrame, plan: Plan) -> DataFrame:
     for i, rule in enumerate(plan.rules):
         df = _with_rule(df, rule, i)
     n = range(len(plan.rules))
-    every = F.concat(*(F.col(f"r{i}") for i in n)) if plan.rules else _none(PROPOSAL)
-    notes = F.filter(F.array(*(F.col(f"n{i}") for i in n)), lambda x: x["reason"].isNotNull()) if plan.rules else _none(NOTE)
+    every = F.concat(*(F.col(f"r{i}.edits") for i in n)) if plan.rules else _none(PROPOSAL)
+    why = F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"r{i}.reason").alias("reason")) for i, r in enumerate(plan.rules)))
+    notes = F.filter(why, lambda x: x["reason"].isNotNull()) if plan.rules else _none(NOTE)
     df = df.withColumn("_all", every).withColumn("notes", notes)
     lowest = F.array_min(F.transform("_all", lambda p: p["start"]))
     df = df.withColumn("_low", lowest).withColumn("proposals", F.filter("_all", lambda p: p["start"] == F.col("_low")))
-    return df.drop("_all", "_low", *(f"{c}{i}" for c in "rn" for i in n))
+    return df.drop("_all", "_low", *(f"r{i}" for i in n))
 
 
 def overlaps(a: Column, b: Column) -> Column:

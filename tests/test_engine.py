@@ -94,10 +94,11 @@ def test_trees_agree(spark):
     texts = ["".join(rng.choice("abcd ") for _ in range(rng.randrange(9))) for _ in range(60)]
     df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
     nodes = [tree(2) for _ in range(12)]
-    cols = [F.struct(guards.locate(n, F.col("text")).matched.alias("m"), guards.locate(n, F.col("text")).spans.alias("s"), guards.touches(n, F.col("text"), F.lit(1), F.lit(3)).alias("t")) for n in nodes]
+    cols = [F.struct(guards.matches(n, F.col("text")).alias("h"), guards.locate(n, F.col("text")).matched.alias("m"), guards.locate(n, F.col("text")).spans.alias("s"), guards.touches(n, F.col("text"), F.lit(1), F.lit(3)).alias("t")) for n in nodes]
     for r in df.select("text", F.array(*cols).alias("found")).collect():
         for n, f in zip(nodes, r.found, strict=True):
             ok, spans = rows.spans(n, r.text)
+            assert f.h == ok, (n, r.text)
             assert (f.m, [tuple(s) for s in f.s]) == (ok, spans), (n, r.text)
             assert f.t == rows.touches(rows._pruned(n), r.text, (1, 3)), (n, r.text)
 
