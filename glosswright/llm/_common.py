@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glosswright.sources.storage import materialize, shared_dir
+
+__all__ = ["arrow_filter", "arrow_map", "ascii_lower", "bounded_batches", "materialize", "shared_dir", "table", "utf8"]
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Rows of an Arrow batch, and rows handed to Python code at once.
@@ -32,36 +32,6 @@ def utf8(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
-_local_dir: list[str] = []
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir).
-
-    Only a local-mode session may go without that setting: it then gets a
-    temporary folder, which is removed when the process ends.
-    """
-    if folder := spark.conf.get("spark.checkpoint.dir", None):
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if not _local_dir:
-        _local_dir.append(tempfile.mkdtemp(prefix="glosswright-"))
-        atexit.register(shutil.rmtree, _local_dir[0], ignore_errors=True)
-    return _local_dir[0]
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Writes df once to the shared folder and returns the table read back.
-
-    This cuts the lineage: a lost executor costs the tasks it was running, never
-    the steps that led here.
-    """
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, after limiting the rows of an Arrow batch, so that long texts fit in a worker."""
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
