@@ -7,10 +7,10 @@ to 64 bits. Pairs count whose overlap reaches the size-derived bound
 
 Column blocks. The bound limits how many shingles two linked sets can differ by, to k
 for all sets of a size class. The columns are dealt into m > k blocks; then linked sets
-agree on m - k blocks at least. Of its m blocks a document keeps the k + 1 with most
-shingles (ties by content), so two linked sets still keep an equal block in common:
-both rank their equal blocks alike, and above the best of these stand unequal ones
-only, at most k. A kept block's content is its signature. Blocks with few shingles, which unrelated
+agree on m - k blocks at least. A document ranks its m blocks by shingles (ties by
+content) and keeps one more than it can differ in from a linked set, given its size. Two
+linked sets still keep an equal block in common: both rank their equal blocks alike,
+and above the best of these stand unequal ones only. A kept block's content is its signature. Blocks with few shingles, which unrelated
 documents can share because of a common passage, are the ones left out.
 
 Product. Documents that share a signature meet. Equal sets are one node from the
@@ -107,11 +107,16 @@ class Bounds:
         self.tops = [1]
         while self.tops[-1] < largest:
             self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * 100 // percent))
-        self.keep, self.blocks = [], []
+        self.blocks = []
         for top in self.tops:
             k = (100 - percent) * 2 * top // (100 + percent)
-            self.keep.append(k + 1 if k else 0)  # k = 0: only equal sets, which are one node
-            self.blocks.append(k + 1 + int((k + 1) * SLACK))
+            # k = 0: only equal sets, which are one node
+            self.blocks.append(k + 1 + int((k + 1) * SLACK) if k else 0)
+
+    def keep(self, size: int, klass: int) -> int:
+        """One more than the shingles by which a set can differ from a linked one of the class."""
+        partner = max(size, min(self.tops[klass], size * 100 // self.percent))
+        return (100 - self.percent) * (size + partner) // (100 + self.percent) + 1
 
     def classes(self, size: int) -> list[int]:
         """The classes of the larger set of a pair that a set of this size can be in."""
@@ -124,7 +129,7 @@ class Bounds:
 
 def signatures(sets: list[np.ndarray], bounds: Bounds) -> list[np.ndarray]:
     """The kept blocks' signatures of each set."""
-    jobs = [(i, c) for i, s in enumerate(sets) if len(s) for c in bounds.classes(len(s)) if bounds.keep[c]]
+    jobs = [(i, c) for i, s in enumerate(sets) if len(s) for c in bounds.classes(len(s)) if bounds.blocks[c]]
     if not jobs:
         return [np.empty(0, np.uint64) for _ in sets]
     m = np.array([bounds.blocks[c] for _, c in jobs])
@@ -141,7 +146,7 @@ def signatures(sets: list[np.ndarray], bounds: Bounds) -> list[np.ndarray]:
     sigs = _mix(_mix(sums + counts.astype(np.uint64) * _ODD[61]) + inside.astype(np.uint64) * _ODD[62] + klass.astype(np.uint64) * _ODD[63])
     order = np.lexsort((sigs, -counts, job))
     rank = np.arange(base[-1]) - base[job]  # the order is by job, too
-    kept = order[rank < np.array([bounds.keep[c] for _, c in jobs])[job]]
+    kept = order[rank < np.array([bounds.keep(len(sets[i]), c) for i, c in jobs])[job]]
     owner = np.array([i for i, _ in jobs])[job[kept]]
     ends = np.searchsorted(owner, np.arange(len(sets) + 1))
     return [sigs[kept[a:b]] for a, b in pairwise(ends)]
@@ -232,7 +237,7 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, small_group: int = S
     copies = materialize(copies.select("doc_id", "k1", "k2").distinct(), "join-copies")
     incidence = _by_ids(usable.filter(F.size("sigs") > 0), copies, "left_anti").select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig"))
 
-    groups = incidence.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size"))
+    groups = incidence.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
     groups = materialize(groups.filter("pivot < last").drop("last"), "join-groups")
     members = materialize(incidence.join(groups, "sig"), "join-members")
     nodes = materialize(members.select("node").distinct(), "join-nodes")
@@ -242,6 +247,7 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, small_group: int = S
     labels = components(links)
 
     apart = materialize(_apart(members.withColumn("small", F.lit(True)), labels), "join-apart")
+    apart = apart.join(apart.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig")
     pairs = _across(apart.filter((F.col("size") <= small_group) & (F.col("node") != F.col("pivot"))))
     refined = _refined(verify.sets, apart.filter(F.col("size") > small_group), percent)
     pairs = pairs.unionByName(_across(_apart(refined.filter(F.col("size") <= small_group), labels)))
