@@ -59,7 +59,7 @@ SKETCH = 256
 #: Id lists up to this many rows (24 bytes each) are broadcast, longer ones are shuffled.
 BROADCAST_IDS = 1_000_000
 
-_MEMO_WORDS = 1 << 20
+_MEMO_WORDS = 1 << 18
 _ODD = np.random.default_rng(4).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 

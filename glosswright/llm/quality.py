@@ -75,7 +75,7 @@ class Reader:
     def __call__(self, text: bytes) -> Looked:
         tokens = text.split()
         n = len(tokens)
-        if len(self.memo) > 1 << 20:
+        if len(self.memo) > 1 << 18:
             self.memo.clear()
         memo = self.memo
         try:
