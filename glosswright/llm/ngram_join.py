@@ -237,9 +237,10 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, small_group: int = S
     copies = materialize(copies.select("doc_id", "k1", "k2").distinct(), "join-copies")
     incidence = _by_ids(usable.filter(F.size("sigs") > 0), copies, "left_anti").select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig"))
 
-    groups = incidence.groupBy("sig").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
-    groups = materialize(groups.filter("pivot < last").drop("last"), "join-groups")
-    members = materialize(incidence.join(groups, "sig"), "join-members")
+    # counts alone make the smallest rows for the largest shuffle; pivots need few groups
+    groups = materialize(incidence.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), "join-groups")
+    held = materialize(incidence.join(groups, "sig"), "join-held")
+    members = materialize(held.join(held.groupBy("sig").agg(F.min("node").alias("pivot")), "sig"), "join-members")
     nodes = materialize(members.select("node").distinct(), "join-nodes")
 
     verify = _Verifier(docs, nodes, n, percent)
