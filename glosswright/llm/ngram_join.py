@@ -253,9 +253,7 @@ def classes(docs: DataFrame, n: int = 3, percent: int = 90, small_group: int = S
     refined = _refined(verify.sets, apart.filter(F.col("size") > small_group), percent)
     pairs = pairs.unionByName(_across(_apart(refined.filter(F.col("size") <= small_group), labels)))
     large = refined.filter(F.col("size") > small_group).select("sig", "node", "small")
-    # each node's groups, so that a pair is listed in the first group it shares only
-    shared = large.groupBy("node").agg(F.collect_set("sig").alias("sigs"))
-    shared = materialize(shared.join(_sketches(verify.sets), "node"), "join-shared")
+    shared = materialize(_groups_of(large).join(_sketches(verify.sets), "node"), "join-shared")
     used = large.limit(0).select("sig", "node")
     while True:
         more, pivots = _next_pivots(_apart(large, labels), shared, used, percent)
@@ -326,6 +324,21 @@ def _refined(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
     return materialize(kept.join(sizes, "sig"), "join-refined")
 
 
+def _groups_of(large: DataFrame) -> DataFrame:
+    """node, short, rest: each node's groups, by whether the node is small in them.
+
+    By these a pair is listed only in the first of the groups that compare it.
+    """
+    sig = lambda small: F.collect_set(F.when(F.col("small") == small, F.col("sig")))
+    return large.groupBy("node").agg(sig(True).alias("short"), sig(False).alias("rest"))
+
+
+def _first_group() -> Column:
+    """The smallest sig that a and b share and at least one of them is small in."""
+    first = lambda x, y: F.array_min(F.array_intersect(x, y))
+    return F.least(first("a.short", "b.short"), first("a.short", "b.rest"), first("a.rest", "b.short"))
+
+
 def _sketches(sets: DataFrame) -> DataFrame:
     """node, held, sketch: a set's size and its counts by SKETCH blocks of the columns."""
 
@@ -360,18 +373,18 @@ def _next_pivots(members: DataFrame, shared: DataFrame, used: DataFrame, percent
     members = members.join(used, ["sig", "node"], "left_anti")
     mixed = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("small").alias("any"))
     members = members.join(mixed.filter("low < high and any").select("sig"), "sig").join(shared, "node")
-    members = materialize(members.select("sig", "node", "label", "small", "sigs", "held", "sketch"), "join-open")
+    members = materialize(members.select("sig", "node", "label", "small", "short", "rest", "held", "sketch"), "join-open")
     sizes = members.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("mates"))
     ranked = members.join(sizes, ["sig", "label"])
 
     def first(mates: Column, n: int) -> DataFrame:
         # Spark cuts this ranking to the wanted rows of a group before its shuffle
         place = F.row_number().over(Window.partitionBy("sig").orderBy(mates, "node"))
-        return ranked.withColumn("place", place).filter(F.col("place") <= n).select("sig", "node", "label", "small", "sigs", "held", "sketch")
+        return ranked.withColumn("place", place).filter(F.col("place") <= n).select("sig", "node", "label", "small", "short", "rest", "held", "sketch")
 
     best = materialize(first(F.desc("mates"), PIVOTS[0]).unionByName(first(F.asc("mates"), PIVOTS[1])).dropDuplicates(["sig", "node"]), "join-pivots")
     a, b = best.alias("a"), members.alias("b")
-    once = F.array_min(F.array_intersect("a.sigs", "b.sigs")) == F.col("a.sig")
+    once = _first_group() == F.col("a.sig")
     small = F.col("a.small") | F.col("b.small")
     pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") != F.col("b.label")) & small & once & _can_link(percent))
     pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -151,6 +152,40 @@ def test_join_equals_all_pairs(spark, seed, n, percent, small, monkeypatch):
     assert got == brute_components(rows, n, percent)
 
 
+def test_pivots_pass_groups_in_which_neither_is_small(spark):
+    # nodes 1 and 2 share group 5, in which neither is small, and the larger group 9, in which one is
+    rows = [(5, 1, 1, False), (5, 2, 2, False), (5, 3, 3, True), (9, 1, 1, True), (9, 2, 2, False), (9, 3, 3, False)]
+    large = spark.createDataFrame(rows, "sig long, node long, label long, small boolean")
+    sketch = F.array(*[F.lit(1)] * ngram_join.SKETCH)
+    shared = ngram_join._groups_of(large).withColumns({"held": F.lit(ngram_join.SKETCH).cast("long"), "sketch": sketch})
+    pairs, _ = ngram_join._next_pivots(large, shared, large.limit(0).select("sig", "node"), 90)
+    assert {tuple(r) for r in pairs.collect()} == {(1, 2), (1, 3), (2, 3)}
+
+
+def pool_corpus(seed):
+    """Unrelated families of near copies, all made of words of one pool."""
+    rng = random.Random(seed)
+    pool = [f"w{i}" for i in range(110)]
+    rows = []
+    for _ in range(14):
+        base = rng.sample(pool, 80)
+        for _ in range(3):
+            copy = list(base)
+            for _ in range(rng.randrange(2, 5)):
+                copy[rng.randrange(80)] = rng.choice(pool)
+            rows.append(" ".join(copy))
+    return list(enumerate(rows))
+
+
+def test_join_of_documents_without_rare_shingles(spark, monkeypatch):
+    # one signature for all, one-word shingles of a small pool: only pivots find the links
+    rows = pool_corpus(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(ngram_join, "signatures", lambda sets, bounds: [np.ones(1, np.uint64) for _ in sets])
+    got = sorted(tuple(r) for r in ngram_join.classes(df, 1, 90, small_group=2).collect())
+    assert got == brute_components(rows, 1, 90)
+
+
 def test_join_edges(spark):
     assert sorted(tuple(r) for r in ngram_join.classes(edge(spark)).collect()) == brute_components([(d, t) for d, t, _ in EDGE], 3, 90)
     assert ngram_join.classes(empty(spark)).count() == 0
