@@ -2,7 +2,7 @@
 
 Base labels come from four phrases of consecutive words. The signature rules, some
 three hundred regular expressions, add labels of their own. A rule runs only where
-the text holds the rule's keyword, and only texts with a general licence keyword get
+the text holds words that each of its matches holds, and only texts with a general licence keyword get
 that far. Overlapping detections are settled by priority and containment: one that
 lies inside another of the same or a better priority is suppressed.
 
@@ -33,61 +33,61 @@ WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 _S = r"[\s\-_,.'\"()]{1,4}"  # what may stand between two words of a name
 _V = r"(?:,?\s{0,2}(?:version\s{0,2}|v\.?\s{0,2}))?"
 
-# Label, keyword, pattern of the name, SPDX identifiers. Lower case.
+# Label, words that every match of the name holds (| between alternatives), pattern of the name, SPDX identifiers. Lower case.
 FAMILIES = (
-    ("agpl-3.0", "affero", rf"(?:gnu{_S})?affero{_S}general{_S}public{_S}licen[cs]e", r"agpl-3\.0(?:-only|-or-later)?"),
-    ("gpl-2.0", "gnu", rf"gnu{_S}general{_S}public{_S}licen[cs]e{_V}2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later|\+)?"),
-    ("gpl-3.0", "gnu", rf"gnu{_S}general{_S}public{_S}licen[cs]e{_V}3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later|\+)?"),
-    ("lgpl-2.1", "lesser", rf"(?:gnu{_S})?lesser{_S}general{_S}public{_S}licen[cs]e{_V}2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?"),
-    ("lgpl-3.0", "lesser", rf"(?:gnu{_S})?lesser{_S}general{_S}public{_S}licen[cs]e{_V}3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?"),
-    ("gfdl", "documentation", rf"gnu{_S}free{_S}documentation{_S}licen[cs]e", r"gfdl-1\.[123](?:-only|-or-later)?"),
-    ("apache-1.1", "apache", rf"apache{_S}(?:software{_S})?licen[cs]e{_V}1\.1", r"apache-1\.1"),
-    ("apache-2.0", "apache", rf"apache{_S}(?:software{_S})?licen[cs]e{_V}2(?:\.0)?", r"apache-2\.0"),
-    ("mit", "mit", rf"(?:the{_S})?mit{_S}licen[cs]e", r"mit"),
-    ("mit-0", "mit", rf"mit{_S}no{_S}attribution", r"mit-0"),
-    ("x11", "x11", rf"x11{_S}licen[cs]e", r"x11"),
-    ("isc", "isc", rf"isc{_S}licen[cs]e", r"isc"),
+    ("agpl-3.0", "affero licen", rf"(?:gnu{_S})?affero{_S}general{_S}public{_S}licen[cs]e", r"agpl-3\.0(?:-only|-or-later)?"),
+    ("gpl-2.0", "gnu licen", rf"gnu{_S}general{_S}public{_S}licen[cs]e{_V}2(?:\.0)?", r"gpl-2\.0(?:-only|-or-later|\+)?"),
+    ("gpl-3.0", "gnu licen", rf"gnu{_S}general{_S}public{_S}licen[cs]e{_V}3(?:\.0)?", r"gpl-3\.0(?:-only|-or-later|\+)?"),
+    ("lgpl-2.1", "lesser licen", rf"(?:gnu{_S})?lesser{_S}general{_S}public{_S}licen[cs]e{_V}2\.1", r"lgpl-2\.1(?:-only|-or-later|\+)?"),
+    ("lgpl-3.0", "lesser licen", rf"(?:gnu{_S})?lesser{_S}general{_S}public{_S}licen[cs]e{_V}3(?:\.0)?", r"lgpl-3\.0(?:-only|-or-later|\+)?"),
+    ("gfdl", "documentation licen", rf"gnu{_S}free{_S}documentation{_S}licen[cs]e", r"gfdl-1\.[123](?:-only|-or-later)?"),
+    ("apache-1.1", "apache licen", rf"apache{_S}(?:software{_S})?licen[cs]e{_V}1\.1", r"apache-1\.1"),
+    ("apache-2.0", "apache licen", rf"apache{_S}(?:software{_S})?licen[cs]e{_V}2(?:\.0)?", r"apache-2\.0"),
+    ("mit", "mit licen", rf"(?:the{_S})?mit{_S}licen[cs]e", r"mit"),
+    ("mit-0", "mit attribution", rf"mit{_S}no{_S}attribution", r"mit-0"),
+    ("x11", "x11 licen", rf"x11{_S}licen[cs]e", r"x11"),
+    ("isc", "isc licen", rf"isc{_S}licen[cs]e", r"isc"),
     ("bsd-2-clause", "bsd", rf"(?:simplified|freebsd|2-clause|two-clause){_S}bsd(?:{_S}licen[cs]e)?|bsd{_S}2{_S}clause", r"bsd-2-clause(?:-patent)?"),
     ("bsd-3-clause", "bsd", rf"(?:new|modified|revised|3-clause|three-clause){_S}bsd(?:{_S}licen[cs]e)?|bsd{_S}3{_S}clause", r"bsd-3-clause(?:-clear)?"),
     ("bsd-4-clause", "bsd", rf"(?:original|4-clause|four-clause){_S}bsd(?:{_S}licen[cs]e)?|bsd{_S}4{_S}clause", r"bsd-4-clause"),
     ("0bsd", "bsd", rf"(?:zero-clause|0-clause){_S}bsd", r"0bsd"),
-    ("mpl-1.1", "mozilla", rf"mozilla{_S}public{_S}licen[cs]e{_V}1\.1", r"mpl-1\.1"),
-    ("mpl-2.0", "mozilla", rf"mozilla{_S}public{_S}licen[cs]e{_V}2(?:\.0)?", r"mpl-2\.0"),
-    ("epl-1.0", "eclipse", rf"eclipse{_S}public{_S}licen[cs]e{_V}1(?:\.0)?", r"epl-1\.0"),
-    ("epl-2.0", "eclipse", rf"eclipse{_S}public{_S}licen[cs]e{_V}2(?:\.0)?", r"epl-2\.0"),
-    ("cddl-1.0", "common development", rf"common{_S}development{_S}and{_S}distribution{_S}licen[cs]e", r"cddl-1\.[01]"),
-    ("cpl-1.0", "common public", rf"common{_S}public{_S}licen[cs]e", r"cpl-1\.0"),
-    ("eupl", "european union", rf"european{_S}union{_S}public{_S}licen[cs]e", r"eupl-1\.[012]"),
-    ("cecill", "cecill", rf"cecill(?:{_S}free{_S}software)?{_S}licen[cs]e", r"cecill-(?:1\.[01]|2\.[01]|b|c)"),
-    ("artistic-1.0", "artistic", rf"artistic{_S}licen[cs]e{_V}1(?:\.0)?", r"artistic-1\.0(?:-perl)?"),
-    ("artistic-2.0", "artistic", rf"artistic{_S}licen[cs]e{_V}2(?:\.0)?", r"artistic-2\.0"),
-    ("boost", "boost", rf"boost{_S}software{_S}licen[cs]e", r"bsl-1\.0"),
-    ("zlib", "zlib", rf"zlib(?:/libpng)?{_S}licen[cs]e", r"zlib"),
-    ("libpng", "libpng", rf"libpng{_S}licen[cs]e", r"libpng(?:-2\.0)?"),
-    ("openssl", "openssl", rf"openssl{_S}licen[cs]e", r"openssl"),
-    ("php", "php", rf"php{_S}licen[cs]e", r"php-3\.0?1?"),
-    ("python", "python", rf"python{_S}(?:software{_S}foundation{_S})?licen[cs]e", r"(?:psf|python)-2\.0"),
-    ("ruby", "ruby", rf"ruby{_S}licen[cs]e", r"ruby"),
-    ("postgresql", "postgresql", rf"postgresql{_S}licen[cs]e", r"postgresql"),
-    ("ncsa", "ncsa", rf"(?:university{_S}of{_S}illinois/)?ncsa{_S}open{_S}source{_S}licen[cs]e", r"ncsa"),
-    ("ms-pl", "microsoft public", rf"microsoft{_S}public{_S}licen[cs]e", r"ms-pl"),
-    ("ms-rl", "microsoft reciprocal", rf"microsoft{_S}reciprocal{_S}licen[cs]e", r"ms-rl"),
-    ("ofl-1.1", "font", rf"(?:sil{_S})?open{_S}font{_S}licen[cs]e", r"ofl-1\.[01]"),
-    ("odbl-1.0", "database", rf"open{_S}database{_S}licen[cs]e", r"odbl-1\.0"),
-    ("odc-by", "commons attribution", rf"open{_S}data{_S}commons{_S}attribution{_S}licen[cs]e", r"odc-by-1\.0"),
-    ("pddl", "public domain dedication", rf"public{_S}domain{_S}dedication{_S}and{_S}licen[cs]e", r"pddl-1\.0"),
+    ("mpl-1.1", "mozilla licen", rf"mozilla{_S}public{_S}licen[cs]e{_V}1\.1", r"mpl-1\.1"),
+    ("mpl-2.0", "mozilla licen", rf"mozilla{_S}public{_S}licen[cs]e{_V}2(?:\.0)?", r"mpl-2\.0"),
+    ("epl-1.0", "eclipse licen", rf"eclipse{_S}public{_S}licen[cs]e{_V}1(?:\.0)?", r"epl-1\.0"),
+    ("epl-2.0", "eclipse licen", rf"eclipse{_S}public{_S}licen[cs]e{_V}2(?:\.0)?", r"epl-2\.0"),
+    ("cddl-1.0", "development distribution licen", rf"common{_S}development{_S}and{_S}distribution{_S}licen[cs]e", r"cddl-1\.[01]"),
+    ("cpl-1.0", "common public licen", rf"common{_S}public{_S}licen[cs]e", r"cpl-1\.0"),
+    ("eupl", "european union licen", rf"european{_S}union{_S}public{_S}licen[cs]e", r"eupl-1\.[012]"),
+    ("cecill", "cecill licen", rf"cecill(?:{_S}free{_S}software)?{_S}licen[cs]e", r"cecill-(?:1\.[01]|2\.[01]|b|c)"),
+    ("artistic-1.0", "artistic licen", rf"artistic{_S}licen[cs]e{_V}1(?:\.0)?", r"artistic-1\.0(?:-perl)?"),
+    ("artistic-2.0", "artistic licen", rf"artistic{_S}licen[cs]e{_V}2(?:\.0)?", r"artistic-2\.0"),
+    ("boost", "boost licen", rf"boost{_S}software{_S}licen[cs]e", r"bsl-1\.0"),
+    ("zlib", "zlib licen", rf"zlib(?:/libpng)?{_S}licen[cs]e", r"zlib"),
+    ("libpng", "libpng licen", rf"libpng{_S}licen[cs]e", r"libpng(?:-2\.0)?"),
+    ("openssl", "openssl licen", rf"openssl{_S}licen[cs]e", r"openssl"),
+    ("php", "php licen", rf"php{_S}licen[cs]e", r"php-3\.0?1?"),
+    ("python", "python licen", rf"python{_S}(?:software{_S}foundation{_S})?licen[cs]e", r"(?:psf|python)-2\.0"),
+    ("ruby", "ruby licen", rf"ruby{_S}licen[cs]e", r"ruby"),
+    ("postgresql", "postgresql licen", rf"postgresql{_S}licen[cs]e", r"postgresql"),
+    ("ncsa", "ncsa licen", rf"(?:university{_S}of{_S}illinois/)?ncsa{_S}open{_S}source{_S}licen[cs]e", r"ncsa"),
+    ("ms-pl", "microsoft public licen", rf"microsoft{_S}public{_S}licen[cs]e", r"ms-pl"),
+    ("ms-rl", "microsoft reciprocal licen", rf"microsoft{_S}reciprocal{_S}licen[cs]e", r"ms-rl"),
+    ("ofl-1.1", "font licen", rf"(?:sil{_S})?open{_S}font{_S}licen[cs]e", r"ofl-1\.[01]"),
+    ("odbl-1.0", "database licen", rf"open{_S}database{_S}licen[cs]e", r"odbl-1\.0"),
+    ("odc-by", "commons attribution licen", rf"open{_S}data{_S}commons{_S}attribution{_S}licen[cs]e", r"odc-by-1\.0"),
+    ("pddl", "domain dedication licen", rf"public{_S}domain{_S}dedication{_S}and{_S}licen[cs]e", r"pddl-1\.0"),
     ("unlicense", "unlicense", r"(?:the\s)?unlicense", r"unlicense"),
-    ("wtfpl", "wtfpl", rf"wtfpl|do{_S}what{_S}the{_S}fuck{_S}you{_S}want{_S}to{_S}public{_S}licen[cs]e", r"wtfpl"),
-    ("beerware", "beer", rf"beer-?ware{_S}licen[cs]e", r"beerware"),
+    ("wtfpl", "wtfpl|fuck licen", rf"wtfpl|do{_S}what{_S}the{_S}fuck{_S}you{_S}want{_S}to{_S}public{_S}licen[cs]e", r"wtfpl"),
+    ("beerware", "beer licen", rf"beer-?ware{_S}licen[cs]e", r"beerware"),
     ("cc0-1.0", "cc0", r"cc0(?:\s{0,2}1\.0)?(?:\suniversal)?", r"cc0-1\.0"),
-    ("cc-by-nc-nd", "cc", rf"cc{_S}by{_S}nc{_S}nd", r"cc-by-nc-nd-[1-4]\.\d"),
-    ("cc-by-nc-sa", "cc", rf"cc{_S}by{_S}nc{_S}sa", r"cc-by-nc-sa-[1-4]\.\d"),
-    ("cc-by-nc", "cc", rf"cc{_S}by{_S}nc(?!{_S}(?:nd|sa))", r"cc-by-nc-[1-4]\.\d"),
-    ("cc-by-nd", "cc", rf"cc{_S}by{_S}nd", r"cc-by-nd-[1-4]\.\d"),
-    ("cc-by-sa", "cc", rf"cc{_S}by{_S}sa", r"cc-by-sa-[1-4]\.\d"),
-    ("cc-by", "cc", rf"cc{_S}by(?!{_S}(?:nc|nd|sa))", r"cc-by-[1-4]\.\d"),
-    ("creative-commons", "creative commons", rf"creative{_S}commons(?:{_S}attribution)?(?:{_S}\w{{2,20}}){{0,3}}{_S}licen[cs]e", r"cc-[a-z-]{2,12}"),
-    ("proprietary", "all rights", rf"all{_S}rights{_S}reserved", r"licenseref-proprietary"),
+    ("cc-by-nc-nd", "cc by nc", rf"cc{_S}by{_S}nc{_S}nd", r"cc-by-nc-nd-[1-4]\.\d"),
+    ("cc-by-nc-sa", "cc by nc", rf"cc{_S}by{_S}nc{_S}sa", r"cc-by-nc-sa-[1-4]\.\d"),
+    ("cc-by-nc", "cc by nc", rf"cc{_S}by{_S}nc(?!{_S}(?:nd|sa))", r"cc-by-nc-[1-4]\.\d"),
+    ("cc-by-nd", "cc by nd", rf"cc{_S}by{_S}nd", r"cc-by-nd-[1-4]\.\d"),
+    ("cc-by-sa", "cc by sa", rf"cc{_S}by{_S}sa", r"cc-by-sa-[1-4]\.\d"),
+    ("cc-by", "cc by", rf"cc{_S}by(?!{_S}(?:nc|nd|sa))", r"cc-by-[1-4]\.\d"),
+    ("creative-commons", "creative commons licen", rf"creative{_S}commons(?:{_S}attribution)?(?:{_S}\w{{2,20}}){{0,3}}{_S}licen[cs]e", r"cc-[a-z-]{2,12}"),
+    ("proprietary", "rights reserved", rf"all{_S}rights{_S}reserved", r"licenseref-proprietary"),
 )
 
 #: Templates around a family's name: priority (smaller is better), confidence, pattern.
@@ -122,13 +122,22 @@ SIGNATURES = tuple(
 )
 
 
+def alternatives(keyword: str) -> list[list[str]]:
+    """Lists of words; a text that a rule matches holds all words of one of them."""
+    return [a.split() for a in keyword.split("|")]
+
+
+WORDS = tuple(sorted({w for s in SIGNATURES for ws in alternatives(s.keyword) for w in ws}))
+
+
 def _rules() -> Column:
-    """Signatures grouped by keyword, so that a text is searched once for each keyword."""
+    """Signatures grouped by keyword."""
     groups: dict[str, list[Signature]] = {}
     for s in SIGNATURES:
         groups.setdefault(s.keyword, []).append(s)
     one = lambda s: F.struct(F.lit(s.priority).alias("priority"), F.lit(s.order).alias("order"), F.lit(s.confidence).alias("confidence"), F.lit(s.regex).alias("regex"), F.lit(s.label).alias("label"))
-    return F.array(*(F.struct(F.lit(k).alias("keyword"), F.array(*map(one, ss)).alias("rules")) for k, ss in groups.items()))
+    needs = lambda k: F.array(*(F.array(*map(F.lit, ws)) for ws in alternatives(k)))
+    return F.array(*(F.struct(needs(k).alias("needs"), F.array(*map(one, ss)).alias("rules")) for k, ss in groups.items()))
 
 
 def _spans(text: Column, rule: Column) -> Column:
@@ -195,14 +204,18 @@ def report(docs: DataFrame) -> DataFrame:
         return F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
 
     none = F.array().cast("array<struct<a:int,b:int,p:int,o:int,confidence:double,label:string>>")
-    fetched = F.flatten(F.transform(F.filter(_rules(), lambda g: F.contains(low, g["keyword"])), lambda g: g["rules"]))
+    held = F.col("held")
+    fits = lambda g: F.exists(g["needs"], lambda ws: F.forall(ws, lambda w: F.array_contains(held, w)))
+    fetched = F.flatten(F.transform(F.filter(_rules(), fits), lambda g: g["rules"]))
     detections = F.flatten(F.transform(fetched, lambda r: _spans(low, r)))
     at = [f"at_{i}" for i in range(len(PHRASES))]
     base = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
     base = base.withColumn("n_words", F.regexp_count(low, F.lit(WORD)).cast("long")).withColumn("gate", any_of(GATE))
+    # a text is searched once for each word
+    base = base.withColumn("held", F.filter(F.array(*map(F.lit, WORDS)), lambda w: F.contains(low, w)))
     base = base.withColumn("words", F.when(phrase, F.regexp_extract_all(low, F.lit(WORD), F.lit(0))).otherwise(no_words))
     base = base.withColumns({c: F.when(F.size(words) > 0, places(ws)).otherwise(no_ints) for c, (ws, _) in zip(at, PHRASES, strict=True)})
-    base = base.withColumn("found", F.when(F.col("gate"), _settle(detections)).otherwise(none))
+    base = base.withColumn("found", F.when(F.col("gate") & (F.size(held) > 0), _settle(detections)).otherwise(none))
     starts = F.concat(*at)
     base_labels = F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(at, PHRASES, strict=True))), lambda x: x.isNotNull())))
     base = base.withColumn("starts", starts).withColumn("base", base_labels)

@@ -181,6 +181,58 @@ def test_license_rules_hold_their_keyword():
         re.compile(s.regex)
 
 
+NAMES = {
+    "cddl-1.0": "Common\nDevelopment and  Distribution License",
+    "cpl-1.0": "Common-Public License",
+    "eupl": "European  Union Public Licence",
+    "ms-pl": "Microsoft\nPublic License",
+    "ms-rl": "Microsoft\nReciprocal License",
+    "odc-by": "Open Data Commons\nAttribution License",
+    "pddl": "Public\nDomain  Dedication and License",
+    "creative-commons": "creative\ncommons attribution license",
+    "wtfpl": "Do What The Fuck You Want To Public License",
+}
+
+
+def test_license_names_over_line_breaks(spark):
+    df = spark.createDataFrame([(label, f"See the {name}.") for label, name in NAMES.items()], "doc_id string, text string")
+    for r in license_scan.report(df).collect():
+        assert r.doc_id in r.labels.split(","), r
+
+
+def made_match(rng, parsed):
+    """A text that a parsed pattern matches; look-arounds give nothing."""
+    out = []
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            out.append(chr(arg))
+        elif op == "IN":
+            kind, value = rng.choice(arg)
+            out.append(chr(value) if str(kind) == "LITERAL" else chr(rng.randint(*value)) if str(kind) == "RANGE" else {"CATEGORY_SPACE": "\n", "CATEGORY_DIGIT": "7"}.get(str(value), "x"))
+        elif op in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += [made_match(rng, arg[2]) for _ in range(rng.randint(arg[0], min(arg[1], 9)))]
+        elif op == "SUBPATTERN":
+            out.append(made_match(rng, arg[-1]))
+        elif op == "BRANCH":
+            out.append(made_match(rng, rng.choice(arg[1])))
+        else:
+            assert op == "ASSERT_NOT", op
+    return "".join(out)
+
+
+def test_license_words_are_in_every_match():
+    from re import _parser
+
+    rng = random.Random(11)
+    for s in license_scan.SIGNATURES:
+        parsed = _parser.parse(s.regex)
+        for _ in range(30):
+            text = made_match(rng, parsed)
+            assert re.search(s.regex, text), (s.regex, text)
+            assert any(all(w in text for w in ws) for ws in license_scan.alternatives(s.keyword)), (s.regex, text)
+
+
 def test_license_suppression(spark):
     from pyspark.sql import functions as F
 
