@@ -2,8 +2,7 @@
 
 Base labels come from four phrases of consecutive words. The signature rules, some
 three hundred regular expressions, add labels of their own. A rule runs only where
-the text holds words that each of its matches holds, and only texts with a general licence keyword get
-that far. Overlapping detections are settled by priority and containment: one that
+the text holds words that each of its matches holds. Overlapping detections are settled by priority and containment: one that
 lies inside another of the same or a better priority is suppressed.
 
 Everything is a projection of built-in functions: no shuffle and no Python.
@@ -100,9 +99,6 @@ TEMPLATES = (
     (6, 0.7, r"(?<![\w.-])licen[cs]es?/(?:{spdx})(?![\w.-])"),
 )
 
-#: Texts without any of these are not looked at further.
-GATE = ("licen", "spdx", "cc", "rights reserved", "unlicense", "wtfpl")
-
 
 @dataclass(frozen=True)
 class Signature:
@@ -184,7 +180,6 @@ def _settle(found: Column) -> Column:
 def report(docs: DataFrame) -> DataFrame:
     """Base places and labels, all labels and a score for each row."""
     low = F.col("low")
-    any_of = lambda words: F.greatest(*(F.contains(low, F.lit(w)) for w in words))
     phrase = F.lit(False)
     for ws, _ in PHRASES:
         both = F.lit(True)
@@ -210,12 +205,12 @@ def report(docs: DataFrame) -> DataFrame:
     detections = F.flatten(F.transform(fetched, lambda r: _spans(low, r)))
     at = [f"at_{i}" for i in range(len(PHRASES))]
     base = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
-    base = base.withColumn("n_words", F.regexp_count(low, F.lit(WORD)).cast("long")).withColumn("gate", any_of(GATE))
+    base = base.withColumn("n_words", F.regexp_count(low, F.lit(WORD)).cast("long"))
     # a text is searched once for each word
     base = base.withColumn("held", F.filter(F.array(*map(F.lit, WORDS)), lambda w: F.contains(low, w)))
     base = base.withColumn("words", F.when(phrase, F.regexp_extract_all(low, F.lit(WORD), F.lit(0))).otherwise(no_words))
     base = base.withColumns({c: F.when(F.size(words) > 0, places(ws)).otherwise(no_ints) for c, (ws, _) in zip(at, PHRASES, strict=True)})
-    base = base.withColumn("found", F.when(F.col("gate") & (F.size(held) > 0), _settle(detections)).otherwise(none))
+    base = base.withColumn("found", F.when(F.size(held) > 0, _settle(detections)).otherwise(none))
     starts = F.concat(*at)
     base_labels = F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(at, PHRASES, strict=True))), lambda x: x.isNotNull())))
     base = base.withColumn("starts", starts).withColumn("base", base_labels)

@@ -191,6 +191,10 @@ NAMES = {
     "pddl": "Public\nDomain  Dedication and License",
     "creative-commons": "creative\ncommons attribution license",
     "wtfpl": "Do What The Fuck You Want To Public License",
+    "proprietary": "All\nrights\nreserved",
+    "bsd-3-clause": "new BSD",
+    "0bsd": "zero-clause BSD",
+    "mit-0": "MIT No Attribution",
 }
 
 
