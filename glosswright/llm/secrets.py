@@ -39,6 +39,10 @@ WEAK_ID = re.compile(rb"""(?:user(?:name)?|login|client_?id|access_?(?:key_?)?id
 WEAK_SECRET = re.compile(rb"""(?:pass|pwd|credential|auth|private_?key|signature|key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]{8,512})""")
 ENDPOINT = re.compile(rb"""((?:https?|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[a-z0-9._~:/?#@!$&*+,;=%-]{4,512})""")
 
+#: An assignment and a hexadecimal run are secrets, an access id is an identifier.
+ROLE = {0: "secret", 1: "id", 2: "secret", 3: "id", 4: "secret", 5: "endpoint"}
+WANTED = {3: ("secret",), 4: ("id", "endpoint"), 5: ("secret",)}
+
 _PARAGRAPH = re.compile(rb"\n[\x20\t]*\n")
 _ASSIGN_GATE = re.compile(rb"passw|secret|token|api_?key")
 _WEAK_GATE = re.compile(rb"://|[:=]")
@@ -74,16 +78,13 @@ def weak_parts(lower: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int
 
 
 def linked(parts: list[tuple[int, int, int]], paragraphs: list[int], reach: int = REACH) -> list[tuple[int, int, int]]:
-    """The weak parts that have a complementary part in scope.
+    """The weak parts in whose scope a complementary part starts.
 
-    An assignment and a hexadecimal run are secrets, an access id is an identifier.
     paragraphs: the sorted starts of paragraphs.
     """
-    role = {0: "secret", 1: "id", 2: "secret", 3: "id", 4: "secret", 5: "endpoint"}
-    wanted = {3: ("secret",), 4: ("id", "endpoint"), 5: ("secret",)}
     of: dict[str, list[tuple[int, int]]] = {"id": [], "secret": [], "endpoint": []}
     for start, end, kind in sorted(parts):
-        of[role[kind]].append((start, end))
+        of[ROLE[kind]].append((start, end))
     out = []
     for start, end, kind in parts:
         if kind < 3:
@@ -91,7 +92,7 @@ def linked(parts: list[tuple[int, int, int]], paragraphs: list[int], reach: int
         at = bisect_right(paragraphs, start)
         low = max(start - reach, paragraphs[at - 1] if at else 0)
         high = min(end + reach, paragraphs[at] if at < len(paragraphs) else end + reach)
-        for other in wanted[kind]:
+        for other in WANTED[kind]:
             # the part's own role is never among the wanted ones
             i = bisect_left(of[other], (low,))
             if i < len(of[other]) and of[other][i][0] < high:
@@ -100,13 +101,37 @@ def linked(parts: list[tuple[int, int, int]], paragraphs: list[int], reach: int
     return out
 
 
+def overtaken(parts: list[tuple[int, int, int]], paragraphs: list[int], reach: int = REACH) -> list[tuple[int, int, int]]:
+    """The weak parts in whose scope a complementary part ends that starts before it."""
+    of: dict[str, tuple[list[int], list[int]]] = {"id": ([], []), "secret": ([], []), "endpoint": ([], [])}
+    for start, end, kind in sorted(parts):
+        starts, ends = of[ROLE[kind]]
+        starts.append(start)
+        ends.append(max(end, ends[-1] if ends else 0))
+    out = []
+    for start, end, kind in parts:
+        if kind < 3:
+            continue
+        at = bisect_right(paragraphs, start)
+        low = max(start - reach, paragraphs[at - 1] if at else 0)
+        for other in WANTED[kind]:
+            starts, ends = of[other]
+            i = bisect_left(starts, low)
+            if i and ends[i - 1] > low:
+                out.append((start, end, kind))
+                break
+    return out
+
+
 def scan(text: bytes) -> list[tuple[int, int, int]]:
     """(start, end, kind) in code points by start, then kind."""
     lower = text.lower()
     base = base_spans(text, lower)
     weak = weak_parts(lower, base)
     if weak:
-        weak = linked([*base, *weak], [m.end() for m in _PARAGRAPH.finditer(text)])
+        parts, paragraphs = [*base, *weak], [m.end() for m in _PARAGRAPH.finditer(text)]
+        met = {*linked(parts, paragraphs), *overtaken(parts, paragraphs)}
+        weak = [w for w in weak if w in met]
     found = [*base, *weak]
     if found and not text.isascii():
         points, last, at = {}, 0, 0

@@ -132,6 +132,26 @@ def test_secret_links_equal_all_pairs():
         assert secrets.linked(parts, paragraphs, 40) == brute_linked(parts, paragraphs, 40)
 
 
+def test_secret_links_equal_overlapping_scopes():
+    rng = random.Random(8)
+    for _ in range(300):
+        paragraphs = sorted(rng.sample(range(300), rng.randrange(4)))
+        parts = []
+        for _ in range(rng.randrange(12)):
+            a = rng.randrange(300)
+            b = min([a + rng.randrange(1, 120), *(p for p in paragraphs if p > a)])
+            parts.append((a, b, rng.randrange(6)))
+        want = set()
+        for s, e, k in parts:
+            low = max([s - 40, *(p for p in paragraphs if p <= s)])
+            high = min([e + 40, *(p for p in paragraphs if p > s)])
+            if k >= 3 and any(secrets.ROLE[o] in secrets.WANTED[k] and a < high and b > low for a, b, o in parts):
+                want.add((s, e, k))
+        assert {*secrets.linked(parts, paragraphs, 40), *secrets.overtaken(parts, paragraphs, 40)} == want
+    text = "token: " + "x" * 800 + "\nusername: bob"
+    assert [k for _, _, k in secrets.scan(text.encode())] == [0, 3]
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "é token = abcdef123 end", 5), (2, None, 6)], "doc_id long, text string, spans long")
     assert [tuple(r) for r in secrets.redact(df).orderBy("doc_id").collect()] == [(1, "é [SECRET] end", 5), (2, None, 6)]
