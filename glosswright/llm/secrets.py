@@ -35,9 +35,9 @@ HEX = re.compile(rb"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "weak_id", "weak_secret", "endpoint")
 
 #: Weak parts, on text with A-Z lower-cased; group 1 is the part.
-WEAK_ID = re.compile(rb"""(?:user(?:name)?|login|client_?id|access_?(?:key_?)?id|account)["']?\x20*[:=]\x20*["']?([a-z0-9@._-]{3,128})""")
-WEAK_SECRET = re.compile(rb"""(?:pass|pwd|credential|auth|private_?key|signature|key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]{8,512})""")
-ENDPOINT = re.compile(rb"""((?:https?|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[a-z0-9._~:/?#@!$&*+,;=%-]{4,512})""")
+WEAK_ID = re.compile(rb"""(?:user(?:name)?|login|client_?id|access_?(?:key_?)?id|account)["']?\x20*[:=]\x20*["']?([a-z0-9@._-]{3,})""")
+WEAK_SECRET = re.compile(rb"""(?:pass|pwd|credential|auth|private_?key|signature|key)["']?\x20*[:=]\x20*["']?([a-z0-9+/_.=-]{8,})""")
+ENDPOINT = re.compile(rb"""((?:https?|s3|jdbc:[a-z]+|postgres|mysql|mongodb|redis|amqp)://[a-z0-9._~:/?#@!$&*+,;=%-]{4,})""")
 
 #: An assignment and a hexadecimal run are secrets, an access id is an identifier.
 ROLE = {0: "secret", 1: "id", 2: "secret", 3: "id", 4: "secret", 5: "endpoint"}

@@ -152,6 +152,11 @@ def test_secret_links_equal_overlapping_scopes():
     assert [k for _, _, k in secrets.scan(text.encode())] == [0, 3]
 
 
+def test_redact_takes_long_values_whole(spark):
+    df = spark.createDataFrame([(1, "username=bob private_key=" + "Ab+/" * 400 + " end")], "doc_id long, text string")
+    assert secrets.redact(df).first().text == "username=[SECRET] private_key=[SECRET] end"
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "é token = abcdef123 end", 5), (2, None, 6)], "doc_id long, text string, spans long")
     assert [tuple(r) for r in secrets.redact(df).orderBy("doc_id").collect()] == [(1, "é [SECRET] end", 5), (2, None, 6)]
