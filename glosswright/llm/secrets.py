@@ -59,22 +59,21 @@ def base_spans(text: bytes, lower: bytes | None = None) -> list[tuple[int, int,
     return found
 
 
-def weak_parts(lower: bytes, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Weak parts that no base span touches."""
+def weak_parts(lower: bytes) -> list[tuple[int, int, int]]:
+    """All weak parts, also those that a base span touches."""
     if not _WEAK_GATE.search(lower):
         return []
+    return [(*m.span(1), kind) for kind, rx in ((3, WEAK_ID), (4, WEAK_SECRET), (5, ENDPOINT)) for m in rx.finditer(lower)]
+
+
+def untouched(weak: list[tuple[int, int, int]], base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Weak parts that no base span touches."""
     taken = sorted(base)
     starts = [s for s, _, _ in taken]
     ends: list[int] = []
     for _, e, _ in taken:
         ends.append(max(e, ends[-1] if ends else 0))
-    found = []
-    for kind, rx in ((3, WEAK_ID), (4, WEAK_SECRET), (5, ENDPOINT)):
-        for m in rx.finditer(lower):
-            i = bisect_left(starts, m.end(1))
-            if not i or ends[i - 1] <= m.start(1):
-                found.append((*m.span(1), kind))
-    return found
+    return [w for w in weak if not (i := bisect_left(starts, w[1])) or ends[i - 1] <= w[0]]
 
 
 def linked(parts: list[tuple[int, int, int]], paragraphs: list[int], reach: int = REACH) -> list[tuple[int, int, int]]:
@@ -127,11 +126,11 @@ def scan(text: bytes) -> list[tuple[int, int, int]]:
     """(start, end, kind) in code points by start, then kind."""
     lower = text.lower()
     base = base_spans(text, lower)
-    weak = weak_parts(lower, base)
+    weak = weak_parts(lower)
     if weak:
         parts, paragraphs = [*base, *weak], [m.end() for m in _PARAGRAPH.finditer(text)]
         met = {*linked(parts, paragraphs), *overtaken(parts, paragraphs)}
-        weak = [w for w in weak if w in met]
+        weak = [w for w in untouched(weak, base) if w in met]
     found = [*base, *weak]
     if found and not text.isascii():
         points, last, at = {}, 0, 0

@@ -157,6 +157,12 @@ def test_redact_takes_long_values_whole(spark):
     assert secrets.redact(df).first().text == "username=[SECRET] private_key=[SECRET] end"
 
 
+def test_parts_that_touch_base_spans_are_partners():
+    kinds = lambda text: [k for _, _, k in secrets.scan(text.encode())]
+    assert kinds("https://host/?token=abcdef1 pwd=hunter2hunter2") == [0, 4]
+    assert kinds("user=" + "ab" * 12 + " pwd=hunter2hunter2") == [2, 4]
+
+
 def test_redact(spark):
     df = spark.createDataFrame([(1, "é token = abcdef123 end", 5), (2, None, 6)], "doc_id long, text string, spans long")
     assert [tuple(r) for r in secrets.redact(df).orderBy("doc_id").collect()] == [(1, "é [SECRET] end", 5), (2, None, 6)]
