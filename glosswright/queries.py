@@ -441,6 +441,6 @@ def stream_windowed_events(spark, sf_dir):
 
 @query()
 def stream_token_replay(spark, sf_dir):
-    return replay.replay_documents(spark, _t(spark, sf_dir, "documents").filter("lang = 'fr'").select("doc_id", "text"), replay.RULES)
+    return replay.replay_documents(spark, _t(spark, sf_dir, "documents").select("doc_id", "text"), replay.RULES)
 
 

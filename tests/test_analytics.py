@@ -174,3 +174,12 @@ def test_queries_match_their_sql(spark):
         got = sorted(str([r[c] for c in columns]) for r in df.collect())
         rows_ = con.execute(f"select {', '.join(columns)} from ({sql[name]})").fetchall()
         assert got == sorted(str(list(r)) for r in rows_), name
+
+
+def test_replay_query_takes_every_language(spark, tmp_path):
+    from glosswright.queries import QUERIES
+
+    rows = [(1, "pour les amis", "fr"), (2, "les one", "en"), (3, "les none", None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.text for r in QUERIES["stream_token_replay"](spark, str(tmp_path)).collect()}
+    assert set(got) == {1, 2, 3} and got[2] == "ces one" and got[3] == "ces none"
