@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _local_dir: list[str] = []
+_open: list[Scratch] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -20,7 +26,7 @@ def shared_dir(spark: SparkSession) -> str:
     """
     if folder := spark.conf.get("spark.checkpoint.dir", None):
         return folder.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    if not re.fullmatch(r"local(\[[\d*, ]+\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not _local_dir:
         _local_dir.append(tempfile.mkdtemp(prefix="glosswright-"))
@@ -36,8 +42,62 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Writes df once to the shared folder and returns the table read back.
 
     This cuts the lineage: a lost executor costs the tasks it was running, never the
-    steps that led here.
+    steps that led here. The shuffles of the write go with it, the table goes with the
+    innermost scratch() around the call.
     """
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_path(spark, name)
+    if _open:
+        _open[-1].paths.append(path)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._scratch_path = path
+    return table
+
+
+class Scratch:
+    """The tables materialised since scratch() began."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark = spark
+        self.paths: list[str] = []
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Deletes tables whose last reader is done."""
+        for t in tables:
+            path = getattr(t, "_scratch_path", None)
+            if path in self.paths:
+                self.paths.remove(path)
+                _delete(self.spark, path)
+
+    def keep(self, table: DataFrame) -> DataFrame:
+        """Hands a table to the scratch() around this one, or lets it stay if there is none."""
+        path = table._scratch_path
+        self.paths.remove(path)
+        if i := _open.index(self):
+            _open[i - 1].paths.append(path)
+        return table
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Scratch]:
+    """Tables materialised inside are deleted at the end, on failure too."""
+    held = Scratch(spark)
+    _open.append(held)
+    try:
+        yield held
+    finally:
+        _open.remove(held)
+        for path in held.paths:
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    there = jvm.org.apache.hadoop.fs.Path(path)
+    there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)

@@ -158,7 +158,8 @@ def test_replay(spark):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     queries, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
-    assert set(sql) <= set(queries) and len(queries) >= 40
+    # also without the optional subpackage
+    assert set(sql) <= set(queries) and len(queries) >= 38
 
 
 def test_queries_match_their_sql(spark):
@@ -183,3 +184,22 @@ def test_replay_query_takes_every_language(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.text for r in QUERIES["stream_token_replay"](spark, str(tmp_path)).collect()}
     assert set(got) == {1, 2, 3} and got[2] == "ces one" and got[3] == "ces none"
+
+
+def test_scratch_tables_go(spark):
+    import os
+
+    from glosswright.sources.storage import materialize, scratch
+
+    with scratch(spark) as outer:
+        with scratch(spark) as inner:
+            first, second, third = (materialize(spark.range(5), f"scratch-{i}") for i in range(3))
+            inner.drop(first)
+            assert not os.path.exists(first._scratch_path) and os.path.exists(second._scratch_path)
+            inner.keep(third)
+        assert not os.path.exists(second._scratch_path) and third.count() == 5
+        with pytest.raises(ZeroDivisionError), scratch(spark):
+            fourth = materialize(spark.range(5), "scratch-4")
+            raise ZeroDivisionError
+        assert not os.path.exists(fourth._scratch_path) and outer.paths == [third._scratch_path]
+    assert not os.path.exists(third._scratch_path)
