@@ -1,43 +1,45 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
-A row of the incidence matrix is a document's set of distinct word shingles, hashed
-to 64 bits. Pairs count whose overlap reaches the size-derived bound
+A row of the incidence matrix is a document's set of distinct word shingles, hashed to
+64 bits; the matrix is written once, 8 bytes an entry. Equal sets are one row, a node.
+Pairs count whose overlap reaches the size-derived bound
 
     100 * overlap >= percent * union,  that is  overlap >= percent/(100+percent) * (a+b).
 
-Column blocks. The bound limits how many shingles two linked sets can differ by, to k
-for all sets of a size class. The columns are dealt into m > k blocks; then linked sets
-agree on m - k blocks at least. A document ranks its m blocks by shingles (ties by
-content) and keeps one more than it can differ in from a linked set, given its size. Two
-linked sets still keep an equal block in common: both rank their equal blocks alike,
-and above the best of these stand unequal ones only. A kept block's content is its signature. Blocks with few shingles, which unrelated
-documents can share because of a common passage, are the ones left out.
-
-Product. Documents that share a signature meet. Equal sets are one node from the
-start, and only members of different components need comparing. First each signature's
-smallest member is multiplied with all others. Where components remain apart, small
-groups compare what is left across components, and the members of large groups are
-grouped anew by rare shingles, with exact frequencies. Groups that are large even then
-take a few pivots after others until no two components are uncompared; there, counts by
-column block bound the overlap from above, and pairs below the bound aren't even listed. Overlaps are counted exactly on the
-full sets, pairs below the bound are discarded. No link between components is missed,
-and no group's pairs are listed in full.
-
-Shingles, set keys and signatures are hashes: two different shingles are taken for the
-same with a probability of 2^-64, two different sets with one of 2^-128. A false
-signature only costs a comparison.
+First block of columns. All columns have one order: common ones last, otherwise by
+hash. A node's first size - ceil(percent/100 * size) + 1 columns in this order are its
+prefix, and two linked nodes share a column of their prefixes, whatever the order. It
+only decides how many other pairs do: columns are common that turn up again and again
+in windows of WINDOW entries, of which a bit set of fixed size is broadcast. The product
+over this block gives the pairs and a part of their overlap. What the rest can add is
+bounded by the entries behind the shorter prefix, so pairs below the bound go at once.
+
+Further blocks. For the pairs that are left the overlap is counted block by block over
+all columns, and a pair goes when its count and what is left of either row fall below
+the bound.
+
+Frequent columns. Only columns of up to `small_group` members list their pairs. In the
+others each member first meets one pivot, the smallest member of its columns; what is
+of one component then needs no comparing. Where components remain apart, pivots of
+them, twice as many in each round, meet the members of other components, dealt by
+sub-blocks of SUB_BLOCK members. A sketch (counts by SKETCH blocks of columns) bounds
+the overlap from above, and pairs below the bound aren't listed. So a column of n
+members takes at most 1 + log2(n / 128) rounds after the first, lists each pair once,
+and only pairs that the sketch can't tell from linked ones. The work is quadratic only
+in members of one column that are in different components and look alike by counts.
+
+Shingles and set keys are hashes: two different shingles are taken for the same with a
+probability of 2^-64, two different sets with one of 2^-128.
 
 Defined results: null and empty texts have no words, an empty set, and are linked with
 nothing, not even each other. A row whose doc_id is null is linked with nothing and has
-a null component. doc_id should be unique: rows that repeat one with other text are
-decided each by its own text.
+a null component. doc_id names a vertex: rows that repeat one with other text link it
+by either text. An empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
 
-from bisect import bisect_left
 from collections.abc import Iterator
-from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -47,28 +49,26 @@ from pyspark.sql import functions as F
 
 from glosswright.llm._common import SLICE_ROWS, bounded_batches, materialize, utf8
 from glosswright.llm._components import components
+from glosswright.llm._membership import among, bit_set, mix, without
+from glosswright.sources.storage import Scratch, scratch
 
-#: More column blocks than k + 1, as a share of k + 1.
-SLACK = 0.3
-#: Groups up to this size compare all that is left at once.
-SMALL_GROUP = 8
-#: Members of a large group that meet all others in one round: of its largest and of its smallest components.
+#: Columns up to this many members list their pairs.
+SMALL_GROUP = 16
+#: Members of a frequent column that meet all others in the first round: of its largest and of its smallest components.
 PIVOTS = (16, 112)
+#: Members of a frequent column that one key deals out.
+SUB_BLOCK = 4096
 #: Column blocks of a sketch, which bounds the overlap before a pair is listed.
 SKETCH = 256
-#: Id lists up to this many rows (24 bytes each) are broadcast, longer ones are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Column blocks of a pair's exact count.
+BLOCKS = 8
+#: Entries of a window, and entries in windows that make a column common.
+WINDOW, COMMON = 1 << 21, 4
 
 _MEMO_WORDS = 1 << 18
 _ODD = np.random.default_rng(4).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Shingler:
     """Sorted arrays of the distinct hashed shingles of texts given as bytes."""
 
@@ -95,66 +95,55 @@ class Shingler:
         out = np.full(len(ids) - n + 1, n, np.uint64)
         for i in range(n):
             out += ids[i : len(ids) - n + 1 + i] * _ODD[i]
-        out = np.sort(_mix(out))
+        out = np.sort(mix(out))
         return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 class Bounds:
-    """Size classes and column blocks for a threshold in per cent."""
+    """What a threshold in per cent says about sizes and overlaps."""
 
-    def __init__(self, percent: int, largest: int = 1 << 31):
+    def __init__(self, percent: int):
         self.percent = percent
-        self.tops = [1]
-        while self.tops[-1] < largest:
-            self.tops.append(max(self.tops[-1] + 1, self.tops[-1] * 100 // percent))
-        self.blocks = []
-        for top in self.tops:
-            k = (100 - percent) * 2 * top // (100 + percent)
-            # k = 0: only equal sets, which are one node
-            self.blocks.append(k + 1 + int((k + 1) * SLACK) if k else 0)
-
-    def keep(self, size: int, klass: int) -> int:
-        """One more than the shingles by which a set can differ from a linked one of the class."""
-        partner = max(size, min(self.tops[klass], size * 100 // self.percent))
-        return (100 - self.percent) * (size + partner) // (100 + self.percent) + 1
-
-    def classes(self, size: int) -> list[int]:
-        """The classes of the larger set of a pair that a set of this size can be in."""
-        own = bisect_left(self.tops, size)
-        return [own, own + 1] if size * 100 // self.percent > self.tops[own] else [own]
-
-    def linked(self, overlap: int, a: int, b: int) -> bool:
-        return 100 * overlap >= self.percent * (a + b - overlap)
-
-
-def signatures(sets: list[np.ndarray], bounds: Bounds) -> list[np.ndarray]:
-    """The kept blocks' signatures of each set."""
-    jobs = [(i, c) for i, s in enumerate(sets) if len(s) for c in bounds.classes(len(s)) if bounds.blocks[c]]
-    if not jobs:
-        return [np.empty(0, np.uint64) for _ in sets]
-    m = np.array([bounds.blocks[c] for _, c in jobs])
-    base = np.concatenate(([0], np.cumsum(m)))
-    sums, counts = np.zeros(base[-1], np.uint64), np.zeros(base[-1], np.int64)
-    for (i, c), at in zip(jobs, base, strict=False):
-        block = ((sets[i] * _ODD[60]) >> np.uint64(32)) % np.uint64(bounds.blocks[c])
-        where = at + block.astype(np.int64)
-        np.add.at(sums, where, sets[i])
-        counts[at : at + bounds.blocks[c]] = np.bincount(block.astype(np.int64), minlength=bounds.blocks[c])
-    job = np.repeat(np.arange(len(jobs)), m)
-    inside = np.arange(base[-1]) - base[job]
-    klass = np.array([c for _, c in jobs])[job]
-    sigs = _mix(_mix(sums + counts.astype(np.uint64) * _ODD[61]) + inside.astype(np.uint64) * _ODD[62] + klass.astype(np.uint64) * _ODD[63])
-    order = np.lexsort((sigs, -counts, job))
-    rank = np.arange(base[-1]) - base[job]  # the order is by job, too
-    kept = order[rank < np.array([bounds.keep(len(sets[i]), c) for i, c in jobs])[job]]
-    owner = np.array([i for i, _ in jobs])[job[kept]]
-    ends = np.searchsorted(owner, np.arange(len(sets) + 1))
-    return [sigs[kept[a:b]] for a, b in pairwise(ends)]
-
-
-def _rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
-    """doc_id, n_shingles, the set's key in two halves, and its signatures."""
-    bounds = Bounds(percent)
+
+    def prefix(self, size: int) -> int:
+        """Columns of which two linked nodes share one; 0 if only an equal set can be linked."""
+        least = -(-size * self.percent // 100)  # overlap with any linked set
+        unequal = least < size or size * 100 // self.percent > size
+        return size - least + 1 if size and unequal else 0
+
+    def needed(self, a: int, b: int) -> int:
+        """The least overlap of a linked pair of these sizes."""
+        return -(-self.percent * (a + b) // (100 + self.percent))
+
+    def overlap(self, p: np.ndarray, q: np.ndarray) -> int | None:
+        """The overlap of two sorted rows counted by column blocks, None once out of reach."""
+        need = max(1, self.needed(len(p), len(q)))
+        if min(len(p), len(q)) < need:
+            return None
+        limits = np.arange(1, BLOCKS, dtype=np.uint64) * np.uint64(2**64 // BLOCKS)
+        ends_p = [0, *np.searchsorted(p, limits).tolist(), len(p)]
+        ends_q = [0, *np.searchsorted(q, limits).tolist(), len(q)]
+        count = 0
+        for i in range(BLOCKS):
+            x, y = p[ends_p[i] : ends_p[i + 1]], q[ends_q[i] : ends_q[i + 1]]
+            if len(x) and len(y):
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                count += int((y[at] == x).sum())
+            if count + min(len(p) - ends_p[i + 1], len(q) - ends_q[i + 1]) < need:
+                return None
+        return count
+
+    def reach(self, count: Column, a: str, b: str) -> Column:
+        """Whether a pair of sizes a and b with this overlap of prefixes can be linked.
+
+        Behind the prefix that ends first there are at most ceil(percent * size) - 1 entries.
+        """
+        rest = F.expr(f"(greatest({a}, {b}) * {self.percent} + 99) div 100 - 1")
+        return count + rest >= F.expr(f"({self.percent} * ({a} + {b}) + {99 + self.percent}) div {100 + self.percent}")
+
+
+def _sets(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, the set's key in two halves, and the set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingle = Shingler(n)
@@ -162,181 +151,212 @@ def _rows(docs: DataFrame, n: int, percent: int) -> DataFrame:
             for start in range(0, batch.num_rows, SLICE_ROWS):
                 part = batch.slice(start, SLICE_ROWS)
                 sets = [shingle(t) for t in part.column(1).to_pylist()]
-                keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64)
-                sigs = signatures(sets, bounds)
-                offsets = np.concatenate(([0], np.cumsum([len(s) for s in sigs]))).astype(np.int32)
-                flat = np.concatenate(sigs).view(np.int64) if sigs else np.empty(0, np.int64)
+                raw = [s.tobytes() for s in sets]
+                keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column(0),
-                        pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(keys[::2]),
-                        pa.array(keys[1::2]),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-                    ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "sigs"],
+                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[::2]), pa.array(keys[1::2]), pa.array(raw, pa.binary())],
+                    names=["doc_id", "n_shingles", "k1", "k2", "grams"],
                 )
 
-    return bounded_batches(docs.select(F.col("doc_id").cast("long"), utf8().alias("text"))).mapInArrow(
-        run, "doc_id long, n_shingles long, k1 long, k2 long, sigs array<long>"
-    )
+    rows = bounded_batches(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")))
+    return rows.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, grams binary")
 
 
-def _by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
-    """df joined with a materialised list of ids, which is broadcast if its count allows."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, ids.columns, how)
+def _common(sets: DataFrame) -> DataFrame:
+    """The columns that windows of entries hold again and again."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
 
-class _Verifier:
-    """Counts the overlap of candidate pairs on the full sets of the nodes."""
+        def repeated() -> pa.RecordBatch:
+            grams, counts = np.unique(np.concatenate(held), return_counts=True)
+            held.clear()
+            again = counts > 1
+            return pa.RecordBatch.from_arrays([pa.array(grams[again].view(np.int64)), pa.array(counts[again])], names=["gram", "n"])
 
-    def __init__(self, docs: DataFrame, nodes: DataFrame, n: int, percent: int):
-        self.bounds = Bounds(percent)
+        size = 0
+        for batch in batches:
+            for raw in batch.column(0).to_pylist():
+                held.append(np.frombuffer(raw, np.uint64))
+                size += len(held[-1])
+                if size >= WINDOW:
+                    yield repeated()
+                    size = 0
+        if held:
+            yield repeated()
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            shingle = Shingler(n)
-            for batch in batches:
-                sets = [shingle(t).tobytes() for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.binary())], names=["node", "grams"])
+    rows = bounded_batches(sets.select("grams")).mapInArrow(run, "gram long, n long")
+    return rows.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).select("gram")
 
-        texts = docs.select(F.col("doc_id").cast("long").alias("node"), utf8().alias("text"))
-        self.sets = materialize(bounded_batches(_by_ids(texts, nodes, "left_semi")).mapInArrow(run, "node long, grams binary"), "join-sets")
 
-    def __call__(self, pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that reach the bound."""
-        bounds = self.bounds
+def _prefixes(sets: DataFrame, common: np.ndarray, copies: np.ndarray, percent: int) -> DataFrame:
+    """node, k1, k2, size, prefix of sets that can have links; copy: may be a copy or a repeated row."""
+    sc = sets.sparkSession.sparkContext
+    sent_common, sent_copies, bounds = sc.broadcast(common), sc.broadcast(copies), Bounds(percent)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                kept = []
-                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                    p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                    p, q = (p, q) if len(p) <= len(q) else (q, p)
-                    fits = bounds.linked(len(p), len(p), len(q))  # even if all of p is in q
-                    if fits:
-                        at = np.searchsorted(q, p)
-                        overlap = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
-                        fits = bounds.linked(overlap, len(p), len(q)) and overlap > 0
-                    kept.append(fits)
-                yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            wanted = [bounds.prefix(n) for n in batch.column(3).to_pylist()]
+            prefixes = []
+            for raw, n in zip(batch.column(5).to_pylist(), wanted, strict=True):
+                grams = np.frombuffer(raw, np.int64)[: None if n else 0]
+                last = among(sent_common.value, grams)
+                prefixes.append(np.concatenate((grams[~last][:n], grams[last]))[:n])
+            copy = pa.array(among(sent_copies.value, batch.column(4).to_numpy()))
+            offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
+            flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+            out = pa.RecordBatch.from_arrays([*batch.columns[:4], copy, lists], names=["node", "k1", "k2", "size", "copy", "prefix"])
+            yield out.filter(pa.array([n > 0 for n in wanted], pa.bool_()))
+
+    rows = sets.select("doc_id", "k1", "k2", "n_shingles", F.xxhash64("doc_id", "k1", "k2"), "grams")
+    return bounded_batches(rows).mapInArrow(run, "node long, k1 long, k2 long, size long, copy boolean, prefix array<long>")
+
+
+def _postings(nodes: DataFrame, columns: np.ndarray) -> DataFrame:
+    """gram, node, size of the prefix entries that columns may hold."""
+    sent = nodes.sparkSession.sparkContext.broadcast(columns)
 
-        left = self.sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
-        right = self.sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
-        both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-        return materialize(bounded_batches(both).mapInArrow(run, "a long, b long"), "join-links")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(2)
+            flat, ends = lists.flatten().to_numpy(), lists.offsets.to_numpy()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(ends))
+            held = among(sent.value, flat)
+            node, size = (batch.column(i).to_numpy()[row[held]] for i in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(flat[held]), pa.array(node), pa.array(size)], names=["gram", "node", "size"])
 
+    return bounded_batches(nodes.select("node", "size", "prefix")).mapInArrow(run, "gram long, node long, size long")
 
-def classes(docs: DataFrame, n: int = 3, percent: int = 90, small_group: int = SMALL_GROUP) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
-    rows = materialize(_rows(docs, n, percent), "join-rows")
-    usable = rows.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    sets = materialize(usable.groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size")), "join-classes")
-
-    # nodes: the first document of each set; the others are few or in groups of copies
-    copies = usable.select("doc_id", "k1", "k2").join(sets.filter("size > 1"), ["k1", "k2"]).filter("doc_id <> node")
-    copies = materialize(copies.select("doc_id", "k1", "k2").distinct(), "join-copies")
-    incidence = _by_ids(usable.filter(F.size("sigs") > 0), copies, "left_anti").select(F.col("doc_id").alias("node"), F.explode("sigs").alias("sig"))
-
-    # counts alone make the smallest rows for the largest shuffle; pivots need few groups
-    groups = materialize(incidence.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("sig"), "join-groups")
-    held = materialize(incidence.join(groups, "sig"), "join-held")
-    members = materialize(held.join(held.groupBy("sig").agg(F.min("node").alias("pivot")), "sig"), "join-members")
-    nodes = materialize(members.select("node").distinct(), "join-nodes")
-
-    verify = _Verifier(docs, nodes, n, percent)
-    links = verify(members.filter("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    labels = components(links)
 
-    apart = materialize(_apart(members.withColumn("small", F.lit(True)), labels), "join-apart")
-    apart = apart.join(apart.groupBy("sig").agg(F.count(F.lit(1)).alias("size")), "sig")
-    pairs = _across(apart.filter((F.col("size") <= small_group) & (F.col("node") != F.col("pivot"))))
-    refined = _refined(verify.sets, apart.filter(F.col("size") > small_group), percent)
-    pairs = pairs.unionByName(_across(_apart(refined.filter(F.col("size") <= small_group), labels)))
-    large = refined.filter(F.col("size") > small_group).select("sig", "node", "small")
-    shared = materialize(_groups_of(large).join(_sketches(verify.sets), "node"), "join-shared")
-    used = large.limit(0).select("sig", "node")
-    while True:
-        more, pivots = _next_pivots(_apart(large, labels), shared, used, percent)
-        pairs = materialize(pairs.unionByName(more).distinct(), "join-pairs")
-        if not pairs.isEmpty() and not (found := verify(pairs)).isEmpty():
-            links = links.unionByName(found)
-            labels = components(links)
-        if pivots.isEmpty():
-            break
-        used = materialize(used.unionByName(pivots), "join-used")
-        pairs = pairs.limit(0)
+def _sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, grams for the nodes, and for a few others that the bit set lets through."""
+    sent = sets.sparkSession.sparkContext.broadcast(bit_set(nodes))
 
-    known = sets.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component_id"))
-    out = rows.drop("sigs").join(known, ["k1", "k2"], "left")
-    own = F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", own.alias("component_id"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(among(sent.value, batch.column(0).to_numpy())))
 
+    rows = sets.select(F.col("doc_id").alias("node"), "grams")
+    return bounded_batches(rows).mapInArrow(run, "node long, grams binary")
 
-def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
-    """The members, with labels, of groups that hold more than one component."""
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
-    return labelled.join(mixed.select("sig"), "sig")
 
+def _linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose full rows reach the bound."""
+    bounds = Bounds(percent)
 
-def _across(members: DataFrame) -> DataFrame:
-    """Pairs of one small group that are in different components."""
-    left = members.select("sig", F.col("node").alias("a"), F.col("label").alias("label_a"), F.col("small").alias("small_a"))
-    right = members.select("sig", F.col("node").alias("b"), F.col("label").alias("label_b"), F.col("small").alias("small_b"))
-    both = left.join(right, "sig").filter("a < b and label_a <> label_b and (small_a or small_b)")
-    return both.select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [
+                bounds.overlap(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)) is not None
+                for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)
+            ]
+            yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1])
 
+    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
+    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
+    both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
+    return materialize(bounded_batches(both).mapInArrow(run, "a long, b long"), "join-links")
 
-def _refined(sets: DataFrame, members: DataFrame, percent: int) -> DataFrame:
-    """Groups of the members of large groups by single rare shingles: sig, node, size, small.
 
-    Large groups that stay apart are mostly documents that share a passage. Among these
-    documents exact frequencies are affordable, so the rows of their incidence matrix
-    are cut to prefixes: ordered from rare to frequent, the first size - bound + 1
-    shingles of two linked sets have one in common. A passage comes last in this order.
-    The smaller set of a pair has the higher bound and the shorter prefix, so a pair has
-    a member that holds the shingle in its short prefix; small tells which do.
-    """
+def _product(held: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of small columns whose overlap there leaves the bound within reach.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            grams = [np.frombuffer(g, np.int64) for g in batch.column(1).to_pylist()]
-            sizes = np.array([len(g) for g in grams])
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(np.repeat(batch.column(0).to_numpy(zero_copy_only=False), sizes)),
-                    pa.array(np.repeat(sizes - -(-sizes * percent // 100) + 1, sizes)),
-                    pa.array(np.repeat(sizes - -(-sizes * 2 * percent // (100 + percent)) + 1, sizes)),
-                    pa.array(np.concatenate(grams) if grams else np.empty(0, np.int64)),
-                ],
-                names=["node", "prefix", "short", "sig"],
-            )
+    Frequent columns of the prefixes may add as many as the node with fewer of them has.
+    """
+    left = held.select("gram", F.col("node").alias("a"), F.col("size").alias("size_a"))
+    right = held.select("gram", F.col("node").alias("b"), F.col("size").alias("size_b"))
+    sizes = F.least("size_a", "size_b") * 100 >= F.greatest("size_a", "size_b") * percent
+    both = left.join(right, "gram").filter((F.col("a") < F.col("b")) & sizes)
+    counts = both.groupBy("a", "b", "size_a", "size_b").agg(F.count(F.lit(1)).alias("overlap"))
+    more = large.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
+    counts = counts.join(more.select(F.col("node").alias("a"), F.col("n").alias("more_a")), "a", "left")
+    counts = counts.join(more.select(F.col("node").alias("b"), F.col("n").alias("more_b")), "b", "left")
+    most = F.col("overlap") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    return counts.filter(Bounds(percent).reach(most, "size_a", "size_b")).select("a", "b")
 
-    nodes = members.select("node").distinct()
-    rows = bounded_batches(sets.join(nodes, "node", "left_semi").select("node", "grams"))
-    postings = materialize(rows.mapInArrow(run, "node long, prefix long, short long, sig long"), "join-postings")
-    counts = postings.groupBy("sig").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    rarest = Window.partitionBy("node").orderBy(F.coalesce("n", F.lit(1)), "sig")
-    kept = postings.join(counts, "sig", "left").withColumn("place", F.row_number().over(rarest))
-    kept = kept.filter("place <= prefix and n > 1").groupBy("sig", "node").agg(F.max(F.expr("place <= short")).alias("small"))
-    kept = materialize(kept, "join-prefixes")
-    sizes = kept.groupBy("sig").agg(F.count(F.lit(1)).alias("size"), F.max("small").alias("any")).filter("size > 1 and any").drop("any")
-    return materialize(kept.join(sizes, "sig"), "join-refined")
 
+def classes(docs: DataFrame, n: int = 3, percent: int = 90, small_group: int = SMALL_GROUP) -> DataFrame:
+    """doc_id, n_shingles, component_id for each row of docs."""
+    with scratch(docs.sparkSession) as tables:
+        sets = materialize(_sets(docs, n), "join-sets")
+        rows = sets.drop("grams")
+        known = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+        firsts = materialize(rows.filter(known).groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size")), "join-firsts")
+        labels = _labels(tables, sets, firsts, n, percent, small_group)
+        found = firsts.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component_id"))
+        own = F.when(known, F.col("component_id")).otherwise(F.col("doc_id"))
+        out = rows.join(found, ["k1", "k2"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
+        return tables.keep(materialize(out, "join-components"))
+
+
+def _labels(tables: Scratch, sets: DataFrame, firsts: DataFrame, n: int, percent: int, small_group: int) -> DataFrame:
+    """(node, label) of the nodes that have links."""
+    usable = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
+    # rows that aren't a node's only one: copies, and a node's repeated rows
+    copies = usable.select("doc_id", "k1", "k2").join(firsts.filter("size > 1").drop("size"), ["k1", "k2"])
+    copies = copies.groupBy("doc_id", "k1", "k2", "node").agg(F.count(F.lit(1)).alias("n")).filter("doc_id <> node or n > 1")
+    copies = materialize(copies, "join-copies")
+    common = bit_set(_common(usable))
+    prefixes = materialize(_prefixes(usable, common, bit_set(copies.select(F.xxhash64("doc_id", "k1", "k2"))), percent), "join-prefixes")
+    really = copies.filter("doc_id <> node").select(F.col("doc_id").alias("node"), "k1", "k2")
+    others = prefixes.filter("copy").join(really, ["node", "k1", "k2"], "left_anti").dropDuplicates(["node", "k1", "k2"])
+    nodes = prefixes.filter("not copy").unionByName(others.select(prefixes.columns))
+
+    entries = nodes.select(F.explode("prefix").alias("gram"))
+    columns = materialize(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "join-columns")
+    held = materialize(_postings(nodes, bit_set(columns.select("gram"))).join(columns, "gram"), "join-postings")
+    tables.drop(prefixes, columns, copies)
+    small, large = held.filter(F.col("n") <= small_group).drop("n"), held.filter(F.col("n") > small_group).drop("n")
+    pairs = materialize(_product(small, large, percent), "join-pairs")
+    ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
+    node_sets = materialize(_sets_of(usable, ends), "join-node-sets")
+    links = _linked(node_sets, pairs, percent)
+    labels = components(links)
+    members = materialize(large.select(F.col("gram").alias("sig"), "node"), "join-members")
+    return _join_large(tables, members, node_sets, links, labels, percent)
+
+
+def _join_large(tables: Scratch, members: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """The labels once the members (sig, node) of frequent columns are compared, too."""
+    pivots = members.groupBy("sig").agg(F.min("node").alias("pivot"))
+    star = _apart(members, labels).join(pivots, "sig").groupBy("node").agg(F.min("pivot").alias("pivot"))
+    links, labels = _more(tables, sets, star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).filter("a <> b"), links, labels, percent)
+    large = materialize(_apart(members, labels).select("sig", "node"), "join-apart")
+    if large.isEmpty():
+        return labels
+    # by its columns a pair is listed in the first of them only
+    own = large.groupBy("node").agg(F.collect_set("sig").alias("sigs"))
+    shared = materialize(own.join(_sketches(sets), "node").dropDuplicates(["node"]), "join-shared")
+    used = large.limit(0)
+    for turn in range(64):
+        pairs, pivots = _next_pivots(_apart(large, labels), shared, used, percent, turn)
+        if pivots.isEmpty():
+            break
+        links, labels = _more(tables, sets, pairs, links, labels, percent)
+        used = materialize(used.unionByName(pivots), "join-used")
+    return labels
 
-def _groups_of(large: DataFrame) -> DataFrame:
-    """node, short, rest: each node's groups, by whether the node is small in them.
 
-    By these a pair is listed only in the first of the groups that compare it.
-    """
-    sig = lambda small: F.collect_set(F.when(F.col("small") == small, F.col("sig")))
-    return large.groupBy("node").agg(sig(True).alias("short"), sig(False).alias("rest"))
+def _more(tables: Scratch, sets: DataFrame, pairs: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """links and labels, after the pairs that labels doesn't join are compared."""
+    for end in ("a", "b"):
+        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+    differ = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
+    pairs = materialize(pairs.filter(differ).select("a", "b").distinct(), "join-pairs")
+    found = None if pairs.isEmpty() else _linked(sets, pairs, percent)
+    tables.drop(pairs)
+    if found is None or found.isEmpty():
+        return links, labels
+    links = links.unionByName(found)
+    return links, components(links)
 
 
-def _first_group() -> Column:
-    """The smallest sig that a and b share and at least one of them is small in."""
-    first = lambda x, y: F.array_min(F.array_intersect(x, y))
-    return F.least(first("a.short", "b.short"), first("a.short", "b.rest"), first("a.rest", "b.short"))
+def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members, with labels, of columns that hold more than one component."""
+    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
+    return labelled.join(mixed.select("sig"), "sig")
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
@@ -363,30 +383,36 @@ def _can_link(percent: int) -> Column:
     return apart * (100 + percent) <= (100 - percent) * (F.col("a.held") + F.col("b.held"))
 
 
-def _next_pivots(members: DataFrame, shared: DataFrame, used: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """The pairs of each group's next pivots, and the pivots as (sig, node).
+def _next_pivots(members: DataFrame, shared: DataFrame, used: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
+    """The pairs of each column's next pivots, and the pivots as (sig, node).
 
-    The next pivots are members of the group's largest components, which are the
-    likeliest to reach the rest, and of its smallest, which are the rest. Members that
-    were pivots have met everyone; a group is done when the others are one component.
+    The next pivots are members of the column's largest components, which are the
+    likeliest to reach the rest, and of its smallest, which are the rest; each turn
+    takes twice as many. Members that were pivots have met everyone; a column is done
+    when the others are one component.
     """
     members = members.join(used, ["sig", "node"], "left_anti")
-    mixed = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.max("small").alias("any"))
-    members = members.join(mixed.filter("low < high and any").select("sig"), "sig").join(shared, "node")
-    members = materialize(members.select("sig", "node", "label", "small", "short", "rest", "held", "sketch"), "join-open")
+    mixed = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
+    blocks = F.ceil(F.col("size") / SUB_BLOCK).cast("int").alias("blocks")
+    members = members.join(mixed.filter("low < high").select("sig", blocks), "sig")
+    members = materialize(members.select("sig", "node", "label", "blocks"), "join-open")
     sizes = members.groupBy("sig", "label").agg(F.count(F.lit(1)).alias("mates"))
     ranked = members.join(sizes, ["sig", "label"])
 
     def first(mates: Column, n: int) -> DataFrame:
         # Spark cuts this ranking to the wanted rows of a group before its shuffle
         place = F.row_number().over(Window.partitionBy("sig").orderBy(mates, "node"))
-        return ranked.withColumn("place", place).filter(F.col("place") <= n).select("sig", "node", "label", "small", "short", "rest", "held", "sketch")
-
-    best = materialize(first(F.desc("mates"), PIVOTS[0]).unionByName(first(F.asc("mates"), PIVOTS[1])).dropDuplicates(["sig", "node"]), "join-pivots")
-    a, b = best.alias("a"), members.alias("b")
-    once = _first_group() == F.col("a.sig")
-    small = F.col("a.small") | F.col("b.small")
-    pairs = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.label") != F.col("b.label")) & small & once & _can_link(percent))
+        return ranked.withColumn("place", place).filter(F.col("place") <= n).select("sig", "node", "label", "blocks")
+
+    best = first(F.desc("mates"), PIVOTS[0] << turn).unionByName(first(F.asc("mates"), PIVOTS[1] << turn))
+    best = materialize(best.dropDuplicates(["sig", "node"]), "join-pivots")
+    dealt = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    a = best.select("sig", "node", "label", dealt).join(shared, "node").alias("a")
+    block = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block")
+    b = members.select("sig", "node", "label", block).join(shared, "node").alias("b")
+    once = F.array_min(F.array_intersect("a.sigs", "b.sigs")) == F.col("a.sig")
+    same = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.block") == F.col("b.block"))
+    pairs = a.join(b, same & (F.col("a.label") != F.col("b.label")) & once & _can_link(percent))
     pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
     return pairs, best.select("sig", "node")
 
@@ -394,11 +420,13 @@ def _next_pivots(members: DataFrame, shared: DataFrame, used: DataFrame, percent
 def drop_near_duplicates(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
     """docs with the smallest doc_id of each component; columns as before.
 
-    Documents that are linked with nothing stay. Only the ids to drop take part in the
-    join.
+    Documents that are linked with nothing stay. Texts of those that stay aren't
+    shuffled, see without().
     """
-    found = classes(docs, n, percent).filter("component_id <> doc_id").select("doc_id").distinct()
-    return _by_ids(docs, materialize(found, "join-dropped"), "left_anti").select(*docs.columns)
+    with scratch(docs.sparkSession) as tables:
+        found = classes(docs, n, percent).filter("component_id <> doc_id").select("doc_id").distinct()
+        lost = tables.keep(materialize(found, "join-dropped"))
+    return without(docs, lost, [F.col("doc_id").cast("long")])
 
 
 ORACLE_SQL = """

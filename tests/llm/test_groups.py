@@ -152,14 +152,44 @@ def test_join_equals_all_pairs(spark, seed, n, percent, small, monkeypatch):
     assert got == brute_components(rows, n, percent)
 
 
-def test_pivots_pass_groups_in_which_neither_is_small(spark):
-    # nodes 1 and 2 share group 5, in which neither is small, and the larger group 9, in which one is
-    rows = [(5, 1, 1, False), (5, 2, 2, False), (5, 3, 3, True), (9, 1, 1, True), (9, 2, 2, False), (9, 3, 3, False)]
-    large = spark.createDataFrame(rows, "sig long, node long, label long, small boolean")
+def test_frequent_columns_list_a_pair_once(spark):
+    # nodes 1 to 3 share columns 5 and 9; only the first of them lists their pairs
+    rows = [(g, v, v) for g in (5, 9) for v in (1, 2, 3)] + [(9, 4, 4)]
+    large = spark.createDataFrame(rows, "sig long, node long, label long")
     sketch = F.array(*[F.lit(1)] * ngram_join.SKETCH)
-    shared = ngram_join._groups_of(large).withColumns({"held": F.lit(ngram_join.SKETCH).cast("long"), "sketch": sketch})
-    pairs, _ = ngram_join._next_pivots(large, shared, large.limit(0).select("sig", "node"), 90)
-    assert {tuple(r) for r in pairs.collect()} == {(1, 2), (1, 3), (2, 3)}
+    shared = large.groupBy("node").agg(F.collect_set("sig").alias("sigs")).withColumns({"held": F.lit(ngram_join.SKETCH).cast("long"), "sketch": sketch})
+    pairs, _ = ngram_join._next_pivots(large, shared, large.limit(0).select("sig", "node"), 90, 0)
+    assert sorted(map(tuple, pairs.distinct().collect())) == [(1, 2), (1, 3), (1, 4), (2, 3), (2, 4), (3, 4)]
+
+
+def test_unlinked_members_of_a_frequent_column(spark, monkeypatch):
+    """Members that share columns and no links: few rounds, and only pairs alike by counts are listed."""
+    rng = random.Random(9)
+    passage = [f"p{i}" for i in range(30)]
+    rows = [(i, " ".join(passage + [f"w{rng.randrange(10**6)}" for _ in range(14)])) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    turns, listed = [], []
+    following, linked = ngram_join._next_pivots, ngram_join._linked
+    monkeypatch.setattr(ngram_join, "_next_pivots", lambda *a: (turns.append(a[-1]), following(*a))[1])
+    monkeypatch.setattr(ngram_join, "_linked", lambda s, pairs, p: (listed.append(pairs.count()), linked(s, pairs, p))[1])
+    monkeypatch.setattr(ngram_join, "PIVOTS", (1, 7))
+    got = sorted(tuple(r) for r in ngram_join.classes(df, 1, 80).collect())
+    assert got == brute_components(rows, 1, 80)
+    assert len(turns) <= 2 + np.log2(300 / 8) + 1 and sum(listed) <= 300 * 299 / 2
+
+
+def test_bit_set_filters_lose_nothing(spark):
+    from glosswright.llm._membership import among, bit_set, without
+
+    rng = np.random.default_rng(3)
+    values = rng.integers(-(2**63), 2**63 - 1, 5000)
+    df = spark.createDataFrame([(int(v),) for v in values] + [(None,)], "v long")
+    words = bit_set(df)
+    assert among(words, values).all() and among(words, rng.integers(-(2**63), 2**63 - 1, 5000)).mean() < 0.01
+    rows = [(1, "a"), (1, "b"), (2, "a"), (None, "a"), (None, None), (3, None)]
+    docs = spark.createDataFrame(rows, "v long, w string")
+    lost = spark.createDataFrame([(1, "a"), (None, None), (9, "z")], "x long, y string")
+    assert sorted(map(str, map(tuple, without(docs, lost, [F.col("v"), F.col("w")]).collect()))) == sorted(map(str, [(1, "b"), (2, "a"), (None, "a"), (3, None)]))
 
 
 def pool_corpus(seed):
@@ -177,11 +207,10 @@ def pool_corpus(seed):
     return list(enumerate(rows))
 
 
-def test_join_of_documents_without_rare_shingles(spark, monkeypatch):
-    # one signature for all, one-word shingles of a small pool: only pivots find the links
+def test_join_of_documents_without_rare_shingles(spark):
+    # one-word shingles of a small pool: every column is frequent, only pivots find the links
     rows = pool_corpus(6)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    monkeypatch.setattr(ngram_join, "signatures", lambda sets, bounds: [np.ones(1, np.uint64) for _ in sets])
     got = sorted(tuple(r) for r in ngram_join.classes(df, 1, 90, small_group=2).collect())
     assert got == brute_components(rows, 1, 90)
 
@@ -190,6 +219,10 @@ def test_join_edges(spark):
     assert sorted(tuple(r) for r in ngram_join.classes(edge(spark)).collect()) == brute_components([(d, t) for d, t, _ in EDGE], 3, 90)
     assert ngram_join.classes(empty(spark)).count() == 0
     rows = [(None, "a b c d"), (7, "a b c d"), (7, "a b c d"), (9, "a b c d")]
+    many = " ".join(f"w{i}" for i in range(60))
+    repeated = [(5, many)] * 40 + [(6, many + " x")] * 30 + [(8, None)] * 30
+    found = ngram_join.classes(spark.createDataFrame(repeated, "doc_id long, text string")).collect()
+    assert sorted({tuple(r) for r in found}) == [(5, 58, 5), (6, 59, 5), (8, 0, 8)] and len(found) == 100
     got = sorted(str(tuple(r)) for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == ["(7, 2, 7)", "(7, 2, 7)", "(9, 2, 7)", "(None, 2, None)"]
 
