@@ -84,6 +84,11 @@ class Scratch:
         return table
 
 
+def discard(table: DataFrame) -> None:
+    """Deletes a table of materialize() that no scratch() holds."""
+    _delete(table.sparkSession, table._scratch_path)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Scratch]:
     """Tables materialised inside are deleted at the end, on failure too."""
