@@ -49,22 +49,22 @@ def among(words: np.ndarray, values: np.ndarray) -> np.ndarray:
     return (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
 
 
-def without(df: DataFrame, lost: DataFrame, key: list[Column]) -> DataFrame:
+def without(df: DataFrame, lost: DataFrame, key: list[Column], gate: int | None = None) -> DataFrame:
     """df without the rows whose key equals (nulls too) a row of lost; columns as before.
 
-    Rows that can't be among the lost are passed as they lie. Only what the bit set
-    lets through goes to the exact join, so neither the broadcast nor the join grows
-    with the rows that stay.
+    Rows that can't be among the lost, by the first `gate` columns of the key, are passed
+    as they lie. Only what the bit set lets through goes to the exact join, so neither
+    the broadcast nor the join grows with the rows that stay.
     """
     names = [f"_lost_{i}_{c}" for i, c in enumerate(lost.columns)]
     lost = lost.toDF(*names)
-    sent = df.sparkSession.sparkContext.broadcast(bit_set(lost.select(F.xxhash64(*names))))
+    sent = df.sparkSession.sparkContext.broadcast(bit_set(lost.select(F.xxhash64(*names[:gate]))))
 
     @F.pandas_udf("boolean")
     def maybe(h: pd.Series) -> pd.Series:
         return pd.Series(among(sent.value, h.to_numpy()))
 
-    hit = maybe(F.xxhash64(*key))
+    hit = maybe(F.xxhash64(*key[:gate]))
     same = F.lit(True)
     for k, c in zip(key, names, strict=True):
         same = same & k.eqNullSafe(F.col(c))

@@ -26,10 +26,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glosswright.llm._common import ascii_lower, materialize
+from glosswright.llm._membership import without
+from glosswright.sources.storage import scratch
 
-#: Counters of a summary: a digest held by more than 1/4096 of the rows is heavy.
+#: Counters of a partition's summary, and candidates at most. A digest that stands more than
+#: n / 4096 + 1 times among the n rows of a partition is sure to be in that partition's summary.
 COUNTERS = 4096
 
+
 def digest() -> Column:
     return F.unhex(F.sha2(ascii_lower(F.coalesce(F.col("text"), F.lit(""))), 256))
 
@@ -94,13 +98,13 @@ def decide(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
 def drop_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """docs without the rows that lost; its columns are as before.
 
-    Only the losers' ids and digests take part in the join. Spark broadcasts them
-    when their measured size is below its threshold and shuffles otherwise.
+    Documents that stay aren't shuffled: a bit set of the losers' ids passes them where
+    they lie, see without().
     """
-    lost = decide(docs, counters).filter(~F.col("kept")).select(F.col("doc_id").alias("lost_id"), F.col("digest").alias("lost_digest"))
-    lost = materialize(lost, "exact-lost")
-    on = F.col("doc_id").eqNullSafe(F.col("lost_id")) & digest().eqNullSafe(F.col("lost_digest"))
-    return docs.join(lost, on, "left_anti")
+    with scratch(docs.sparkSession) as tables:
+        lost = decide(docs, counters).filter(~F.col("kept")).select("doc_id", "digest")
+        lost = tables.keep(materialize(lost, "exact-lost"))
+    return without(docs, lost, [F.col("doc_id"), digest()], gate=1)
 
 
 def report(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:

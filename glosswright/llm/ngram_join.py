@@ -18,8 +18,11 @@ Further blocks. For the pairs that are left the overlap is counted block by bloc
 all columns, and a pair goes when its count and what is left of either row fall below
 the bound.
 
-Frequent columns. Only columns of up to `small_group` members list their pairs. In the
-others each member first meets one pivot, the smallest member of its columns; what is
+Frequent columns. Only columns of up to `small_group` members list their pairs. The
+members of the others get new prefixes, in which those columns come last as well: two
+nodes that share frequent columns alone are both among them, so they meet in a rarer
+one. In columns that are frequent even then, those of large families or of documents
+that are little more than a common passage, each member first meets one pivot, the smallest member of its columns; what is
 of one component then needs no comparing. Where components remain apart, pivots of
 them, twice as many in each round, meet the members of other components, dealt by
 sub-blocks of SUB_BLOCK members. A sketch (counts by SKETCH blocks of columns) bounds
@@ -189,13 +192,18 @@ def _common(sets: DataFrame) -> DataFrame:
     return rows.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).select("gram")
 
 
-def _prefixes(sets: DataFrame, common: np.ndarray, copies: np.ndarray, percent: int) -> DataFrame:
-    """node, k1, k2, size, prefix of sets that can have links; copy: may be a copy or a repeated row."""
+def _prefixes(sets: DataFrame, common: np.ndarray, copies: np.ndarray, only: np.ndarray | None, percent: int) -> DataFrame:
+    """node, k1, k2, size, prefix of sets that can have links; copy: may be a copy or a repeated row.
+
+    only: a bit set that may hold the nodes that are wanted.
+    """
     sc = sets.sparkSession.sparkContext
-    sent_common, sent_copies, bounds = sc.broadcast(common), sc.broadcast(copies), Bounds(percent)
+    sent_common, sent_copies, sent_only, bounds = sc.broadcast(common), sc.broadcast(copies), sc.broadcast(only), Bounds(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
+            if sent_only.value is not None:
+                batch = batch.filter(pa.array(among(sent_only.value, batch.column(0).to_numpy())))
             wanted = [bounds.prefix(n) for n in batch.column(3).to_pylist()]
             prefixes = []
             for raw, n in zip(batch.column(5).to_pylist(), wanted, strict=True):
@@ -259,10 +267,11 @@ def _linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     return materialize(bounded_batches(both).mapInArrow(run, "a long, b long"), "join-links")
 
 
-def _product(held: DataFrame, large: DataFrame, percent: int) -> DataFrame:
+def _product(held: DataFrame, large: DataFrame, percent: int, last: bool) -> DataFrame:
     """Pairs (a, b) of small columns whose overlap there leaves the bound within reach.
 
-    Frequent columns of the prefixes may add as many as the node with fewer of them has.
+    Where both nodes have frequent columns, too, the last block adds as many as the
+    node with fewer of them has, and an earlier block leaves the pair to the next.
     """
     left = held.select("gram", F.col("node").alias("a"), F.col("size").alias("size_a"))
     right = held.select("gram", F.col("node").alias("b"), F.col("size").alias("size_b"))
@@ -272,45 +281,62 @@ def _product(held: DataFrame, large: DataFrame, percent: int) -> DataFrame:
     more = large.groupBy("node").agg(F.count(F.lit(1)).alias("n"))
     counts = counts.join(more.select(F.col("node").alias("a"), F.col("n").alias("more_a")), "a", "left")
     counts = counts.join(more.select(F.col("node").alias("b"), F.col("n").alias("more_b")), "b", "left")
-    most = F.col("overlap") + F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
-    return counts.filter(Bounds(percent).reach(most, "size_a", "size_b")).select("a", "b")
+    frequent = F.least(F.coalesce("more_a", F.lit(0)), F.coalesce("more_b", F.lit(0)))
+    if not last:
+        counts, frequent = counts.filter(frequent == 0), F.lit(0)
+    return counts.filter(Bounds(percent).reach(F.col("overlap") + frequent, "size_a", "size_b")).select("a", "b")
 
 
 def classes(docs: DataFrame, n: int = 3, percent: int = 90, small_group: int = SMALL_GROUP) -> DataFrame:
     """doc_id, n_shingles, component_id for each row of docs."""
     with scratch(docs.sparkSession) as tables:
         sets = materialize(_sets(docs, n), "join-sets")
-        rows = sets.drop("grams")
+        rows = materialize(sets.drop("grams"), "join-rows")
         known = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
         firsts = materialize(rows.filter(known).groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size")), "join-firsts")
-        labels = _labels(tables, sets, firsts, n, percent, small_group)
+        copies = _copies(rows.filter(known), firsts)
+        labels = _labels(tables, sets, copies, percent, small_group)
         found = firsts.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component_id"))
         own = F.when(known, F.col("component_id")).otherwise(F.col("doc_id"))
         out = rows.join(found, ["k1", "k2"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
         return tables.keep(materialize(out, "join-components"))
 
 
-def _labels(tables: Scratch, sets: DataFrame, firsts: DataFrame, n: int, percent: int, small_group: int) -> DataFrame:
-    """(node, label) of the nodes that have links."""
+def _copies(rows: DataFrame, firsts: DataFrame) -> DataFrame:
+    """Rows (doc_id, k1, k2, node) that aren't their node's only one: copies, and a node's repeated rows."""
+    held = rows.select("doc_id", "k1", "k2").join(firsts.filter("size > 1").drop("size"), ["k1", "k2"])
+    held = held.groupBy("doc_id", "k1", "k2", "node").agg(F.count(F.lit(1)).alias("n")).filter("doc_id <> node or n > 1")
+    return materialize(held, "join-copies")
+
+
+def _labels(tables: Scratch, sets: DataFrame, copies: DataFrame, percent: int, small_group: int) -> DataFrame:
+    """(node, label) of the nodes that have links. sets goes on the way."""
     usable = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    # rows that aren't a node's only one: copies, and a node's repeated rows
-    copies = usable.select("doc_id", "k1", "k2").join(firsts.filter("size > 1").drop("size"), ["k1", "k2"])
-    copies = copies.groupBy("doc_id", "k1", "k2", "node").agg(F.count(F.lit(1)).alias("n")).filter("doc_id <> node or n > 1")
-    copies = materialize(copies, "join-copies")
+    again = bit_set(copies.select(F.xxhash64("doc_id", "k1", "k2")))
+
+    def block(common: np.ndarray, only: np.ndarray | None) -> tuple[DataFrame, DataFrame]:
+        """The entries (gram, node, size) of the prefixes in small and in frequent columns."""
+        prefixes = materialize(_prefixes(usable, common, again, only, percent), "join-prefixes")
+        really = copies.filter("doc_id <> node").select(F.col("doc_id").alias("node"), "k1", "k2")
+        others = prefixes.filter("copy").join(really, ["node", "k1", "k2"], "left_anti").dropDuplicates(["node", "k1", "k2"])
+        nodes = prefixes.filter("not copy").unionByName(others.select(prefixes.columns))
+        entries = nodes.select(F.explode("prefix").alias("gram"))
+        columns = materialize(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "join-columns")
+        held = materialize(_postings(nodes, bit_set(columns.select("gram"))).join(columns, "gram"), "join-postings")
+        tables.drop(prefixes, columns)
+        return held.filter(F.col("n") <= small_group).drop("n"), held.filter(F.col("n") > small_group).drop("n")
+
     common = bit_set(_common(usable))
-    prefixes = materialize(_prefixes(usable, common, bit_set(copies.select(F.xxhash64("doc_id", "k1", "k2"))), percent), "join-prefixes")
-    really = copies.filter("doc_id <> node").select(F.col("doc_id").alias("node"), "k1", "k2")
-    others = prefixes.filter("copy").join(really, ["node", "k1", "k2"], "left_anti").dropDuplicates(["node", "k1", "k2"])
-    nodes = prefixes.filter("not copy").unionByName(others.select(prefixes.columns))
-
-    entries = nodes.select(F.explode("prefix").alias("gram"))
-    columns = materialize(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "join-columns")
-    held = materialize(_postings(nodes, bit_set(columns.select("gram"))).join(columns, "gram"), "join-postings")
-    tables.drop(prefixes, columns, copies)
-    small, large = held.filter(F.col("n") <= small_group).drop("n"), held.filter(F.col("n") > small_group).drop("n")
-    pairs = materialize(_product(small, large, percent), "join-pairs")
+    small, large = block(common, None)
+    pairs = _product(small, large, percent, last=False)
+    # pairs with frequent columns only have both ends here: these meet in other columns,
+    # once the frequent ones come last
+    common = common | bit_set(large.select("gram").distinct())
+    small, large = block(common, bit_set(large.select("node").distinct()))
+    pairs = materialize(pairs.unionByName(_product(small, large, percent, last=True)).distinct(), "join-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
     node_sets = materialize(_sets_of(usable, ends), "join-node-sets")
+    tables.drop(sets)
     links = _linked(node_sets, pairs, percent)
     labels = components(links)
     members = materialize(large.select(F.col("gram").alias("sig"), "node"), "join-members")
