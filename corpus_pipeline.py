@@ -2,8 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept,
 and returns a DataFrame; run() writes it as Parquet to the shared folder and hands the
-table read back to the next stage. All stages but the last return the columns of
-documents.
+table read back to the next stage; what a stage wrote besides, and the table before it,
+is deleted then. All stages but the last return the columns of documents.
+
+Defined results: null and empty texts are rejected by the first stage, as it scores them
+0. Repeated rows are copies and leave one. An empty table gives no rows. Of equal texts
+the largest doc_id stays, of near copies the smallest. Columns beside doc_id and text
+pass through whatever their names.
 """
 
 from __future__ import annotations
@@ -12,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from glosswright.llm import bpe, decontaminate, exact_dedup, ngram_join, quality
 from glosswright.llm._common import materialize, table
+from glosswright.sources.storage import discard, scratch
 
 
 def reject_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -52,7 +58,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = first = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}")
+        with scratch(spark) as tables:
+            kept = tables.keep(materialize(stage(spark, docs, sf_dir), f"pipeline-{name.replace(' ', '-')}"))
+        if docs is not first:
+            discard(docs)
+        docs = kept
     return STAGES[-1][1](spark, docs, sf_dir)
