@@ -41,3 +41,15 @@ def heading(title: Column) -> Column:
     """`## Avoid (repeat): X` as `avoid: x`."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(title), r"^\s*#+\s*", ""), r"\s*\([^)]*\)\s*(?=:)", "")
     return F.trim(F.regexp_replace(F.regexp_replace(plain, r"\s*:\s*", ": "), r"\s+", " "))
+
+
+# Case types with one of these words belong to the scope of that name.
+SCOPES = ("ssnhl", "conductive")
+
+
+def scope_name(case_type: Column) -> Column:
+    """The scope that a case type names, else other."""
+    out = F.lit("other")
+    for scope in reversed(SCOPES):
+        out = F.when(F.contains(F.lower(case_type), F.lit(scope)), F.lit(scope)).otherwise(out)
+    return out

@@ -17,6 +17,8 @@ from glosswright.plans.ir import Scope
 #: What counts as white space beyond \s, in a character class.
 SPACE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPANS = "array<struct<start:int,stop:int>>"
+#: Matches that one fold gathers.
+FOLD_BLOCK = 256
 
 # Leaders whose comma opens no clause, and characters that stick to text.
 INTRODUCTIONS = ("however", "therefore", "moreover", "furthermore", "instead", "meanwhile")
@@ -65,18 +67,38 @@ def first_span(text: Column, phrase: str, options: Options) -> Column:
     return let(F.length(F.get(F.split(text, rx, 2), F.lit(0))), span)
 
 
-def all_spans(text: Column, rx: str) -> Column:
+def all_spans(text: Column, rx: str | Column) -> Column:
     """All occurrences from left to right: gaps and matches add up to the offsets."""
-    found, gaps = F.regexp_extract_all(text, F.lit(rx), F.lit(0)), F.split(text, rx, -1)
+    rx = F.lit(rx) if isinstance(rx, str) else rx
+    found, gaps = F.regexp_extract_all(text, rx, F.lit(0)), F.split(text, rx, -1)
+    sizes = lambda f: F.zip_with(F.slice(gaps, F.lit(1), F.size(f)), f, lambda g, h: F.struct(F.length(g).alias("gap"), F.length(h).alias("hit")))
+    return let(found, lambda f: F.when(F.size(f) > 0, let(sizes(f), _offsets)).otherwise(F.array().cast(SPANS)))
+
+
+def _offsets(sizes: Column) -> Column:
+    """The spans of consecutive matches, given each one's gap and length.
+
+    A fold copies the list that it builds at every step, so it builds short ones, of
+    FOLD_BLOCK matches from 0 on, and these are moved by their blocks' offsets.
+    """
     none = F.array().cast(SPANS)
 
     def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        stop = start + F.length(pair["hit"])
+        start = acc["at"] + pair["gap"]
+        stop = start + pair["hit"]
         return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(F.struct(start.alias("start"), stop.alias("stop")))).alias("out"))
 
-    pairs = F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("out")), step)["out"]).otherwise(none)
+    def block(i: Column) -> Column:
+        return F.aggregate(F.slice(sizes, i * FOLD_BLOCK + 1, F.lit(FOLD_BLOCK)), F.struct(F.lit(0).alias("at"), none.alias("out")), step)
+
+    def joined(blocks: Column) -> Column:
+        move = lambda acc, b: F.struct((acc["at"] + b["at"]).alias("at"), F.concat(acc["bases"], F.array(acc["at"])).alias("bases"))
+        bases = F.aggregate(blocks, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("bases")), move)["bases"]
+        moved = lambda b, base: F.transform(b["out"], lambda s: F.struct((s["start"] + base).alias("start"), (s["stop"] + base).alias("stop")))
+        return F.flatten(F.zip_with(blocks, bases, moved))
+
+    last = F.floor((F.size(sizes) - 1) / FOLD_BLOCK).cast("int")
+    return let(F.transform(F.sequence(F.lit(0), last), block), joined)
 
 
 def tail(text: Column, start: Column) -> Column:

@@ -8,6 +8,8 @@ of the text it would make.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,8 @@ PROPOSAL = (
     "candidate_id:string,kind:string,label:string,rule_name:string>"
 )
 NOTE = "struct<rule_id:string,reason:string>"
+OBSERVED = "struct<rule_id:string,path:string,type:string,marker:string,expression:string,matched:boolean>"
+EVALUATED = "struct<rule_id:string,reason:string,proposals_count:int,generated_count:int,fallback_count:int,static_count:int,noop_count:int>"
 
 
 def _none(kind: str) -> Column:
@@ -173,8 +177,30 @@ def _with_rule(df: DataFrame, rule: RulePlan, i: int) -> DataFrame:
     return df.withColumn(f"r{i}", _outcome(rule, F.col("text"), F.col("prompt_text"), F.col("tick")))
 
 
+def _observed(rule: RulePlan, text: Column, prompt: Column, tick: Column) -> Column:
+    """What each condition of the rule's guard gave; none of a skipped rule."""
+    if rule.guard is None:
+        return _none(OBSERVED)
+
+    def seen(view: Column) -> Column:
+        found = F.array(*guards.observations(rule.guard, view, prompt))
+        return F.transform(found, lambda o: F.struct(F.lit(rule.rule_id).alias("rule_id"), o["path"].alias("path"), o["type"].alias("type"), o["marker"].alias("marker"), o["expression"].alias("expression"), o["matched"].alias("matched")))
+
+    found = let(scope_start(text, rule.scope), lambda low: let(tail(text, low), seen))
+    return F.when(tick < rule.skip_tokens, _none(OBSERVED)).otherwise(found.cast(f"array<{OBSERVED}>"))
+
+
+def _evaluated(rule: RulePlan, outcome: Column) -> Column:
+    """How many proposals by kind the rule made, and why none."""
+    n = lambda kind: F.size(F.filter(outcome["edits"], lambda e: e["kind"] == kind))
+    return F.struct(
+        F.lit(rule.rule_id).alias("rule_id"), outcome["reason"].alias("reason"), F.size(outcome["edits"]).alias("proposals_count"), n("generated").alias("generated_count"),
+        n("fallback").alias("fallback_count"), n("static").alias("static_count"), outcome["reason"].isNotNull().cast("int").alias("noop_count"),
+    ).cast(EVALUATED)
+
+
 def propose(documents: DataFrame, plan: Plan) -> DataFrame:
-    """documents plus version_id, proposals of the step, and notes on rules without any.
+    """documents plus version_id, proposals of the step, notes on rules without any, and the log's observed and evaluated.
 
     Only the edits at the lowest start go on to the step; the others wait for the next.
     """
@@ -188,7 +214,10 @@ def propose(documents: DataFrame, plan: Plan) -> DataFrame:
     every = F.concat(*(F.col(f"r{i}.edits") for i in n)) if plan.rules else _none(PROPOSAL)
     why = F.array(*(F.struct(F.lit(r.rule_id).alias("rule_id"), F.col(f"r{i}.reason").alias("reason")) for i, r in enumerate(plan.rules)))
     notes = F.filter(why, lambda x: x["reason"].isNotNull()) if plan.rules else _none(NOTE)
-    df = df.withColumn("_all", every).withColumn("notes", notes)
+    seen = [_observed(r, F.col("text"), F.col("prompt_text"), F.col("tick")) for r in plan.rules]
+    df = df.withColumn("_all", every).withColumn("notes", notes).withColumn("observed", F.concat(*seen) if seen else _none(OBSERVED))
+    ran = F.array(*(_evaluated(r, F.col(f"r{i}")) for i, r in enumerate(plan.rules)))
+    df = df.withColumn("evaluated", F.filter(ran, lambda e: ~e["reason"].eqNullSafe(F.lit("skipped"))) if plan.rules else _none(EVALUATED))
     lowest = F.array_min(F.transform("_all", lambda p: p["start"]))
     df = df.withColumn("_low", lowest).withColumn("proposals", F.filter("_all", lambda p: p["start"] == F.col("_low")))
     return df.drop("_all", "_low", *(f"r{i}" for i in n))
@@ -225,27 +254,42 @@ def splice(text: Column, accepted: Column) -> Column:
     )
 
 
-def step(documents: DataFrame, plan: Plan) -> DataFrame:
+def step(documents: DataFrame, plan: Plan, selector: Callable[[Column], Column] | None = None) -> DataFrame:
     """One step of the rule engine: documents with accepted edits, new text and version."""
-    df = propose(documents, plan).withColumn("accepted", settle(F.col("proposals")))
+    df = propose(documents, plan).withColumn("accepted", (selector or settle)(F.col("proposals")))
     df = df.withColumn("new_text", splice(F.col("text"), F.col("accepted")))
     return df.withColumn("new_version_id", version(F.col("new_text"))).withColumn("history", F.transform("accepted", lambda p: p["rule_id"]))
 
 
 def events(stepped: DataFrame) -> DataFrame:
-    """The step's event log: doc_id, seq, type, rule_id, reason, candidate fields.
+    """The step's event log: doc_id, seq, type, rule_id, and what each type tells.
 
-    event_id is derived from document, rule and sequence, so a replay repeats it.
+    Evaluations come with their guards' conditions and with how many proposals by kind
+    the rule made; then what became of the proposals. event_id is derived from document,
+    rule and sequence, so a replay repeats it.
     """
-    none = F.lit(None).cast("string")
-    row = lambda kind, rule, reason=none, cid=none, label=none, ck=none: F.struct(F.lit(kind).alias("type"), rule.alias("rule_id"), reason.alias("reason"), cid.alias("candidate_id"), label.alias("candidate_label"), ck.alias("candidate_kind"))
+    fields = {
+        "rule_id": "string", "reason": "string", "candidate_id": "string", "candidate_label": "string", "candidate_kind": "string", "marker": "string", "node_path": "string",
+        "node_type": "string", "debug_expression": "string", "matched": "boolean", "proposals_count": "int", "generated_count": "int", "fallback_count": "int", "static_count": "int", "noop_count": "int",
+    }
+
+    def row(kind: str, **values: Column) -> Column:
+        return F.struct(F.lit(kind).alias("type"), *(values.get(c, F.lit(None)).cast(t).alias(c) for c, t in fields.items()))
+
+    def of(kind: str, p: Column, **more: Column) -> Column:
+        return row(kind, rule_id=p["rule_id"], candidate_id=p["candidate_id"], candidate_label=p["label"], candidate_kind=p["kind"], **more)
+
     kept = F.col("accepted")
+    counts = ("proposals_count", "generated_count", "fallback_count", "static_count", "noop_count")
     log = F.concat(
-        F.transform("notes", lambda n: row("ProposalRejected", n["rule_id"], n["reason"])),
-        F.transform("proposals", lambda p: row("ProposalScored", p["rule_id"], none, p["candidate_id"], p["label"], p["kind"])),
-        F.transform("accepted", lambda p: row("ProposalAccepted", p["rule_id"], none, p["candidate_id"], p["label"], p["kind"])),
-        F.transform(F.filter("proposals", lambda p: ~F.exists(kept, lambda k: k == p)), lambda p: row("ProposalRejected", p["rule_id"], F.lit("conflict"), p["candidate_id"], p["label"], p["kind"])),
-        F.transform("accepted", lambda p: row("PatchApplied", p["rule_id"], none, p["candidate_id"], p["label"], p["kind"])),
+        F.transform("evaluated", lambda e: row("RuleEvaluationStarted", rule_id=e["rule_id"])),
+        F.transform("observed", lambda o: row("GuardConditionEvaluated", rule_id=o["rule_id"], marker=F.nullif(o["marker"], F.lit("")), node_path=o["path"], node_type=o["type"], debug_expression=o["expression"], matched=o["matched"])),
+        F.transform("evaluated", lambda e: row("ProposalsGenerated", rule_id=e["rule_id"], reason=e["reason"], **{c: e[c] for c in counts})),
+        F.transform("notes", lambda n: row("ProposalRejected", rule_id=n["rule_id"], reason=n["reason"])),
+        F.transform("proposals", lambda p: of("ProposalScored", p)),
+        F.transform("accepted", lambda p: of("ProposalAccepted", p)),
+        F.transform(F.filter("proposals", lambda p: ~F.exists(kept, lambda k: k == p)), lambda p: of("ProposalRejected", p, reason=F.lit("conflict"))),
+        F.transform("accepted", lambda p: of("PatchApplied", p)),
     )
     out = stepped.select("doc_id", F.posexplode(log).alias("seq", "event")).select("doc_id", F.col("seq").cast("long"), "event.*")
     return out.withColumn("event_id", F.sha1(F.concat_ws("|", F.col("doc_id").cast("string"), "rule_id", F.col("seq").cast("string"))))

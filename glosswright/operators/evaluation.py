@@ -6,38 +6,28 @@ grouped aggregation with map-side partials; joins are on case ids.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glosswright.functions.text import safe_divide
-from glosswright.plans.gold import holds, parse_gold
+from glosswright.plans.gold import meets, program
 
-#: Distinct predicates that are compiled into one expression; more are graded in blocks.
-GOLD_BLOCK = 200
+
+def _programs(gold: pd.Series) -> pd.Series:
+    held: dict[str, list[str]] = {}
+    return pd.Series([held[g] if g in held else held.setdefault(g, program(g)) for g in gold.fillna("")])
 
 
 def grade(answers: DataFrame, answer: str = "answer", gold: str = "gold") -> DataFrame:
     """answers plus ok: whether each answer meets its row's gold predicate.
 
-    The distinct predicates are parsed on the driver, GOLD_BLOCK at a time, so neither
-    the driver nor the plan holds them all in one expression.
+    Predicates are parsed where their rows lie, each once in a batch, and run by one
+    expression: the plan doesn't grow with them, and no row is shuffled. A predicate
+    that can't be read fails the job.
     """
-    distinct = answers.select(F.coalesce(gold, F.lit("")).alias("g")).distinct().orderBy("g")
-    graded = answers.withColumn("ok", F.lit(None).cast("boolean"))
-    block: list[str] = []
-
-    def add(df: DataFrame) -> DataFrame:
-        text, key = F.coalesce(F.col(answer), F.lit("")), F.coalesce(F.col(gold), F.lit(""))
-        branch = F.col("ok")
-        for g in block:
-            branch = F.when(key == g, holds(parse_gold(g), text)).otherwise(branch)
-        return df.withColumn("ok", branch)
-
-    for row in distinct.toLocalIterator():
-        block.append(row.g)
-        if len(block) == GOLD_BLOCK:
-            graded, block = add(graded), []
-    return add(graded) if block else graded
+    steps = answers.withColumn("_steps", F.pandas_udf(_programs, "array<string>")(F.col(gold)))
+    return steps.withColumn("ok", meets(F.col("_steps"), F.coalesce(F.col(answer), F.lit("")))).drop("_steps")
 
 
 def accuracy(results: DataFrame, *keys: str) -> DataFrame:
@@ -54,13 +44,48 @@ def last_by_id(results: DataFrame) -> DataFrame:
 
 
 def paired(anchor: DataFrame, candidate: DataFrame) -> DataFrame:
-    """id, case_type, anchor_ok, candidate_ok; raises if the id sets differ."""
-    a = last_by_id(anchor).select("id", "case_type", F.col("ok").alias("anchor_ok"))
-    b = last_by_id(candidate).select("id", F.col("case_type").alias("other_type"), F.col("ok").alias("candidate_ok"))
-    both = a.join(b, "id", "full_outer")
-    complete = F.col("anchor_ok").isNotNull() & F.col("candidate_ok").isNotNull()
-    checked = F.when(complete, F.col("id")).otherwise(F.raise_error(F.lit("the runs have different case ids")))
-    return both.select(checked.alias("id"), F.coalesce("case_type", "other_type").alias("case_type"), "anchor_ok", "candidate_ok")
+    """id, case_type, anchor_ok, candidate_ok; raises if the id sets differ.
+
+    The check is a filter over counts, so it runs whatever columns are read later.
+    """
+    side = lambda df, n: last_by_id(df).select("id", F.lit(n).alias("side"), "case_type", "ok")
+    of = lambda n, c: F.max(F.when(F.col("side") == n, F.col(c)))
+    both = side(anchor, 0).unionByName(side(candidate, 1)).groupBy("id").agg(
+        F.count(F.lit(1)).alias("sides"), F.coalesce(of(0, "case_type"), of(1, "case_type")).alias("case_type"),
+        of(0, "ok").alias("anchor_ok"), of(1, "ok").alias("candidate_ok"),
+    )
+    return both.filter(_must(F.col("sides") == 2, "the runs have different case ids")).drop("sides")
+
+
+def _must(condition: Column, message: str) -> Column:
+    """True, or an error; for filters."""
+    return F.when(condition, F.lit(True)).otherwise(F.raise_error(F.lit(message)).cast("boolean"))
+
+
+def common_ids(a: DataFrame, b: DataFrame) -> DataFrame:
+    """The case ids that both runs have, each once."""
+    return a.select("id").intersect(b.select("id"))
+
+
+def paired_n(anchor: DataFrame, candidate: DataFrame, *keys: str) -> DataFrame:
+    """How many cases both runs have, by keys; a key that only one run has counts 0."""
+    side = lambda df, n: df.select(*keys, "id").distinct().withColumn("side", F.lit(n))
+    sides = side(anchor, 0).unionByName(side(candidate, 1)).groupBy(*keys, "id").agg(F.count(F.lit(1)).alias("sides"))
+    return sides.groupBy(*keys).agg(F.count_if(F.col("sides") == 2).alias("paired_n"))
+
+
+def append(*runs: DataFrame) -> DataFrame:
+    """The rows of several runs one after another; columns that a run lacks are null."""
+    out = runs[0]
+    for r in runs[1:]:
+        out = out.unionByName(r, allowMissingColumns=True)
+    return out
+
+
+def with_defaults(case_types: DataFrame, counts: DataFrame, default: float = 0) -> DataFrame:
+    """Each case type with its counts, or the default where it has none."""
+    columns = [c for c in counts.columns if c != "case_type"]
+    return case_types.join(counts, "case_type", "left").fillna(default, subset=columns)
 
 
 def transitions(pairs: DataFrame, *keys: str) -> DataFrame:
@@ -96,9 +121,11 @@ def runtime_means(results: DataFrame, *keys: str) -> DataFrame:
 
 
 def metric_grid(results: DataFrame, variants: tuple[str, ...], scopes: tuple[str, ...]) -> DataFrame:
-    """One row for each variant and scope, also where there are no results."""
-    spark = results.sparkSession
-    spine = spark.createDataFrame([(v, s) for v in variants for s in scopes], "variant string, scope string")
+    """One row for each variant and scope, also where there are no results; repeated keys are an error."""
+    keys = [(v, s) for v in variants for s in scopes]
+    if len(set(keys)) < len(keys):
+        raise ValueError("a variant or a scope is named twice")
+    spine = results.sparkSession.createDataFrame(keys, "variant string, scope string")
     got = results.groupBy("variant", "scope").agg(F.count(F.lit(1)).alias("n"), F.count_if("ok").alias("correct"), F.avg("runtime_sec").alias("sec"))
     out = F.broadcast(spine).join(got, ["variant", "scope"], "left")
     return out.withColumn("accept", F.when(F.col("n") > 0, safe_divide(F.col("correct"), F.col("n"))))

@@ -148,7 +148,7 @@ def _blocks(text: str) -> list[_Block]:
             held = block.sections[name]
             block.sections[name] = replace(held, values=(*held.values, m[1].strip()))
         else:
-            raise RulesSyntaxError("Invalid rules syntax", number, len(raw) - len(raw.lstrip()) + 1, line)
+            raise RulesSyntaxError("This line fits no part of a rule", number, len(raw) - len(raw.lstrip()) + 1, line)
     return blocks
 
 
@@ -158,9 +158,9 @@ def _section_name(m: re.Match, number: int, line: str) -> tuple[str, Options]:
     modes = {x for x in modifiers if x in MODES}
     matching = [x for x in modifiers if x not in MODES]
     if len(modes) > 1:
-        raise RulesSyntaxError("Contradictory section set-mode modifiers", number, 1, line)
+        raise RulesSyntaxError("This section asks for more than one mode", number, 1, line)
     if matching and label not in MATCHING:
-        raise RulesSyntaxError(f"Unsupported modifier '{matching[0]}' in {label.title()} section", number, 1, line)
+        raise RulesSyntaxError(f"A {label} section doesn't take '{matching[0]}'", number, 1, line)
     return ":".join([label, *modes]), match_options(matching, f"{label} section")
 
 
@@ -169,7 +169,7 @@ def _variants(value: str) -> tuple[int, list[str]]:
     parts = re.findall(r"\\.|\|+|[^\\|]+|\\$", value)
     widths = {len(p) for p in parts if p[0] == "|"}
     if len(widths) > 1:
-        raise RulesSyntaxError("Invalid rules syntax", snippet=value)
+        raise RulesSyntaxError("This template has uneven bars or an empty variant", snippet=value)
     variants = [""]
     for p in parts:
         if p[0] == "|":
@@ -178,7 +178,7 @@ def _variants(value: str) -> tuple[int, list[str]]:
             variants[-1] += p[1] if p[0] == "\\" and len(p) > 1 else p
     variants = [v.strip() for v in variants]
     if not all(variants):
-        raise RulesSyntaxError("Invalid rules syntax", snippet=value)
+        raise RulesSyntaxError("This template has uneven bars or an empty variant", snippet=value)
     return (widths.pop() if widths else 0), variants
 
 
@@ -188,7 +188,7 @@ def _expanded(block: _Block) -> list[_Block]:
     counts: dict[int, int] = {}
     for width, variants in itertools.chain.from_iterable(found.values()):
         if width and counts.setdefault(width, len(variants)) != len(variants):
-            raise RulesSyntaxError("Invalid rules syntax", block.line, 1, block.title)
+            raise RulesSyntaxError("Templates of one bar width differ in their number of variants", block.line, 1, block.title)
     out = []
     for picks in itertools.product(*(range(n) for _, n in sorted(counts.items()))):
         pick = dict(zip(sorted(counts), picks, strict=True)) | {0: 0}
@@ -205,11 +205,11 @@ def _rule(block: _Block, index: int) -> Rule | None:
     for name, section in block.sections.items():
         base = name.partition(":")[0]
         if base not in MATCHING and (bad := [v for v in section.values if _ITEM.fullmatch(v)]):
-            raise RulesSyntaxError(f"Unsupported item modifier in {base.title()} section", block.line, 1, bad[0])
+            raise RulesSyntaxError(f"Items of a {base} section take no modifiers", block.line, 1, bad[0])
     modifiers = _modifiers(m[2])
     fires = {x for x in modifiers if x in ("once", "repeat")}
     if len(fires) > 1:
-        raise RulesSyntaxError("Contradictory fire modifiers in rule header", block.line, 1, block.title)
+        raise RulesSyntaxError("A rule can't be both once and repeat", block.line, 1, block.title)
     matching = [x for x in modifiers if x in CASE_SENSITIVE | CASE_INSENSITIVE | WHOLE_WORD]
     edit, chosen = ("everything", 0), False
     for x in modifiers:

@@ -1,4 +1,4 @@
-"""Gold predicates: boolean text conditions, parsed on the driver to a Column."""
+"""Gold predicates: boolean text conditions, parsed to programs that a Column runs."""
 
 from __future__ import annotations
 
@@ -79,15 +79,46 @@ def _line(line: str):
 
 
 def holds(tree, answer: Column) -> Column:
-    """Whether the answer meets the predicate; terms are substrings without case."""
-    if tree is None:
-        return F.lit(True)
-    kind, part = tree
-    if kind == "term":
-        return F.contains(F.lower(answer), F.lower(F.lit(part)))
-    if kind == "not":
-        return ~holds(part, answer)
-    out = holds(part[0], answer)
-    for p in part[1:]:
-        out = out & holds(p, answer) if kind == "and" else out | holds(p, answer)
-    return out
+    """Whether the answer meets one parsed predicate."""
+    return meets(F.array(*map(F.lit, _postfix(tree))).cast("array<string>"), answer)
+
+
+def program(gold: str) -> list[str]:
+    """The predicate in postfix: "=term", and "!", "&", "|" for what stands before them."""
+    return _postfix(parse_gold(gold))
+
+
+def _postfix(tree) -> list[str]:
+
+    def walk(tree) -> list[str]:
+        kind, part = tree
+        if kind == "term":
+            return [f"={part}"]
+        if kind == "not":
+            return [*walk(part), "!"]
+        out = walk(part[0])
+        for p in part[1:]:
+            out += [*walk(p), "&" if kind == "and" else "|"]
+        return out
+
+    return [] if tree is None else walk(tree)
+
+
+def meets(steps: Column, answer: Column) -> Column:
+    """Whether the answer meets a program; terms are substrings without case.
+
+    One expression of constant size runs every program: a fold with a stack.
+    """
+
+    def step(stack: Column, x: Column) -> Column:
+        n = F.size(stack)
+        last, second = F.get(stack, n - 1), F.get(stack, n - 2)
+        push = lambda k, v: F.concat(F.slice(stack, F.lit(1), F.greatest(n - k, F.lit(0))), F.array(v))
+        return (
+            F.when(F.startswith(x, F.lit("=")), push(0, F.contains(F.lower(answer), F.lower(F.substring(x, 2, 1 << 30)))))
+            .when(x == "!", push(1, ~last))
+            .when(x == "&", push(2, second & last))
+            .otherwise(push(2, second | last))
+        )
+
+    return F.coalesce(F.get(F.aggregate(steps, F.array().cast("array<boolean>"), step), F.lit(0)), F.lit(True))

@@ -79,7 +79,6 @@ class RulePlan:
 @dataclass(frozen=True)
 class Plan:
     rules: tuple[RulePlan, ...]
-    version: str = "core-full-v2"
 
 
 def all_of(nodes: list):
@@ -165,6 +164,7 @@ def terms_of(node) -> list[Term]:
     return [t for c in children for t in terms_of(c)]
 
 
+# Spellings of the numeric options.
 _OPTION_NAMES = {
     "probe_num_beams": ("num_beams", "beams", "beam_width", "width", "k", "trajectories", "max trajectories", "max_trajectories"),
     "probe_max_new_tokens": ("max_new_tokens", "probe_max_new_tokens", "tokens", "token_count"),
@@ -184,18 +184,25 @@ def _numeric_options(bullets: tuple[str, ...]) -> dict[str, float]:
     return out
 
 
+# Spellings of the options that say whether an edit waits for a closing parenthesis.
+_REGIME_KEYS = ("regime", "fire regime", "parenthesis regime")
+_FLAG_KEYS = ("wait for closing", "wait for closing parenthesis")
+_REGIMES = {True: ("fire after closing", "wait for closing", "wait", "default"), False: ("don't wait for closing", "dont wait for closing", "no wait")}
+_FLAGS = {True: ("true", "yes", "1", "on"), False: ("false", "no", "0", "off")}
+_WAITS = {
+    (key, value): wait
+    for keys, spellings in ((_REGIME_KEYS, _REGIMES), (_FLAG_KEYS, _FLAGS))
+    for key in keys
+    for wait, values in spellings.items()
+    for value in values
+}
+
+
 def _waits(bullets: tuple[str, ...]) -> bool:
-    wait = True
-    words = lambda s: " ".join(s.lower().replace("_", " ").split())
-    for b in bullets:
-        key, _, value = map(words, b.partition(":"))
-        if key in ("regime", "fire regime", "parenthesis regime"):
-            wait = {"fire after closing": True, "wait for closing": True, "wait": True, "default": True}.get(
-                value, False if value in ("don't wait for closing", "dont wait for closing", "no wait") else wait
-            )
-        elif key in ("wait for closing", "wait for closing parenthesis"):
-            wait = True if value in ("true", "yes", "1", "on") else False if value in ("false", "no", "0", "off") else wait
-    return wait
+    """The last bullet that is in the table decides; without one the edit waits."""
+    flat = lambda s: " ".join(s.lower().replace("_", " ").split())
+    known = [_WAITS[k] for b in bullets if (k := tuple(map(flat, b.partition(":")[::2]))) in _WAITS]
+    return known[-1] if known else True
 
 
 def _candidates(prefix: str, texts: tuple[str, ...], kind: str = "static") -> tuple[Candidate, ...]:

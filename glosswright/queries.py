@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glosswright.functions import guards
 from glosswright.functions.text import all_spans, contains_phrase, regex, scope_start, sentence_floor, slug, tail, version
-from glosswright.operators import editing, evaluation, telemetry
+from glosswright.operators import avoid, editing, evaluation, scoring, telemetry
 from glosswright.plans.dsl import Options
 from glosswright.plans.ir import All, Any, Not, Scope, Term, Then, compile_rules
 from glosswright.streaming import replay
@@ -33,8 +33,8 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _english(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "documents").filter("lang = 'en'").select("doc_id", "text")
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "documents").select("doc_id", "text")
 
 
 # --- matching ------------------------------------------------------------------------
@@ -55,20 +55,20 @@ def match_all_none_guard(spark, sf_dir):
 
 
 @query("""WITH d AS (
-  SELECT doc_id, regexp_matches(lower(text), '(?s)token.*license') AS ordered FROM documents
+  SELECT doc_id, regexp_matches(lower(text), '(?s)of the.*with') AS ordered FROM documents
 ) SELECT doc_id FROM d WHERE ordered""")
 def match_ordered_then(spark, sf_dir):
-    found = guards.matches(Then(Term("token", FOLD), Term("license", FOLD)), F.col("text"))
+    found = guards.matches(Then(Term("of the", FOLD), Term("with", FOLD)), F.col("text"))
     return _t(spark, sf_dir, "documents").filter(found).select("doc_id")
 
 
 @query(r"""WITH d AS (
-  SELECT doc_id, string_split_regex(text, '(?i)\bof the\b') AS g, regexp_extract_all(text, '(?i)\bof the\b') AS m FROM documents WHERE lang = 'en'
+  SELECT doc_id, string_split_regex(text, '(?i)\bof the\b') AS g, regexp_extract_all(text, '(?i)\bof the\b') AS m FROM documents
 ), e AS (SELECT doc_id, g, m, unnest(range(1, len(m) + 1)) AS i FROM d)
 SELECT doc_id, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i-1], lambda x: length(x))), 0) AS BIGINT) AS start,
   CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + list_sum(list_transform(m[1:i], lambda x: length(x))) AS BIGINT) AS stop FROM e""")
 def match_spans_exploded(spark, sf_dir):
-    spans = _english(spark, sf_dir).select("doc_id", F.explode(all_spans(F.col("text"), regex("of the", WORD))).alias("s"))
+    spans = _texts(spark, sf_dir).select("doc_id", F.explode(all_spans(F.col("text"), regex("of the", WORD))).alias("s"))
     return spans.select("doc_id", F.col("s.start").cast("long").alias("start"), F.col("s.stop").cast("long").alias("stop"))
 
 
@@ -77,10 +77,10 @@ def numeric_range_pattern(spark, sf_dir):
     return _t(spark, sf_dir, "documents").select("doc_id", contains_phrase(F.col("text"), "15-25", FOLD).alias("in_range"))
 
 
-@query(r"SELECT lang, count(*) FILTER (regexp_matches(text, '(?i)\bIT\b')) AS n_word, count(*) FILTER (regexp_matches(text, '(?i)Re')) AS n_part FROM documents WHERE lang = 'en' GROUP BY lang")
+@query(r"SELECT lang, count(*) FILTER (regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])IT(?:$|[^\p{L}\p{N}_])')) AS n_word, count(*) FILTER (regexp_matches(text, '(?i)Re')) AS n_part FROM documents GROUP BY lang")
 def acronym_word_boundary(spark, sf_dir):
     text = F.col("text")  # capitals alone stand for a whole word
-    return _t(spark, sf_dir, "documents").filter("lang = 'en'").groupBy("lang").agg(
+    return _t(spark, sf_dir, "documents").groupBy("lang").agg(
         F.count_if(contains_phrase(text, "IT", FOLD)).alias("n_word"), F.count_if(contains_phrase(text, "Re", FOLD)).alias("n_part")
     )
 
@@ -123,16 +123,19 @@ With:
 """
 
 
-@query(r"""WITH d AS (
-  SELECT doc_id, coalesce(text, '') AS text, regexp_extract(coalesce(text, ''), '(?is)^(.*?)\bwith\b', 1) AS before,
-    regexp_matches(coalesce(text, ''), '(?i)\bof the\b') AND regexp_matches(coalesce(text, ''), '(?i)\bwith\b') AND NOT contains(lower(coalesce(text, '')), 'together with') AS hit
-  FROM documents WHERE lang = 'en'
-), e AS (SELECT *, right(before, 1) AS l, substr(text, length(before) + 5, 1) AS r FROM d
+_HITS = r"""WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract(coalesce(text, ''), '(?is)^(|.*?[^\p{L}\p{N}_])with(?:$|[^\p{L}\p{N}_])', 1) AS before,
+    regexp_matches(coalesce(text, ''), '(?i)(?:^|[^\p{L}\p{N}_])of the(?:$|[^\p{L}\p{N}_])') AND regexp_matches(coalesce(text, ''), '(?i)(?:^|[^\p{L}\p{N}_])with(?:$|[^\p{L}\p{N}_])') AND NOT contains(lower(coalesce(text, '')), 'together with') AS hit
+  FROM documents
+)"""
+
+
+@query(_HITS + r""", e AS (SELECT *, right(before, 1) AS l, substr(text, length(before) + 5, 1) AS r FROM d
 ), f AS (
   SELECT doc_id, hit, text, CASE WHEN hit THEN before || CASE WHEN l <> '' AND NOT regexp_matches(l, '\s') AND NOT contains('([{*_`~', l) THEN ' ' ELSE '' END || 'together with' || substr(text, length(before) + 5) ELSE text END AS new_text FROM e
 ) SELECT doc_id, hit::BIGINT AS n_edits, substr(sha256(text), 1, 16) AS version_id, substr(sha256(new_text), 1, 16) AS new_version_id FROM f""")
 def replace_first_anchor(spark, sf_dir):
-    out = editing.step(_english(spark, sf_dir), compile_rules(REPLACE))
+    out = editing.step(_texts(spark, sf_dir), compile_rules(REPLACE))
     return out.select("doc_id", F.size("accepted").cast("long").alias("n_edits"), "version_id", "new_version_id")
 
 
@@ -189,7 +192,8 @@ def rule_step_events(spark, sf_dir):
     return out.groupBy("type", "rule_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+@query("""SELECT * FROM (VALUES (0::BIGINT, 'avoid', 'avoid:hedging', 'repeat', 2::BIGINT, 0::BIGINT), (1, 'avoid', 'avoid:hedging', 'repeat', 2, 0),
+  (2, 'after', 'after:license', 'once', 1, 9), (3, 'replace', 'replace:tion', 'once', 1, 1), (4, 'avoid', 'avoid:secrets', 'repeat', 1, 1)) t(idx, kind, name, fire, n_candidates, n_anchors)""")
 def template_expanded_rules(spark, sf_dir):
     rules = compile_rules(RULES).rules
     rows = [(i, r.kind, r.name, r.fire, len(r.candidates), len(r.anchors)) for i, r in enumerate(rules)]
@@ -250,11 +254,11 @@ def prompt_boundary_guard(spark, sf_dir):
     return asked.join(answers, ["conv_id", "turn"]).filter(guards.matches(_BOUNDARY, F.col("text"), F.col("prompt"))).select("conv_id", "turn")
 
 
-@query("""WITH d AS (SELECT contains(lower(text), 'token') AS a, contains(lower(text), 'license') AS b FROM documents)
-SELECT 'guard' AS path, 'Then' AS type, count(*) AS seen, count(*) FILTER (m) AS matched FROM (SELECT regexp_matches(lower(text), '(?s)token.*license') AS m FROM documents)
+@query("""WITH d AS (SELECT contains(lower(text), 'of the') AS a, contains(lower(text), 'with') AS b FROM documents)
+SELECT 'guard' AS path, 'Then' AS type, count(*) AS seen, count(*) FILTER (m) AS matched FROM (SELECT regexp_matches(lower(text), '(?s)of the.*with') AS m FROM documents)
 UNION ALL SELECT 'guard.0', 'Term', count(*), count(*) FILTER (a) FROM d UNION ALL SELECT 'guard.1', 'Term', count(*), count(*) FILTER (b) FROM d""")
 def guard_observations(spark, sf_dir):
-    guard = Then(Term("token", FOLD), Term("license", FOLD))
+    guard = Then(Term("of the", FOLD), Term("with", FOLD))
     seen = F.array(*guards.observations(guard, F.col("text"), F.lit("")))
     rows = _t(spark, sf_dir, "documents").select(F.explode(seen).alias("o"))
     return rows.groupBy(F.col("o.path").alias("path"), F.col("o.type").alias("type")).agg(F.count(F.lit(1)).alias("seen"), F.count_if("o.matched").alias("matched"))
@@ -348,6 +352,188 @@ def rule_family_cases(spark, sf_dir):
     return telemetry.family_cases(per_case.withColumn("rule_name", name)).withColumn("share", F.round("share", 9))
 
 
+ENGINE_RULES = REPLACE + """---
+## Replace (word): and
+Prefix (any):
+- the
+With:
+- as well as
+"""
+_BOTH = _HITS + r""", b AS (
+  SELECT hit AS h1, length(before) AS p1, regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])of the(?:$|[^\p{L}\p{N}_])') AS g1, regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])the(?:$|[^\p{L}\p{N}_])') AS g2,
+    regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])the(?:$|[^\p{L}\p{N}_])') AND regexp_matches(text, '(?i)(?:^|[^\p{L}\p{N}_])and(?:$|[^\p{L}\p{N}_])') AND NOT contains(lower(text), 'as well as') AS h2,
+    length(regexp_extract(text, '(?is)^(|.*?[^\p{L}\p{N}_])and(?:$|[^\p{L}\p{N}_])', 1)) AS p2 FROM d
+)"""
+
+
+def _engine_log(spark, sf_dir):
+    """The log of one step over all documents, with the rules' names."""
+    plan = compile_rules(ENGINE_RULES)
+    names = F.create_map(*(F.lit(x) for r in plan.rules for x in (r.rule_id, r.name)))
+    log = editing.events(editing.step(_texts(spark, sf_dir), plan))
+    return log.withColumn("rule_id", names[F.col("rule_id")])
+
+
+@query(_BOTH + """SELECT 'replace:with' AS rule_id, count(*) AS evaluations, count(*) FILTER (h1) AS firings, count(*) FILTER (h1) AS proposals, 0::BIGINT AS generated, 0::BIGINT AS fallback,
+  count(*) FILTER (h1) AS static, count(*) FILTER (h1 AND (NOT h2 OR p1 < p2)) AS applied FROM b
+UNION ALL SELECT 'replace:and', count(*), count(*) FILTER (h2), count(*) FILTER (h2), 0, 0, count(*) FILTER (h2), count(*) FILTER (h2 AND (NOT h1 OR p2 < p1)) FROM b""")
+def engine_rule_metrics(spark, sf_dir):
+    return telemetry.rule_metrics(_engine_log(spark, sf_dir))
+
+
+@query(_BOTH + """SELECT 'replace:with' AS rule_id, 'prefix' AS section, 'any' AS operator, 'of the' AS debug_expression, count(*) AS seen, count(*) FILTER (g1) AS matched, round(count(*) FILTER (g1) / count(*), 9) AS match_rate FROM b
+UNION ALL SELECT 'replace:and', 'prefix', 'any', 'the', count(*), count(*) FILTER (g2), round(count(*) FILTER (g2) / count(*), 9) FROM b
+UNION ALL SELECT 'replace:with', 'guard', 'Any', 'Any', count(*), count(*) FILTER (g1), round(count(*) FILTER (g1) / count(*), 9) FROM b
+UNION ALL SELECT 'replace:and', 'guard', 'Any', 'Any', count(*), count(*) FILTER (g2), round(count(*) FILTER (g2) / count(*), 9) FROM b""")
+def engine_condition_rates(spark, sf_dir):
+    return telemetry.condition_metrics(_engine_log(spark, sf_dir)).withColumn("match_rate", F.round("match_rate", 9))
+
+
+@query("""WITH p AS (
+  SELECT doc_id % 97 AS doc, 'r' || (doc_id % 5) AS rule_id, CASE doc_id % 3 WHEN 0 THEN 1 ELSE 0 END AS phase, doc_id AS i, -CAST(n_chars AS DOUBLE) / 100 AS score FROM documents
+), r AS (
+  SELECT *, row_number() OVER w AS k, score - lead(score) OVER w AS gap, exp(score - max(score) OVER (PARTITION BY doc, rule_id, phase)) AS ratio FROM p WINDOW w AS (PARTITION BY doc, rule_id, phase ORDER BY score DESC, i)
+), s AS (SELECT *, k = 1 AND (gap IS NULL OR exp(least(gap, 700)) >= 2) AS winner FROM r
+), t AS (SELECT *, min(CASE WHEN winner THEN phase END) OVER (PARTITION BY doc, rule_id) AS won FROM s)
+SELECT doc AS doc_id, rule_id, i AS candidate_index, CAST(phase AS BIGINT) AS phase, round(ratio, 9) AS ratio_to_best, winner FROM t WHERE won IS NULL OR phase <= won""")
+def two_phase_winners(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents")
+    kind = F.when(F.col("doc_id") % 3 == 0, "fallback").when(F.col("doc_id") % 3 == 1, "generated").otherwise("static")
+    rows = d.select(
+        (F.col("doc_id") % 97).alias("doc_id"), F.concat(F.lit("r"), (F.col("doc_id") % 5).cast("string")).alias("rule_id"), F.lit(0).alias("start"), F.lit(1).alias("stop"), F.lit("replace").alias("op"),
+        kind.alias("candidate_kind"), F.col("doc_id").alias("candidate_index"), (-F.col("n_chars").cast("double") / 100).alias("score"),
+    )
+    out = scoring.two_phase(rows, 2.0)
+    return out.select("doc_id", "rule_id", "candidate_index", F.col("phase").cast("long").alias("phase"), F.round("ratio_to_best", 9).alias("ratio_to_best"), "winner")
+
+
+@query("""WITH p AS (
+  SELECT doc_id, doc_id % 3 = 0 AS stale, CAST(n_chars AS BIGINT) AS size, CAST(CASE WHEN doc_id % 7 = 0 THEN -3 ELSE doc_id % 50 END AS BIGINT) AS a, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE CAST(doc_id % 50 + 40 AS BIGINT) END AS b FROM documents WHERE doc_id % 5 <> 0
+) SELECT doc_id, CASE WHEN stale THEN 'proposal_base_version_mismatch' WHEN b IS NULL OR a > b THEN 'invalid_span_dropped' WHEN a < 0 OR a > size OR b > size THEN 'invalid_span_clamped' END AS skip_reason,
+  NOT stale AND b IS NOT NULL AND a <= b AS editable, CASE WHEN NOT stale AND b IS NOT NULL AND a <= b THEN least(greatest(a, 0), size) ELSE a END AS start, CASE WHEN NOT stale AND b IS NOT NULL AND a <= b THEN least(greatest(b, 0), size) ELSE b END AS stop FROM p""")
+def editable_proposals(spark, sf_dir):
+    d, i = _texts(spark, sf_dir), F.col("doc_id")
+    rows = d.select(
+        "doc_id", F.when(i % 5 == 0, "noop").otherwise("replace").alias("op"), F.when(i % 7 == 0, F.lit(-3)).otherwise((i % 50).cast("int")).alias("start"),
+        F.when(i % 11 != 0, (i % 50 + 40).cast("int")).alias("stop"), F.when(i % 3 == 0, "stale").otherwise(version(F.coalesce("text", F.lit("")))).alias("base_version_id"),
+    )
+    out = scoring.checked(rows, d)
+    return out.select("doc_id", "skip_reason", "editable", F.col("start").cast("long").alias("start"), F.col("stop").cast("long").alias("stop"))
+
+
+_PROBED = """WITH q AS (
+  SELECT user_id % 10 AS case_id, 'k' || (json_extract(props, '$.k')::BIGINT % 3) AS cache_key, event_id // 100 AS step, event_id AS seq FROM events
+), n AS (SELECT 'k' || (r_regionkey % 3) AS cache_key, count(*) AS n FROM region GROUP BY 1
+), r AS (
+  SELECT q.*, coalesce(n, 0) AS n, dense_rank() OVER (PARTITION BY case_id, q.cache_key ORDER BY step) AS s, row_number() OVER (PARTITION BY case_id, q.cache_key, step ORDER BY seq) AS i FROM q LEFT JOIN n ON n.cache_key = q.cache_key
+), o AS (SELECT *, CASE WHEN s > n THEN 'empty' WHEN i = 1 THEN 'popped' ELSE 'denied' END AS outcome FROM r
+), p AS (SELECT *, count(*) FILTER (outcome = 'empty') OVER (PARTITION BY case_id, cache_key ORDER BY seq ROWS UNBOUNDED PRECEDING) AS empty_count FROM o)
+"""
+
+
+def _pops(spark, sf_dir):
+    k = F.get_json_object("props", "$.k").cast("long") % 3
+    requests = _t(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("case_id"), F.lit("r").alias("rule_id"), F.concat(F.lit("k"), k).alias("cache_key"), F.floor(F.col("event_id") / 100).alias("step"), F.col("event_id").alias("seq"))
+    probes = _t(spark, sf_dir, "region").select(F.concat(F.lit("k"), F.col("r_regionkey") % 3).alias("cache_key"), F.col("r_name").alias("text"))
+    return avoid.pops(requests, probes)
+
+
+@query(_PROBED + """SELECT case_id, cache_key, seq, outcome, CASE WHEN outcome = 'popped' THEN s END AS probe_rank, empty_count, outcome = 'empty' AND empty_count = 1 AS exhausts FROM p""")
+def avoid_pops(spark, sf_dir):
+    return _pops(spark, sf_dir).select("case_id", "cache_key", "seq", "outcome", F.col("probe_rank").cast("long").alias("probe_rank"), "empty_count", "exhausts")
+
+
+@query(_PROBED + """SELECT case_id, cache_key, count(*) FILTER (outcome = 'popped') AS popped, count(*) FILTER (outcome = 'denied') AS denied, count(*) FILTER (outcome = 'empty') AS empty,
+  bool_or(outcome = 'empty' AND empty_count = 1) AS exhausted FROM p GROUP BY ALL""")
+def avoid_episodes(spark, sf_dir):
+    return avoid.episodes(_pops(spark, sf_dir)).drop("rule_id")
+
+
+_NAMED = """WITH e AS (SELECT *, CAST(json_extract(props, '$.k') AS BIGINT) AS k, 'rule-' || (user_id % 7) AS rule_id,
+  CASE WHEN user_id % 7 < 2 THEN 'avoid' WHEN user_id % 7 < 4 THEN 'replace' WHEN user_id % 7 = 4 THEN 'after' WHEN user_id % 7 = 5 THEN 'force' ELSE 'other' END AS fam FROM events) """
+
+
+def _run_tables(spark, sf_dir):
+    """The event table read as a run: its log, cases, rule statistics and choices."""
+    e = _t(spark, sf_dir, "events")
+    k, u = F.get_json_object("props", "$.k").cast("long"), F.col("user_id") % 7
+    fam = F.when(u < 2, "avoid").when(u < 4, "replace").when(u == 4, "after").when(u == 5, "force").otherwise("other")
+    t = F.col("event_type")
+    kind = (
+        F.when(t == "view", "AvoidProbeEpisodeStarted").when(t == "click", "ProposalsGenerated").when(t == "signup", "AvoidProbeSetGenerated").when(t == "error", "AvoidProbeCandidatePopped")
+        .when(k > 95, "AvoidProbeCacheExhausted").when(k < 10, "ProposalRejected").when(k < 20, "PatchSkipped").otherwise("ProposalAccepted")
+    )
+    rows = e.select(
+        F.col("user_id").alias("case_id"), F.concat(F.lit("rule-"), u).alias("rule_id"), F.concat(fam, F.lit(":x")).alias("rule_name"), t.alias("event_type"), k.alias("k"), kind.alias("type"),
+        F.lit("conflict").alias("reason"), F.concat(F.lit("k"), F.col("user_id") % 50).alias("cache_key"), (k % 3).alias("generated_count"), F.lit(10).alias("probe_budget"),
+    )
+    cases = rows.groupBy("case_id").agg(F.count_if(F.col("event_type") == "purchase").alias("applied_decisions"), (F.count(F.lit(1)) * 0.5).alias("runtime_sec"))
+    rules = rows.groupBy("case_id", "rule_id", "rule_name").agg(
+        F.count_if(F.col("event_type") == "view").alias("evaluations"), F.count_if((F.col("event_type") == "signup") & (F.col("k") > 0)).alias("firings"), F.count_if(F.col("event_type") == "purchase").alias("applied")
+    )
+    picked = rows.filter("event_type = 'purchase'").withColumn("candidate_kind", F.when(F.col("k") % 2 == 0, "fallback").otherwise("generated"))
+    picked = picked.withColumn("candidate_id", F.concat(F.when(F.col("k") % 2 == 0, "c").otherwise("probe_"), F.col("k") % 11))
+    choices = picked.groupBy("case_id", "rule_id", "rule_name", "candidate_kind", "candidate_id").agg(F.count(F.lit(1)).alias("chosen"))
+    return rows, cases, rules, choices
+
+
+_FAMILY_SQL = ", ".join(
+    f"count(*) FILTER (fam = '{f}' AND event_type = 'purchase') AS {f}_applied, count(*) FILTER (fam = '{f}' AND event_type = 'signup' AND k > 0) AS {f}_firings, count(DISTINCT user_id) FILTER (fam = '{f}' AND event_type = 'signup' AND k > 0) AS {f}_cases"
+    for f in telemetry.FAMILIES
+)
+_PICK = "event_type = 'purchase' AND fam = 'avoid' AND k % 2 = 1 AND k % 11"
+
+
+@query(_NAMED + f""", s AS (
+  SELECT count(DISTINCT user_id) AS n_cases, count(*) FILTER (event_type = 'purchase') AS edits_accepted, count(*) * 0.5::DOUBLE AS runtime_seconds_total, count(*) FILTER (event_type = 'view') AS edits_proposed, {_FAMILY_SQL},
+    count(*) FILTER (event_type = 'purchase' AND k % 2 = 0) AS fallbacks_used, count(*) FILTER (event_type = 'purchase' AND fam = 'avoid') AS avoid_outcomes_total,
+    max(CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 2 = 0 THEN 11 ELSE k % 11 END END) AS probe_depth_max, round(avg(CASE WHEN event_type = 'purchase' THEN CASE WHEN k % 2 = 0 THEN 11 ELSE k % 11 END END), 9) AS probe_depth_mean,
+    count(*) FILTER ({_PICK} = 1) AS r1, count(*) FILTER ({_PICK} > 1) AS g1, count(*) FILTER ({_PICK} > 3) AS g3, count(*) FILTER ({_PICK} > 5) AS g5, count(*) FILTER ({_PICK} <= 3) AS t3, count(*) FILTER ({_PICK} <= 5) AS t5,
+    sum(k % 3) FILTER (event_type = 'click' AND fam = 'avoid')::BIGINT AS probe_count_total, count(*) FILTER (event_type = 'click' AND fam = 'avoid' AND k % 3 > 0) AS avoid_firings_with_generated_candidates,
+    count(*) FILTER (event_type = 'signup') AS probe_sets_generated_total, 10 * count(*) FILTER (event_type = 'signup') AS requested_probes_total, sum(k % 3) FILTER (event_type = 'signup')::BIGINT AS valid,
+    sum(k % 3) FILTER (event_type = 'view')::BIGINT AS generated_probes_total, count(*) FILTER (event_type = 'error') AS consumed_generated_probes_total, count(*) FILTER (event_type = 'purchase' AND k > 95) AS not_enough_probes_count,
+    count(*) FILTER (event_type = 'purchase' AND k < 10) AS conflict_resolutions, count(*) FILTER (event_type = 'purchase' AND k >= 10 AND k < 20) AS no_op_steps FROM e
+), p AS (SELECT user_id, count(*) FILTER (event_type = 'error') + bool_or(event_type = 'purchase' AND k > 95)::BIGINT AS budget FROM e GROUP BY user_id HAVING bool_or(event_type = 'view')
+), b AS (SELECT budget, row_number() OVER (ORDER BY budget) AS r, count(*) OVER () AS n FROM p
+), c AS (SELECT min(budget) FILTER (r >= greatest(1, floor(n * 0.5 + 0.9999999999))) AS probe_budget_for_50_coverage, min(budget) FILTER (r >= greatest(1, floor(n * 0.8 + 0.9999999999))) AS probe_budget_for_80_coverage, max(n) AS episodes FROM b)
+SELECT s.* EXCLUDE (r1, g1, g3, g5, t3, t5, valid), probe_budget_for_50_coverage, probe_budget_for_80_coverage, round(runtime_seconds_total / n_cases, 9) AS runtime_seconds_per_case,
+  replace_firings + after_firings + avoid_firings + force_firings AS trigger_firings_total, round((replace_firings + after_firings + avoid_firings + force_firings) / n_cases, 9) AS avg_triggers_per_case,
+  round(edits_accepted / n_cases, 9) AS avg_interventions_per_case, round(probe_count_total / n_cases, 9) AS probe_count_mean, round(avoid_applied / n_cases, 9) AS avoid_interventions_per_case,
+  round(avoid_firings_with_generated_candidates / n_cases, 9) AS avoid_probe_episodes_per_case, round(r1 / avoid_firings, 9) AS accepted_rank_1_share, round(g1 / avoid_firings, 9) AS accepted_rank_gt_1_share,
+  round(t3 / avoid_firings, 9) AS resolved_within_top_3_share, round(t5 / avoid_firings, 9) AS resolved_within_top_5_share, round(g1 / avoid_outcomes_total, 9) AS avoid_required_gt_1_share,
+  round(g3 / avoid_outcomes_total, 9) AS avoid_required_gt_3_share, round(g5 / avoid_outcomes_total, 9) AS avoid_required_gt_5_share, round(probe_sets_generated_total / n_cases, 9) AS probe_sets_generated_per_case,
+  round(valid / probe_sets_generated_total, 9) AS avg_valid_probes_per_generated_set, round(requested_probes_total / probe_sets_generated_total, 9) AS avg_requested_probes_per_generated_set,
+  round(consumed_generated_probes_total / generated_probes_total, 9) AS generated_probes_consumed_share, round(not_enough_probes_count / episodes, 9) AS not_enough_probes_share,
+  round(probe_count_total / avoid_firings_with_generated_candidates, 9) AS avg_probes_per_avoid_firing FROM s, c""")
+def telemetry_summary(spark, sf_dir):
+    rows, cases, rules, choices = _run_tables(spark, sf_dir)
+    out = telemetry.summary(cases, rules, choices, rows)
+    return out.select(*(F.round(c, 9).alias(c) if t == "double" else F.col(c).cast("long") for c, t in out.dtypes))
+
+
+@query(_NAMED + """, s AS (SELECT rule_id, any_value(fam) || ':' || rule_id AS rule_name, count(*) FILTER (event_type = 'signup' AND k > 0) AS fired, count(*) FILTER (event_type = 'purchase') AS applied,
+  bool_or(event_type = 'purchase' AND k % 2 = 0) AS fell FROM e GROUP BY rule_id)
+SELECT * FROM (SELECT 'active' AS list, row_number() OVER (ORDER BY fired DESC, applied DESC, rule_name) AS place, rule_name FROM s
+  UNION ALL SELECT 'repeat', row_number() OVER (ORDER BY applied / fired DESC, rule_name), rule_name FROM s WHERE fired > 0 AND applied > 0
+  UNION ALL SELECT 'fallback', row_number() OVER (ORDER BY fired DESC, rule_name), rule_name FROM s WHERE fell) WHERE place <= 3""")
+def leading_rules(spark, sf_dir):
+    _, _, rules, choices = _run_tables(spark, sf_dir)
+    name = F.concat(telemetry.family(F.any_value("rule_name")), F.lit(":"), F.col("rule_id")).alias("rule_name")
+    stats = rules.groupBy("rule_id").agg(name, F.sum("firings").alias("fired"), F.sum("applied").alias("applied"))
+    return telemetry.leading_rules(stats, choices).withColumn("place", F.col("place").cast("long"))
+
+
+@query(_NAMED + """, s AS (SELECT rule_id, any_value(fam) AS fam, count(DISTINCT user_id) FILTER (event_type = 'signup' AND k > 0) AS fired_cases, count(*) FILTER (event_type = 'purchase') AS applied FROM e GROUP BY rule_id
+), n AS (SELECT fam, sum(fired_cases)::BIGINT AS fired_cases, sum(applied)::BIGINT AS applied FROM s WHERE fam IN ('avoid', 'replace') GROUP BY fam)
+SELECT s.rule_id, s.fam || ':x' AS rule_name, coalesce(n.fired_cases, s.fired_cases) AS fired_cases, coalesce(n.applied, s.applied) AS applied, CASE WHEN n.fam IS NULL THEN 'id' ELSE 'name' END AS found_by FROM s LEFT JOIN n ON n.fam = s.fam""")
+def rule_stats_lookup(spark, sf_dir):
+    _, _, rules, _ = _run_tables(spark, sf_dir)
+    by_id = rules.groupBy("rule_id", "rule_name").agg(F.countDistinct(F.when(F.col("firings") > 0, F.col("case_id"))).alias("fired_cases"), F.sum("applied").alias("applied"))
+    by_name = by_id.filter("rule_name like 'avoid%' or rule_name like 'replace%'").groupBy(telemetry.normal_name(F.col("rule_name")).alias("name"))
+    by_name = by_name.agg(F.sum("fired_cases").alias("fired_cases"), F.sum("applied").alias("applied"))
+    return telemetry.rule_stats(by_id.select("rule_id", "rule_name"), by_id, by_name)
+
+
 # --- evaluation -------------------------------------------------------------------------
 
 
@@ -383,15 +569,23 @@ def pairwise_transitions(spark, sf_dir):
     return out.withColumns({c: F.round(c, 9) for c in ("improved", "degraded", "delta")})
 
 
-@query("""WITH p AS (SELECT lang AS case_type, quality, toxic, doc_id FROM labels JOIN documents USING (doc_id)),
-a AS (SELECT case_type, count(*) AS anchor_total, count(*) FILTER (quality = 1) AS anchor_correct FROM p WHERE case_type <> 'de' GROUP BY 1),
-c AS (SELECT case_type, count(*) AS candidate_total, count(*) FILTER (toxic = 1) AS candidate_correct FROM p WHERE case_type <> 'fr' GROUP BY 1)
+@query("""WITH a AS (SELECT lang AS case_type, count(*) AS anchor_total, count(*) FILTER (quality = 1) AS anchor_correct FROM labels JOIN documents USING (doc_id) GROUP BY 1),
+c AS (SELECT role AS case_type, count(*) AS candidate_total, count(*) FILTER (length(text) > 100) AS candidate_correct FROM conversations GROUP BY 1)
 SELECT case_type, coalesce(anchor_total, 0) AS anchor_total, coalesce(anchor_correct, 0) AS anchor_correct, coalesce(candidate_total, 0) AS candidate_total, coalesce(candidate_correct, 0) AS candidate_correct,
   round(coalesce(candidate_correct / candidate_total, 0) - coalesce(anchor_correct / anchor_total, 0), 9) AS delta FROM a FULL JOIN c USING (case_type)""")
 def case_type_delta(spark, sf_dir):
-    a = _results(spark, sf_dir, "quality").filter("case_type <> 'de'")
-    c = _results(spark, sf_dir, "toxic").filter("case_type <> 'fr'")
-    return evaluation.case_type_deltas(a, c).withColumn("delta", F.round("delta", 9))
+    # two runs over different case types: each lacks the other's
+    c = _t(spark, sf_dir, "conversations").select(F.col("role").alias("case_type"), (F.length("text") > 100).alias("ok"))
+    return evaluation.case_type_deltas(_results(spark, sf_dir, "quality"), c).withColumn("delta", F.round("delta", 9))
+
+
+@query("""SELECT lang, count(DISTINCT doc_id) FILTER (a AND b) AS paired_n FROM (
+  SELECT lang, doc_id, bool_or(side = 0) AS a, bool_or(side = 1) AS b FROM (
+    SELECT lang, doc_id, 0 AS side FROM labels JOIN documents USING (doc_id) UNION ALL SELECT lang, doc_id, 1 FROM documents WHERE n_chars < 2000) GROUP BY ALL) GROUP BY lang""")
+def paired_case_counts(spark, sf_dir):
+    d = _t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang", "n_chars")
+    labelled = d.join(_t(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), "id")
+    return evaluation.paired_n(labelled, d.filter("n_chars < 2000"), "lang")
 
 
 @query("""SELECT source, CASE WHEN count(*) = 2 THEN round(avg(a), 9) END AS balanced_accuracy FROM (

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 FIELDS = ("id", "case_type", "question", "gold")
+#: Subruns without a case type that a plan holds at most.
+SUBRUNS = 1000
 
 
 def read_cases(spark: SparkSession, path: str, fmt: str = "parquet", fields: dict[str, str] | None = None, order: str | None = None) -> DataFrame:
@@ -52,8 +54,22 @@ def lookup(cases: DataFrame, case_id: str) -> DataFrame:
 def expand_subruns(subruns: DataFrame, cases: DataFrame) -> DataFrame:
     """Each subrun's cases: those of its case type, or all where that is null."""
     typed = subruns.filter(F.col("case_type").isNotNull()).join(cases, "case_type")
-    free = subruns.filter(F.col("case_type").isNull()).drop("case_type").join(cases, F.lit(True))
-    return typed.unionByName(free)
+    free = subruns.filter(F.col("case_type").isNull()).drop("case_type")
+    rows = free.limit(SUBRUNS + 1).collect()
+    if len(rows) > SUBRUNS:
+        raise ValueError(f"more than {SUBRUNS} subruns without a case type")
+    # every such subrun takes every case, so cases are multiplied where they lie
+    each = F.array(*(F.struct(*(F.lit(r[f.name]).cast(f.dataType).alias(f.name) for f in free.schema.fields)) for r in rows))
+    return typed.unionByName(cases.withColumn("_subrun", F.explode(each)).select("_subrun.*", *cases.columns)) if rows else typed
+
+
+def expand_rulesets(rulesets: list[dict], case_types: list[str | None]) -> list[dict]:
+    """Subruns: each ruleset with each case type, numbered in this order."""
+    return [{**r, "case_type": t, "index": i} for i, (r, t) in enumerate((r, t) for r in rulesets for t in case_types)]
+
+
+def with_metadata(cases: DataFrame, dataset_id: str, split: str) -> DataFrame:
+    return cases.withColumns({"dataset_id": F.lit(dataset_id), "split": F.lit(split)})
 
 
 def notebook_rulesets(path: str, marker: str = "# Rules") -> list[dict]:

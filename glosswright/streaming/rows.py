@@ -57,10 +57,10 @@ def spans(node, text: str) -> tuple[bool, list[Span]]:
         return ok, sorted({s for p in parts for s in p[1]}) if ok else []
     left, right = spans(node.left, text)[1], spans(node.right, text)[1]
     found = sorted({(a, d) for a, b in left for c, d in right if b <= c})
-    if found and isinstance(node.left, Then) and isinstance(node.left.right, Any):
-        first = min(a for a, _ in spans(node.left.left, text)[1])
-        if any(a < first for a, _ in spans(node.left.right, text)[1]):
-            found = []
+    if isinstance(node.left, Then) and isinstance(node.left.right, Any):
+        # no alternative of the inner part may begin ahead of what it has to follow
+        begins = lambda part: min((a for a, _ in spans(part, text)[1]), default=len(text))
+        found = found if begins(node.left.right) >= begins(node.left.left) else []
     return bool(found), found
 
 
@@ -117,16 +117,25 @@ def scope_start(text: str, scope: Scope) -> int:
     return start
 
 
+#: Kinds of characters between which no blank is put before, and after, a payload.
+_TIGHT_LEFT, _TIGHT_FIRST, _TIGHT_LAST = {"edge", "space", "open", "mark"}, {"space", "close"}, {"space", "open"}
+
+
+def _kind(c: str) -> str:
+    table = (("edge", not c), ("space", c.isspace()), ("open", c in OPENING), ("mark", c in MARKS), ("close", c in CLOSING), ("word", c.isalnum()))
+    return next((name for name, fits in table if fits), "other")
+
+
 def spaced(text: str, start: int, stop: int, payload: str) -> str:
+    """payload with the blanks that its neighbours ask for; beside white space it has none of its own."""
     if not payload:
         return payload
-    left, right, out = text[start - 1 : start] if start else "", text[stop : stop + 1], payload
-    if left and not left.isspace() and not payload[0].isspace() and left not in OPENING + MARKS and payload[0] not in CLOSING:
-        out = " " + out
-    if right.isalnum() and not payload[-1].isspace() and payload[-1] not in OPENING:
-        out += " "
-    out = out.lstrip(" ") if left.isspace() else out
-    return out.rstrip(" ") if right.isspace() else out
+    left, first, last, right = map(_kind, (text[max(0, start - 1) : start], payload[0], payload[-1], text[stop : stop + 1]))
+    blank = {True: " ", False: ""}
+    out = blank[not (left in _TIGHT_LEFT or first in _TIGHT_FIRST)] + payload + blank[right == "word" and last not in _TIGHT_LAST]
+    for side, strip in ((left, str.lstrip), (right, str.rstrip)):
+        out = strip(out, " ") if side == "space" else out
+    return out
 
 
 def _closing(text: str, depth: int) -> int:

@@ -39,10 +39,23 @@ def test_gold_errors(gold):
         parse_gold(gold)
 
 
-def test_grade_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(evaluation, "GOLD_BLOCK", 2)
-    df = spark.createDataFrame([(f"w{i}", f"w{i % 7}") for i in range(30)], "answer string, gold string")
-    assert all(r.ok == (r.gold in r.answer) for r in evaluation.grade(df).collect())
+def test_grade_many_predicates(spark):
+    df = spark.range(10_000).selectExpr("concat('w', id) as answer", "concat('w', id % 7000, ' OR \"', id, ' x\"') as gold")
+    graded = evaluation.grade(df)
+    assert graded.filter("ok").count() == sum(f"w{i % 7000}" in f"w{i}" for i in range(10_000))
+    plan = graded._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 20_000
+    with pytest.raises(Exception, match="trailing"):
+        evaluation.grade(spark.createDataFrame([("a", "foo bar")], "answer string, gold string")).collect()
+
+
+def test_spans_of_many_matches(spark):
+    from glosswright.functions.text import all_spans
+
+    text = "ab " * 32_000
+    row = spark.createDataFrame([(text,), ("",), ("ab",)], "t string").select(all_spans(F.col("t"), "ab")).collect()
+    assert [(s.start, s.stop) for s in row[0][0]] == [(3 * i, 3 * i + 2) for i in range(32_000)]
+    assert row[1][0] == [] and [tuple(s) for s in row[2][0]] == [(0, 2)]
 
 
 def _runs(spark, rows_):
@@ -56,6 +69,14 @@ def test_pairs(spark):
     assert (r.cc, r.ci, r.ic, r.ii, r.delta) == (0, 1, 1, 0, 0.0)
     with pytest.raises(Exception, match="different case ids"):
         evaluation.paired(a, b.filter("id = '1'")).collect()
+    with pytest.raises(Exception, match="different case ids"):
+        evaluation.transitions(evaluation.paired(a, b.filter("id = '1'"))).collect()
+    ungraded = b.withColumn("ok", F.when(F.col("id") == "2", F.col("ok")))
+    assert evaluation.transitions(evaluation.paired(a, ungraded)).first().n == 2
+    assert evaluation.paired_n(a, b.filter("id = '1'"), "case_type").first().paired_n == 1 and evaluation.common_ids(a, b).count() == 2
+    assert evaluation.append(a, b.drop("pos")).count() == 5
+    filled = evaluation.with_defaults(spark.createDataFrame([("x",), ("y",)], "case_type string"), spark.createDataFrame([("x", 3)], "case_type string, n int"))
+    assert sorted(map(tuple, filled.collect())) == [("x", 3), ("y", 0)]
     assert evaluation.transitions(evaluation.paired(a.limit(0), b.limit(0))).count() == 1
 
 
@@ -100,6 +121,60 @@ def test_event_metrics(spark):
 def test_merged_names(spark):
     df = spark.createDataFrame([("Avoid: A", 3, 2, 5, 1), ("avoid a", 3, 2, 1, 1)], "rule_name string, cases int, fired_cases int, evaluations int, applied int")
     assert tuple(telemetry.merged_by_name(df).first()) == ("avoid a", 3, 3, 6, 2)
+    odd = df.withColumn("cases", F.col("evaluations"))
+    with pytest.raises(Exception, match="differ in cases"):
+        telemetry.merged_by_name(odd).select("applied").collect()
+
+
+def test_scoring(spark):
+    from glosswright.operators import scoring
+
+    docs = spark.createDataFrame([(1, "abcdef")], "doc_id long, text string")
+    version = docs.select(scoring.version(F.col("text"))).first()[0]
+    columns = "doc_id long, rule_id string, start int, stop int, op string, payload string, base_version_id string, candidate_index int, candidate_kind string, candidate_id string"
+    rows_ = [
+        (1, "r", 0, 2, "replace", "x", version, 0, "generated", "g"), (1, "r", 0, 2, "replace", "xyz", version, 1, "fallback", "f"), (1, "r", 4, 9, "replace", "", version, 0, "fallback", "f"),
+        (1, "r", 0, 2, "replace", "x", "old", 0, "static", "s"), (1, "r", 3, 2, "replace", "x", version, 0, "static", "s"), (1, "r", 0, 2, "noop", "", version, 0, "static", "s"),
+    ]
+    left = scoring.editable(spark.createDataFrame(rows_, columns), docs)
+    assert sorted((r.start, r.stop, r.skip_reason) for r in left.collect()) == [(0, 2, None), (0, 2, None), (4, 6, "invalid_span_clamped")]
+    scored = scoring.two_phase(left, 1.05, scoring.length_scorer(docs))
+    assert sorted((r.start, r.candidate_id, r.phase, r.winner, r.score) for r in scored.collect()) == [(0, "g", 0, True, -5.0), (4, "f", 1, True, -4.0)]
+    assert [(r.start, r.patch_number) for r in scoring.numbered(scored).orderBy("patch_number").collect()] == [(4, 0), (0, 1)]
+    logs = spark.range(1).select(scoring.weighted(*(F.array(*map(F.lit, x)) for x in ([-8.0, -1.0, -1.0, -2.0], [-3.0], [-1.0, -1.0, -2.0, -9.0])))).first()[0]
+    assert logs == -1.0 - 3.0 - 2.0
+
+
+def test_avoid_known_answer(spark):
+    from glosswright.operators import avoid
+
+    probes = spark.createDataFrame([("a", "p", i) for i in (1, 2)] + [("b", "p", 1)], "cache_key string, text string, rank int")
+    asked = [(1, "r", "a", s, i) for i, s in enumerate((1, 1, 2, 3, 3, 4))] + [(1, "r", "b", 1, 9)] + [(1, "r", "c", 1, 10)]
+    got = avoid.pops(spark.createDataFrame(asked, "case_id int, rule_id string, cache_key string, step int, seq int"), probes)
+    assert [(r.outcome, r.candidate_id, r.exhausts) for r in got.orderBy("seq").collect()] == [
+        ("popped", "probe_1", False), ("denied", None, False), ("popped", "probe_2", False), ("empty", None, True), ("empty", None, False), ("empty", None, False),
+        ("popped", "probe_1", False), ("empty", None, True),
+    ]
+    assert sorted((r.cache_key, r.popped, r.exhausted) for r in avoid.episodes(got).collect()) == [("a", 2, True), ("b", 1, False), ("c", 0, True)]
+    assert avoid.log(got).count() == 5
+    kept = spark.createDataFrame([("go  on", "go on there"), ("go on", "stop"), ("", "x"), ("a", " ")], "prefix string, text string")
+    assert [r.text for r in avoid.kept_probes(kept).collect()] == ["stop", "x"]
+    floor = spark.range(1).select(avoid.floored_start(F.lit("One. Two."), F.lit(0), F.lit(9), F.lit(1)), avoid.floored_start(F.lit("One. Two."), F.lit(0), F.lit(9), F.lit(0))).first()
+    assert floor[1] == 0 and floor[0] >= 0
+
+
+def test_public_seams(spark):
+    import glosswright
+    from glosswright.operators import telemetry as t
+
+    docs = spark.createDataFrame([(1, "We met with them of the house."), (2, "")], "doc_id long, text string")
+    logs = []
+    out = glosswright.run_step(docs, "## Replace: with\nWith:\n- beside\n", sink=logs.append)
+    assert {r.doc_id: r.new_text for r in out.collect()}[1] == "We met beside them of the house."
+    m = t.rule_metrics(logs[0]).first()
+    assert (m.evaluations, m.firings, m.proposals, m.static, m.applied) == (2, 1, 1, 1, 1)
+    none = glosswright.run_step(docs, "## Replace: with\nWith:\n- beside\n", candidates=lambda r: ())
+    assert none.filter("new_text <> text").count() == 0
 
 
 def test_condition_candidate_rows(spark):
@@ -150,7 +225,7 @@ def test_replay(spark):
     texts = {1: "On les voit. Ils sont là pour toi et moi. les amis", 2: "", 3: "pour"}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     got = {r.doc_id: r for r in replay.replay_documents(spark, docs, replay.RULES).collect()}
-    assert set(got) == {1, 3} and got[1].edits >= 2
+    assert set(got) == {1, 2, 3} and got[1].edits >= 2 and (got[2].text, got[2].ticks) == ("", 0)
     assert got[1].text.startswith("On ces voit.") and "tous" in got[1].text.lower()
     assert rows.step(compile_rules(replay.RULES), "les")[0] == "ces"
 
