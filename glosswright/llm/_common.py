@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 
 from glosswright.sources.storage import materialize, shared_dir
 
-__all__ = ["arrow_filter", "arrow_map", "ascii_lower", "bounded_batches", "materialize", "shared_dir", "table", "utf8"]
+__all__ = ["arrow_filter", "arrow_map", "ascii_lower", "bounded_batches", "first_rows", "materialize", "shared_dir", "table", "utf8"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 #: Rows of an Arrow batch, and rows handed to Python code at once.
 BATCH_ROWS, SLICE_ROWS = 1024, 512
+#: Bytes of an Arrow batch.
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,12 +34,27 @@ def utf8(text: str = "text") -> Column:
     return F.coalesce(F.col(text), F.lit("")).cast("binary")
 
 
+def first_rows(table: DataFrame, rows: int, *key: str) -> DataFrame:
+    """At most `rows` rows of a materialised table, the first by the hash of key.
+
+    Only hashes are ordered. Rows of one hash, repeated ones, are told apart by their
+    places, so the bound holds whatever repeats.
+    """
+    order = F.struct(F.xxhash64(*key, F.lit(11)).alias("h"), F.monotonically_increasing_id().alias("place"))
+    placed = table.withColumn("_order", order)
+    last = placed.select("_order").orderBy("_order").limit(rows).agg(F.max("_order").alias("m")).first().m
+    if last is None:
+        return table.limit(0)
+    return placed.filter(F.col("_order") <= F.struct(F.lit(last.h).cast("long").alias("h"), F.lit(last.place).cast("long").alias("place"))).drop("_order")
+
+
 def bounded_batches(df: DataFrame) -> DataFrame:
     """df, after limiting the rows of an Arrow batch, so that long texts fit in a worker."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     conf = df.sparkSession.conf
-    if not 0 < int(conf.get(name)) <= BATCH_ROWS:
-        conf.set(name, BATCH_ROWS)
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        # sizes read back with a unit of bytes
+        if not 0 < int(conf.get(name).rstrip("b")) <= most:
+            conf.set(name, most)
     return df
 
 

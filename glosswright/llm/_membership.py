@@ -53,19 +53,29 @@ def without(df: DataFrame, lost: DataFrame, key: list[Column], gate: int | None
     """df without the rows whose key equals (nulls too) a row of lost; columns as before.
 
     Rows that can't be among the lost, by the first `gate` columns of the key, are passed
-    as they lie. Only what the bit set lets through goes to the exact join, so neither
-    the broadcast nor the join grows with the rows that stay.
+    as they lie. Keys that a first bit set lets through although they aren't lost make a
+    second one: what isn't in that is lost for certain. Only what both let through, few
+    rows, goes to the exact join, so neither texts that stay nor texts that go are
+    shuffled, whatever the number of either.
     """
     names = [f"_lost_{i}_{c}" for i, c in enumerate(lost.columns)]
     lost = lost.toDF(*names)
-    sent = df.sparkSession.sparkContext.broadcast(bit_set(lost.select(F.xxhash64(*names[:gate]))))
+    same = F.lit(True)
+    for c in names:
+        same = same & F.col(f"_key{c}").eqNullSafe(F.col(c))
+    sc, hashed = df.sparkSession.sparkContext, F.xxhash64(*key[:gate])
 
-    @F.pandas_udf("boolean")
-    def maybe(h: pd.Series) -> pd.Series:
-        return pd.Series(among(sent.value, h.to_numpy()))
+    def maybe(words: np.ndarray) -> Column:
+        sent = sc.broadcast(words)
 
-    hit = maybe(F.xxhash64(*key[:gate]))
-    same = F.lit(True)
-    for k, c in zip(key, names, strict=True):
-        same = same & k.eqNullSafe(F.col(c))
-    return df.filter(~hit).union(df.filter(hit).join(lost, same, "left_anti"))
+        def test(h: pd.Series) -> pd.Series:
+            return pd.Series(among(sent.value, h.to_numpy()))
+
+        return F.pandas_udf(test, "boolean")(hashed)
+
+    first = maybe(bit_set(lost.select(F.xxhash64(*names[:gate]))))
+    keys = df.filter(first).select(*(k.alias(f"_key{c}") for k, c in zip(key, names, strict=True)))
+    wrong = keys.join(lost, same, "left_anti").select(F.xxhash64(*(f"_key{c}" for c in names[:gate])))
+    second = maybe(bit_set(wrong))
+    asked = df.filter(first).filter(second).withColumns({f"_key{c}": k for k, c in zip(key, names, strict=True)})
+    return df.filter(~first).union(asked.join(lost, same, "left_anti").drop(*(f"_key{c}" for c in names)))

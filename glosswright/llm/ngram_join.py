@@ -62,11 +62,11 @@ PIVOTS = (16, 112)
 #: Members of a frequent column that one key deals out.
 SUB_BLOCK = 4096
 #: Column blocks of a sketch, which bounds the overlap before a pair is listed.
-SKETCH = 256
+SKETCH = 64
 #: Column blocks of a pair's exact count.
 BLOCKS = 8
 #: Entries of a window, and entries in windows that make a column common.
-WINDOW, COMMON = 1 << 21, 4
+WINDOW, COMMON = 1 << 20, 4
 
 _MEMO_WORDS = 1 << 18
 _ODD = np.random.default_rng(4).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -337,17 +337,16 @@ def _labels(tables: Scratch, sets: DataFrame, copies: DataFrame, percent: int, s
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
     node_sets = materialize(_sets_of(usable, ends), "join-node-sets")
     tables.drop(sets)
-    links = _linked(node_sets, pairs, percent)
-    labels = components(links)
+    labels = components(_linked(node_sets, pairs, percent))
     members = materialize(large.select(F.col("gram").alias("sig"), "node"), "join-members")
-    return _join_large(tables, members, node_sets, links, labels, percent)
+    return _join_large(tables, members, node_sets, labels, percent)
 
 
-def _join_large(tables: Scratch, members: DataFrame, sets: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _join_large(tables: Scratch, members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The labels once the members (sig, node) of frequent columns are compared, too."""
     pivots = members.groupBy("sig").agg(F.min("node").alias("pivot"))
     star = _apart(members, labels).join(pivots, "sig").groupBy("node").agg(F.min("pivot").alias("pivot"))
-    links, labels = _more(tables, sets, star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).filter("a <> b"), links, labels, percent)
+    labels = _more(tables, sets, star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).filter("a <> b"), labels, percent)
     large = materialize(_apart(members, labels).select("sig", "node"), "join-apart")
     if large.isEmpty():
         return labels
@@ -359,23 +358,34 @@ def _join_large(tables: Scratch, members: DataFrame, sets: DataFrame, links: Dat
         pairs, pivots = _next_pivots(_apart(large, labels), shared, used, percent, turn)
         if pivots.isEmpty():
             break
-        links, labels = _more(tables, sets, pairs, links, labels, percent)
+        labels = _more(tables, sets, pairs, labels, percent)
         used = materialize(used.unionByName(pivots), "join-used")
     return labels
 
 
-def _more(tables: Scratch, sets: DataFrame, pairs: DataFrame, links: DataFrame, labels: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """links and labels, after the pairs that labels doesn't join are compared."""
-    for end in ("a", "b"):
-        pairs = pairs.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
-    differ = F.coalesce("label_a", "a") != F.coalesce("label_b", "b")
-    pairs = materialize(pairs.filter(differ).select("a", "b").distinct(), "join-pairs")
+def _more(tables: Scratch, sets: DataFrame, pairs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """labels, after the pairs that they don't join are compared.
+
+    What is linked already is one vertex, so only new links between components are
+    followed, whatever the number of links inside them.
+    """
+
+    def labelled(rows: DataFrame) -> DataFrame:
+        for end in ("a", "b"):
+            rows = rows.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
+        return rows.select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b"))
+
+    pairs = materialize(labelled(pairs).filter("label_a <> label_b").select("a", "b").distinct(), "join-pairs")
     found = None if pairs.isEmpty() else _linked(sets, pairs, percent)
     tables.drop(pairs)
     if found is None or found.isEmpty():
-        return links, labels
-    links = links.unionByName(found)
-    return links, components(links)
+        return labels
+    moved = components(labelled(found).select(F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct())
+    moved = moved.select(F.col("node").alias("old"), F.col("label").alias("new"))
+    # a vertex without a label so far was alone
+    every = labels.unionByName(moved.select(F.col("old").alias("node"), F.col("old").alias("label"))).distinct()
+    out = every.join(moved, F.col("label") == F.col("old"), "left").select("node", F.coalesce("new", "label").alias("label"))
+    return materialize(out, "join-labels")
 
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:

@@ -244,6 +244,142 @@ def test_quality(spark):
     assert quality.report(empty(spark)).count() == 0
 
 
+def test_quality_equals_brute_force(spark):
+    """Votes, estimates and scores against plain loops."""
+    import math
+    import re
+    import zlib
+    from collections import Counter
+
+    docs = spark.read.parquet(f"{D}/documents.parquet").select("doc_id", "text").union(edge(spark).select(F.col("doc_id") + 10**6, "text"))
+    docs = docs.union(docs.limit(5))
+    model = quality.train(docs)
+    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+
+    def stats(text):
+        ws = text.split()
+        size, n = max(1, len(text)), max(1, len(ws))
+        count = lambda f: sum(map(f, text))
+        upper, lower = count(lambda c: 65 <= c <= 90), count(lambda c: 97 <= c <= 122 or c >= 128)
+        symbols = count(lambda c: 33 <= c < 48 or 58 <= c < 65 or 91 <= c < 97 or 123 <= c < 127) - sum(text.count(x) for x in (b",", b".", b"'", b"-"))
+        lines = [x for x in text.split(b"\n") if x.strip()]
+        triples = list(zip(ws, ws[1:], ws[2:], strict=False))
+        stops = sum(w.lower().strip(b".,;:!?") in quality.STOP_WORDS for w in ws)
+        return ws, [
+            symbols / size, upper / max(1, upper + lower), count(lambda c: 48 <= c < 58) / size, text.count(b"|") / n, sum(text.count(x) for x in (b".", b"?", b"!")) / n, stops / n,
+            1 - len(set(triples)) / len(triples) if triples else 0, 1 - len(set(lines)) / len(lines) if lines else 0, math.log1p(len(ws)), text.count(b"!") / n, size / n,
+            max(map(len, lines), default=0) / size, sum(a == b for a, b in zip(ws, ws[1:], strict=False)) / n,
+        ]
+
+    def score(text):
+        ws, st = stats(text)
+        if not ws:
+            return 0.0
+        shape = lambda w: zlib.crc32(re.sub(rb"[a-z\x80-\xff]+|[A-Z]+|[0-9]+", lambda m: b"a" if m[0][0] >= 97 else b"A" if m[0][0] >= 65 else b"0", w)) % quality.SHAPES
+        z = model.scorer.bias
+        for k, c in Counter(map(shape, ws)).items():
+            z += model.scorer.weights[k] * math.sqrt(c / len(ws))
+        for k, c in Counter(zlib.crc32(w.lower().strip(b".,;:!?"), 7) % quality.SHAPES for w in ws).items():
+            z += quality.WORD_WEIGHT * model.scorer.weights[quality.SHAPES + k] * math.sqrt(c / len(ws))
+        for i, v in enumerate(st):
+            z += 0.3 * model.scorer.weights[zlib.crc32(b"%d:%d" % (i, int(min(15, (2 if i == 8 else 20) * v)))) % quality.SHAPES]
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    want = sorted((d, score(t)) for d, t in rows)
+    got = sorted((r.doc_id, r.score, r.kept) for r in quality.report(docs).collect())
+    assert [d for d, _ in want] == [d for d, _, _ in got]
+    assert all(abs(a - b) < 1e-6 and k == (b >= quality.KEEP_AT) for (_, a), (_, b, k) in zip(want, got, strict=True))
+
+    # expectation-maximisation document by document
+    read = quality.Reader()
+    voted = [quality.votes(d) for d in (read(t) for _, t in rows) if d.words]
+    p = [0.1 if 3 * v.count(0) > v.count(1) else 0.9 for v in voted]
+    for _ in range(100):
+        prior = min(0.99, max(0.01, sum(p) / len(p)))
+        share = {}
+        for j in range(quality.LABELLERS):
+            for c in (0, 1):
+                w = [sum((q if c else 1 - q) for q, v in zip(p, voted, strict=True) if v[j] == x) + 0.5 for x in (0, 1)]
+                share[j, c] = [x / sum(w) for x in w]
+        before = p
+        odds = [math.log(1 - prior) - math.log(prior) + sum(math.log(share[j, 0][x] / share[j, 1][x]) for j, x in enumerate(v) if x >= 0) for v in voted]
+        p = [1 / (1 + math.exp(max(-500, min(500, o)))) for o in odds]
+        if max(abs(a - b) for a, b in zip(p, before, strict=True)) < 1e-6:
+            break
+    assert abs(model.weak.prior - prior) < 1e-6
+    assert all(abs(model.weak.tables[j, c, x] - share[j, c][x]) < 1e-6 for j in range(quality.LABELLERS) for c in (0, 1) for x in (0, 1))
+
+
+def test_training_rows_are_bounded(spark):
+    from glosswright.llm._common import first_rows, materialize
+
+    df = materialize(spark.range(3000).select(F.lit(1).alias("doc_id"), F.concat(F.lit("same text "), F.col("id") % 3).alias("text")), "bound")
+    assert first_rows(df, 50, "doc_id", "text").count() == 50 and first_rows(df, 5000, "doc_id").count() == 3000 and first_rows(df.limit(0), 5, "doc_id").count() == 0
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(50)] + [(1, 0, 0)], "doc_id long, quality int, toxic int")
+    assert toxicity._training_rows(df.unionByName(df.withColumn("doc_id", F.lit(2))), labels, 60).count() <= 60
+    assert quality.report(df, rows=50).count() == 3000
+
+
+def test_trees_and_calibration_equal_brute_force():
+    from glosswright.llm import _boosting
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(400, 4))
+    y = (x[:, 0] * x[:, 1] + 0.3 * rng.normal(size=400) > 0).astype(float)
+    model = _boosting.fit(x, y, trees=20)
+
+    def margin(row):
+        out = model.base
+        for f, t, leaf in zip(model.features, model.limits, model.leaves, strict=True):
+            node = 0
+            for d in range(model.depth):
+                j = f[(1 << d) - 1 + node]
+                node = 2 * node + (sum(e <= row[j] for e in model.edges[j]) > t[(1 << d) - 1 + node])
+            out += leaf[node]
+        return out
+
+    assert np.allclose(model.margin(x), [margin(r) for r in x])
+    assert ((model.margin(x) > 0) == y).mean() > 0.85
+    # the best first split by a search over all of them
+    p, best = y.mean(), (-1.0, None)
+    p = (y.sum() + 0.5) / (len(y) + 1)
+    g, h = p - y, np.full(len(y), p * (1 - p))
+    for j in range(4):
+        for k, e in enumerate(model.edges[j]):
+            left = x[:, j] < e
+            gain = sum(g[s].sum() ** 2 / (h[s].sum() + 2.0) for s in (left, ~left)) - g.sum() ** 2 / (h.sum() + 2.0)
+            best = max(best, (gain, (j, k)))
+    assert (model.features[0][0], model.limits[0][0]) == best[1]
+
+    margins = np.round(rng.normal(size=60), 1)
+    labels = (rng.random(60) < 1 / (1 + np.exp(-2 * margins))).astype(float)
+    iso = _boosting.isotonic(margins, labels)
+    assert (np.diff(iso(np.sort(margins))) >= -1e-12).all() and ((iso(margins) >= 0) & (iso(margins) <= 1)).all()
+    order = np.argsort(margins, kind="stable")
+    pools = [[float(labels[i])] for i in order]
+    while any(np.mean(a) >= np.mean(b) for a, b in zip(pools, pools[1:], strict=False)):
+        i = next(i for i in range(len(pools) - 1) if np.mean(pools[i]) >= np.mean(pools[i + 1]))
+        pools[i : i + 2] = [pools[i] + pools[i + 1]]
+    assert len(iso.at) == len(pools)
+
+
+def test_toxicity_features_equal_brute_force():
+    import re
+
+    lexicon = toxicity.Lexicon({"stu": 0.7, "stupid ": 0.9, "vile": 0.55})
+    texts = ["You are STUPID, you st*pid vile! idiot", "", "Quiet words. ÉCOLE 1d10t you", "x" * 3000, "you " * 3000 + "fool"]
+    for t in texts + texts:
+        ws = re.findall(r"[^\W\d_]+(?:[*@$!#013457]+[^\W\d_]+)*", t)
+        n, chars = max(1, len(ws)), max(1, len(t))
+        known = [lexicon.look_up(w) for w in ws]
+        hit = [i for i, k in enumerate(known) if k[0] > 0.5 or k[1] or k[3]]
+        you = [i for i, k in enumerate(known) if k[2]]
+        near = sum(any(abs(i - j) <= 5 for j in you) for i in hit)
+        f = dict(zip(toxicity.FEATURES, lexicon.features(t), strict=True))
+        assert f["second_near"] == near / n and f["second_density"] == len(you) / n and abs(f["learned_sum"] - sum(k[0] for k in known)) < 1e-9
+        assert f["seed_count"] == sum(k[1] for k in known) and f["shouted"] == sum(len(w) > 2 and w.isupper() for w in ws) / n and f["exclaims"] == t.count("!") / chars
+
+
 def test_labeller_accuracies_are_recovered():
     import numpy as np
 
@@ -304,3 +440,13 @@ def test_pipeline(spark):
     assert all(r.decoded_sha256 == sha(rows[r.doc_id]) for r in out)
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, edge(spark), D).columns == edge(spark).columns
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    docs = spark.read.parquet(f"{D}/documents.parquet").limit(20)
+    nulls = docs.select("doc_id", F.lit(None).cast("string").alias("text"), "lang", "source", "n_chars")
+    spark.read.parquet(f"{D}/benchmark.parquet").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for rows, name in ((docs.limit(0), "none"), (nulls.unionByName(docs).unionByName(docs), "some")):
+        rows.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+        got = [r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()]
+        assert len(got) == len(set(got)) and (name == "some" or not got)
