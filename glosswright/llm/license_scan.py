@@ -1,14 +1,18 @@
 """License scans: ordered signature rules behind a keyword prefilter.
 
 Base labels come from four phrases of consecutive words. The signature rules, some
-three hundred regular expressions, add labels of their own. A rule runs only where
-the text holds words that each of its matches holds. Overlapping detections are settled by priority and containment: one that
-lies inside another of the same or a better priority is suppressed.
+370 regular expressions, add labels of their own: names of licences in six settings,
+short spellings of versions, and sentences of licence texts and notices. A rule runs
+only where the text holds words that each of its matches holds. Overlapping detections
+are settled by priority and containment: one that lies inside another of the same or a
+better priority is suppressed; of equal spans the rule that stands first.
 
 Everything is a projection of built-in functions: no shuffle and no Python.
 
 Defined results: a null text counts as empty: no words, no labels, score 0. Rows map
-one to one.
+one to one, repeated ones too, and an empty table gives none. Long texts are scanned
+whole, in time that grows with the text and its matches. Columns beside doc_id and text
+are never read, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswright.functions.text import all_spans, let
 from glosswright.llm._common import ascii_lower
 
 # The base phrases and their labels.
@@ -29,6 +34,8 @@ PHRASES = (
 )
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+KEPT = "array<struct<label:string,confidence:double>>"
+
 _S = r"[\s\-_,.'\"()]{1,4}"  # what may stand between two words of a name
 _V = r"(?:,?\s{0,2}(?:version\s{0,2}|v\.?\s{0,2}))?"
 
@@ -100,6 +107,57 @@ TEMPLATES = (
 )
 
 
+_T = r"[\s\-_,.;:'\"()*#/]{1,12}"  # what may stand between two words of a licence text, comment marks too
+
+# Sentences that licence texts and notices hold, punctuation aside. Label, words.
+TEXTS = (
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions"),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software"),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
+    ("isc", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted"),
+    ("postgresql", "permission to use copy modify and distribute this software and its documentation for any purpose without fee and without a written agreement"),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted"),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"),
+    ("bsd-4-clause", "all advertising materials mentioning features or use of this software must display the following acknowledgement"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis"),
+    ("apache-2.0", "you may not use this file except in compliance with the license"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license"),
+    ("gpl-2.0", "gnu general public license as published by the free software foundation either version 2"),
+    ("gpl-3.0", "gnu general public license as published by the free software foundation either version 3"),
+    ("gpl", "you should have received a copy of the gnu general public license along with this program"),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license"),
+    ("lgpl", "you should have received a copy of the gnu lesser general public license along with this library"),
+    ("agpl-3.0", "you should have received a copy of the gnu affero general public license along with this program"),
+    ("gfdl", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version"),
+    ("epl-2.0", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl-1.0", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable"),
+    ("zlib", "this notice may not be removed or altered from any source distribution"),
+    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("cc0-1.0", "the person who associated a work with this deed has dedicated the work to the public domain"),
+    ("ofl-1.1", "this font software is licensed under the sil open font license"),
+    ("openssl", "this product includes software developed by the openssl project"),
+    ("x11", "the name of the x consortium shall not be used in advertising or otherwise to promote the sale"),
+    ("ncsa", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimers"),
+    ("wtfpl", "you just do what the fuck you want to"),
+    ("beerware", "if we meet some day and you think this stuff is worth it you can buy me a beer in return"),
+    ("proprietary", "unauthorized copying of this file via any medium is strictly prohibited"),
+)
+
+# Short spellings of versions. Label, word that every match holds, pattern.
+SHORT = (
+    ("gpl-2.0", "gpl", r"gpl[\s-]?v?2(?:\.0)?(?:\+)?"), ("gpl-3.0", "gpl", r"gpl[\s-]?v?3(?:\.0)?(?:\+)?"), ("lgpl-2.1", "lgpl", r"lgpl[\s-]?v?2\.1(?:\+)?"),
+    ("lgpl-3.0", "lgpl", r"lgpl[\s-]?v?3(?:\.0)?(?:\+)?"), ("agpl-3.0", "agpl", r"agpl[\s-]?v?3(?:\.0)?(?:\+)?"), ("apache-2.0", "asl", r"asl[\s-]?v?2(?:\.0)?"),
+    ("apache-2.0", "apache", r"apache[\s-]?v?2(?:\.0)?"), ("mpl-2.0", "mpl", r"mpl[\s-]?v?2(?:\.0)?"), ("epl-1.0", "epl", r"epl[\s-]?v?1(?:\.0)?"), ("epl-2.0", "epl", r"epl[\s-]?v?2(?:\.0)?"),
+    ("bsd-2-clause", "bsd", r"bsd[\s-]?2"), ("bsd-3-clause", "bsd", r"bsd[\s-]?3"), ("cddl-1.0", "cddl", r"cddl[\s-]?v?1(?:\.[01])?"), ("eupl", "eupl", r"eupl[\s-]?v?1(?:\.[012])?"),
+    ("artistic-2.0", "artistic", r"artistic[\s-]?2(?:\.0)?"), ("ofl-1.1", "ofl", r"ofl[\s-]?v?1(?:\.[01])?"),
+)
+
+
 @dataclass(frozen=True)
 class Signature:
     order: int
@@ -110,12 +168,23 @@ class Signature:
     label: str
 
 
-SIGNATURES = tuple(
-    Signature(i, priority, confidence, "spdx" if priority == 1 else "licen" if priority in (4, 6) else keyword, template.format(name=name, spdx=spdx), label)
-    for i, (label, keyword, name, spdx, priority, confidence, template) in enumerate(
-        (*family, *template) for template in TEMPLATES for family in FAMILIES
-    )
-)
+def _rare(words: str) -> str:
+    """The two longest words of a sentence, which every match of it holds."""
+    return " ".join(sorted(dict.fromkeys(words.split()), key=lambda w: (-len(w), w))[:2])
+
+
+def _signatures() -> tuple[Signature, ...]:
+    named = [
+        (priority, confidence, "spdx" if priority == 1 else "licen" if priority in (4, 6) else keyword, template.format(name=name, spdx=spdx), label)
+        for priority, confidence, template in TEMPLATES
+        for label, keyword, name, spdx in FAMILIES
+    ]
+    notices = [(2, 0.95, _rare(words), r"(?<![\w-])" + words.replace(" ", _T) + r"(?![\w])", label) for label, words in TEXTS]
+    short = [(5, 0.8, keyword, rf"(?<![\w-])(?:{regex})(?![\w])", label) for label, keyword, regex in SHORT]
+    return tuple(Signature(i, *s) for i, s in enumerate([*named, *notices, *short]))
+
+
+SIGNATURES = _signatures()
 
 
 def alternatives(keyword: str) -> list[list[str]]:
@@ -126,53 +195,54 @@ def alternatives(keyword: str) -> list[list[str]]:
 WORDS = tuple(sorted({w for s in SIGNATURES for ws in alternatives(s.keyword) for w in ws}))
 
 
-def _rules() -> Column:
-    """Signatures grouped by keyword."""
+def _fetched(low: Column, held: Column) -> Column:
+    """The rules that may match: their keywords are held, and one of their group matches.
+
+    A group, the rules of one keyword, is one alternation that stands in the plan and is
+    compiled once. Only where it matches its rules run one by one.
+    """
     groups: dict[str, list[Signature]] = {}
     for s in SIGNATURES:
         groups.setdefault(s.keyword, []).append(s)
     one = lambda s: F.struct(F.lit(s.priority).alias("priority"), F.lit(s.order).alias("order"), F.lit(s.confidence).alias("confidence"), F.lit(s.regex).alias("regex"), F.lit(s.label).alias("label"))
-    needs = lambda k: F.array(*(F.array(*map(F.lit, ws)) for ws in alternatives(k)))
-    return F.array(*(F.struct(needs(k).alias("needs"), F.array(*map(one, ss)).alias("rules")) for k, ss in groups.items()))
+    out = []
+    for keyword, rules in groups.items():
+        fits = F.lit(False)
+        for words in alternatives(keyword):
+            fits = fits | F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains(held, w))
+        some = F.lit("|".join(f"(?:{s.regex})" for s in rules))
+        found = F.array(*map(one, rules))
+        out.append(F.when(fits & F.rlike(low, some), found))
+    return F.flatten(F.filter(F.array(*out), lambda rules: rules.isNotNull()))
 
 
 def _spans(text: Column, rule: Column) -> Column:
-    """All matches of the rule as struct(start, end, priority, order, confidence, label).
-
-    The pieces between matches and the matches themselves add up to the offsets.
-    """
-    found = F.regexp_extract_all(text, rule["regex"], F.lit(0))
-    between = F.split(text, rule["regex"], -1)
-    none = F.array().cast("array<struct<start:int,stop:int,priority:int,order:int,confidence:double,label:string>>")
-    state = F.struct(F.lit(0).alias("at"), none.alias("out"))
-
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gap"])
-        stop = start + F.length(pair["hit"])
-        span = F.struct(start.alias("start"), stop.alias("stop"), rule["priority"].alias("priority"), rule["order"].alias("order"), rule["confidence"].alias("confidence"), rule["label"].alias("label"))
-        return F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
-
-    pairs = F.zip_with(F.slice(between, F.lit(1), F.size(found)), found, lambda g, h: F.struct(g.alias("gap"), h.alias("hit")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, state, step)["out"]).otherwise(none)
+    """All matches of the rule as struct(start, stop, priority, order, confidence, label)."""
+    found = all_spans(text, rule["regex"])
+    return F.transform(found, lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"), rule["priority"].alias("priority"), rule["order"].alias("order"), rule["confidence"].alias("confidence"), rule["label"].alias("label")))
 
 
 def _settle(found: Column) -> Column:
-    """Detections that lie inside no other one of the same or a better priority.
+    """struct(label, confidence) of the detections inside no other one of the same or a better priority.
 
     In order of start, of two with the same start the longer first, a detection is
     inside an earlier one exactly when that one ends no earlier. So it's enough to
-    carry the furthest end for each priority.
+    carry the furthest end for each priority, and each label's best confidence: what
+    the fold carries doesn't grow with the detections.
     """
     keyed = F.array_sort(F.transform(found, lambda d: F.struct(d["start"].alias("a"), (-d["stop"]).alias("b"), d["priority"].alias("p"), d["order"].alias("o"), d["confidence"].alias("confidence"), d["label"].alias("label"))))
-    none = F.array().cast("array<struct<a:int,b:int,p:int,o:int,confidence:double,label:string>>")
-    levels = len(TEMPLATES)
+    none = F.array().cast(KEPT)
+    levels = max(p for p, _, _ in TEMPLATES)
     state = F.struct(F.array(*[F.lit(-1)] * levels).alias("ends"), none.alias("out"))
 
     def step(acc: Column, d: Column) -> Column:
-        stop = -d["b"]
+        stop, out = -d["b"], acc["out"]
         inside = F.array_max(F.slice(acc["ends"], F.lit(1), d["p"])) >= stop
         ends = F.transform(acc["ends"], lambda e, i: F.when(i == d["p"] - 1, F.greatest(e, stop)).otherwise(e))
-        return F.struct(ends.alias("ends"), F.when(inside, acc["out"]).otherwise(F.concat(acc["out"], F.array(d))).alias("out"))
+        mine = F.struct(d["label"].alias("label"), d["confidence"].alias("confidence"))
+        better = F.transform(out, lambda k: F.struct(k["label"].alias("label"), F.when(k["label"] == d["label"], F.greatest(k["confidence"], d["confidence"])).otherwise(k["confidence"]).alias("confidence")))
+        known = F.exists(out, lambda k: k["label"] == d["label"])
+        return F.struct(ends.alias("ends"), F.when(inside, out).when(known, better).otherwise(F.concat(out, F.array(mine))).alias("out"))
 
     return F.aggregate(keyed, state, step)["out"]
 
@@ -198,11 +268,8 @@ def report(docs: DataFrame) -> DataFrame:
 
         return F.filter(F.sequence(F.lit(0), F.size(words) - 1), here)
 
-    none = F.array().cast("array<struct<a:int,b:int,p:int,o:int,confidence:double,label:string>>")
     held = F.col("held")
-    fits = lambda g: F.exists(g["needs"], lambda ws: F.forall(ws, lambda w: F.array_contains(held, w)))
-    fetched = F.flatten(F.transform(F.filter(_rules(), fits), lambda g: g["rules"]))
-    detections = F.flatten(F.transform(fetched, lambda r: _spans(low, r)))
+    detections = lambda rules: _settle(F.flatten(F.transform(rules, lambda r: _spans(low, r))))
     at = [f"at_{i}" for i in range(len(PHRASES))]
     base = docs.select("doc_id", ascii_lower(F.coalesce("text", F.lit(""))).alias("low"))
     base = base.withColumn("n_words", F.regexp_count(low, F.lit(WORD)).cast("long"))
@@ -210,7 +277,7 @@ def report(docs: DataFrame) -> DataFrame:
     base = base.withColumn("held", F.filter(F.array(*map(F.lit, WORDS)), lambda w: F.contains(low, w)))
     base = base.withColumn("words", F.when(phrase, F.regexp_extract_all(low, F.lit(WORD), F.lit(0))).otherwise(no_words))
     base = base.withColumns({c: F.when(F.size(words) > 0, places(ws)).otherwise(no_ints) for c, (ws, _) in zip(at, PHRASES, strict=True)})
-    base = base.withColumn("found", F.when(F.size(held) > 0, _settle(detections)).otherwise(none))
+    base = base.withColumn("found", F.when(F.size(held) > 0, let(_fetched(low, held), detections)).otherwise(F.array().cast(KEPT)))
     starts = F.concat(*at)
     base_labels = F.array_sort(F.array_distinct(F.filter(F.array(*(F.when(F.size(c) > 0, F.lit(label)) for c, (_, label) in zip(at, PHRASES, strict=True))), lambda x: x.isNotNull())))
     base = base.withColumn("starts", starts).withColumn("base", base_labels)
