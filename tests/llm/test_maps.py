@@ -10,6 +10,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
 from glosswright.llm import bpe, decontaminate, license_scan, secrets, url_filter
 from tests.llm.helpers import edge, empty, texts
 
@@ -268,9 +270,33 @@ def test_license_words_are_in_every_match():
             assert any(all(w in text for w in ws) for ws in license_scan.alternatives(s.keyword)), (s.regex, text)
 
 
-def test_license_suppression(spark):
-    from pyspark.sql import functions as F
+def test_license_gate_loses_nothing(spark):
+    """Texts made from the rules get the labels that all rules give without a prefilter."""
+    from re import _parser
+
+    rng = random.Random(12)
+    made = [made_match(rng, _parser.parse(s.regex)) for s in license_scan.SIGNATURES[::4]]
+    rows = [(i, f"see {m} here. {rng.choice(made)}") for i, m in enumerate(made)]
+    got = {r.doc_id: r.labels.split(",") for r in license_scan.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        spans = [(m.start(), m.end(), s.priority, s.order, s.label) for s in license_scan.SIGNATURES for m in re.finditer(s.regex, low(text), re.A) if m.group()]
+        order = sorted(spans, key=lambda d: (d[0], -d[1], d[2], d[3]))
+        kept = {d[4] for k, d in enumerate(order) if not any(o[1] >= d[1] and o[2] <= d[2] for o in order[:k])}
+        base = {label for _, label in brute_license(text)[1]}
+        assert set(got[i]) - {""} == kept | base, text
+
 
+def test_license_texts(spark):
+    rows = [
+        (1, "Permission is hereby granted, free of charge, to any person\n * obtaining a copy of this software"), (2, "GPLv3 or LGPL v2.1+"), (3, "mit license " * 20_000),
+        (4, "// Redistribution and use in source and binary forms, with or without\n// modification, are permitted"),
+    ]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"low": F.lit(1), "found": F.lit(2), "held": F.lit(3)})
+    got = {r.doc_id: r for r in license_scan.report(df.unionByName(df)).collect()}
+    assert {i: r.labels for i, r in got.items()} == {1: "mit", 2: "gpl-3.0,lgpl-2.1", 3: "mit", 4: "bsd"} and got[3].n_base == 20_000
+
+
+def test_license_suppression(spark):
     rng = random.Random(3)
     cases = []
     for c in range(60):
@@ -337,6 +363,22 @@ def test_decontaminate(spark, block_bytes):
     assert {r.n_hit for r in decontaminate.report(edge(spark), bench.limit(0)).collect()} == {0}
 
 
+def test_window_index_stays_small():
+    import pickle
+
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(400)).encode()) for i in range(300)]
+    size = sum(len(t) for _, t in items)
+    assert len(pickle.dumps(decontaminate.WindowIndex(items))) < 6 * size
+
+
+def test_clean_keeps_clashing_columns(spark):
+    df = spark.createDataFrame([(1, "a b short item", "x", 5), (2, None, "y", 6)], "doc_id long, text string, key string, c0 int")
+    bench = spark.createDataFrame([(1, "short item")], "item_id long, text string")
+    out = decontaminate.clean(df.unionByName(df), bench)
+    assert out.columns == df.columns and [tuple(r) for r in out.collect()] == [(2, None, "y", 6)] * 2
+
+
 # --- URLs --------------------------------------------------------------------------
 
 
@@ -358,13 +400,37 @@ def test_urls(spark):
         "http://EXAMPLE.com/en/1", "https://www.example.com/en/", "https://a.www.example.com/en/x?q=1#f", "x://b.net/es/", "x://net/fr/a",
         "x://notnet/fr/a", "x://a.com", "x://a.com/", None, "", "no scheme", "a://b://c.com/x", "http://cheap-pills.example.org/a",
         "http://x.org/casino/", "http://x.org/casinos/", "http://x.com/CASINO", "http://a\nb.com/\nx", "http://evil.org/x.com/", "http://net/ES/", "x://example.com/en", "x://é.com/é",
+        "http://ads.shop.org/cart", "http://a.org/ads/x", "http://a.org/badads/x", "http://a.org/WP-admin/x", "http://a.org/f/setup.exe", "http://a.org/setup.exe/x", "http://a.org/admin/docs/1",
+        "http://archive.b.org/tag/x", "http://b.org/tag/x", "http://a.org/buy-pills-now", "http://a.org/buy-pills/now", "http://a.org/" + "x/" * 30_000 + "ads/",
     ]
+    assert len(url_filter.RULES) > 150
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     sites = {h + p: v for v, h, p in url_filter.SITES}
     for r in url_filter.judge(pages).collect():
         host, path, rule = brute_url(urls[r.page_id])
         assert (r.host, r.path, r.rule) == (host, path, rule), urls[r.page_id]
         words = set(re.findall("[0-9a-z]+", low(host + path)))
-        unwanted = any(w in words for ws in url_filter.UNWANTED.values() for w in ws)
-        assert r.verdict == (sites[rule] if rule else "block" if unwanted else "allow")
+        fit = [x for x in url_filter.METHOD_RULES if re.search(x.regex.replace(r"\z", r"\Z"), low(host + path))]
+        assert {w for ws in url_filter.UNWANTED.values() for w in ws if w in words} == {x.name.split(":")[1] for x in fit if x.name.split(":")[1].isalpha()}
+        best = max(fit, key=lambda x: (x.rank, len(x.name), x.name), default=None)
+        assert r.verdict == (sites[rule] if rule else best.verdict if best else "allow"), urls[r.page_id]
+        assert r.decided_by == (rule or (best.name if best else None))
     assert url_filter.judge(spark.createDataFrame([], "page_id long, url string")).count() == 0
+    clash = pages.withColumns({"host": F.lit(1), "best": F.lit(2), "tokens": F.lit(3)}).unionByName(pages.withColumns({"host": F.lit(1), "best": F.lit(2), "tokens": F.lit(3)}))
+    assert clash.count() == url_filter.judge(clash).count()
+
+
+def test_url_rules_in_blocks(spark, monkeypatch):
+    urls = ["http://ads.shop.org/cart", "http://a.org/admin/docs/1", "http://www.example.com/en/casino", "http://x.org/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    counts = url_filter.token_counts(pages)
+    want = sorted(map(tuple, url_filter.judge(pages, counts=counts).collect()), key=str)
+    monkeypatch.setattr(url_filter, "BLOCK_RULES", 90)
+    assert sorted(map(tuple, url_filter.judge(pages, counts=counts).collect()), key=str) == want
+
+
+def test_url_patterns():
+    with pytest.raises(ValueError, match="no whole token"):
+        url_filter.load_patterns("# x\n*ads*")
+    rule = url_filter.pattern_rule("t", "||ads.*/x^y|")
+    assert rule.tokens == ("ads", "y") or set(rule.tokens) == {"ads", "x", "y"}
