@@ -2,8 +2,8 @@
 
 Words are runs of `[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]` after lower-casing A-Z. A window
 is 13 consecutive words of an item; an item of fewer words is one window. Training
-texts are scanned window by window: an integer hash of word ids picks candidates,
-which are then verified word by word.
+texts are scanned window by window: a hash of the words' 64-bit hashes picks candidates,
+which are then verified word by word by these.
 
 The benchmark is cut into blocks of at most BLOCK_BYTES of text, whatever its size.
 Each block's index is broadcast and the documents pass through the blocks one after
@@ -11,7 +11,9 @@ another, as narrow maps: nothing is shuffled, so no key can be hot.
 
 Defined results: a null text has no words, an item without words has no window. A
 null item_id marks words as hit but isn't counted or listed. Rows that repeat an
-item_id are one item with several texts. Every document row gives one result row.
+item_id are one item with several texts. Every document row gives one result row,
+repeated ones too, and an empty table gives none. Long texts are scanned whole. Other
+columns pass through `clean` whatever their names.
 """
 
 from __future__ import annotations
@@ -19,18 +21,20 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Callable
-from itertools import repeat
+from collections.abc import Callable, Iterable
 
 import numpy as np
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswright.llm._common import arrow_map, materialize, utf8
 
 WINDOW = 13
-#: Text of a block of the benchmark; its index takes some ten times as much.
+#: Text of a block of the benchmark; its index takes some four times as much.
 BLOCK_BYTES = 8 << 20
+#: Places that are compared word by word at once.
+PAIRS = 1 << 15
 
 #: Lower-cases A-Z and turns the bytes between words into blanks.
 _FOLD = bytes(
@@ -44,49 +48,76 @@ def words(text: bytes) -> list[bytes]:
 
 
 class WindowIndex:
-    """The windows of one block of items and the scan of a text against them."""
+    """The windows of one block of items and the scan of a text against them.
 
-    def __init__(self, items: list[tuple[object, bytes]], window: int = WINDOW):
+    Words are 64-bit hashes; the index is arrays: 8 bytes a word, 16 a window. A window
+    is found by its own hash and then compared word by word.
+    """
+
+    def __init__(self, items: Iterable[tuple[object, bytes]], window: int = WINDOW):
         self.window = window
-        self.ids: dict[bytes, int] = {}
-        self.windows: dict[bytes, set] = {}
-        for item, text in items:
-            found = [self.ids.setdefault(w, len(self.ids) + 1) for w in words(text)]
-            n = min(window, len(found))
-            for i in range(len(found) - n + 1 if n else 0):
-                key = np.array(found[i : i + n], np.int64).tobytes()
-                self.windows.setdefault(key, set()).add(item)
-        self.lengths = sorted({len(k) // 8 for k in self.windows})
+        self.memo: dict[bytes, int] = {}
         rng = np.random.default_rng(13)
-        self.powers = rng.integers(1, 2**63, window, dtype=np.int64) | 1
-        self.hashes = {
-            n: np.unique([self._hash(np.frombuffer(k, np.int64)[None, :])[0] for k in self.windows if len(k) == 8 * n])
-            for n in self.lengths
-        }
-
-    def _hash(self, rows: np.ndarray) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (rows * self.powers[: rows.shape[1]]).sum(axis=1)
+        self.powers = rng.integers(1, 2**63, window, dtype=np.uint64) | np.uint64(1)
+        numbers: dict[object, int] = {}
+        stream, found, at = [np.empty(0, np.uint64)], {}, 0
+        for item, text in items:
+            ids = self._ids(words(text))
+            if n := min(window, len(ids)):
+                hashed = self._hash(ids, n)
+                number = np.full(len(hashed), numbers.setdefault(item, len(numbers)), np.int32)
+                found.setdefault(n, []).append((hashed, np.arange(at, at + len(hashed), dtype=np.int32), number))
+                stream.append(ids)
+                at += len(ids)
+        self.items, self.stream, self.memo = list(numbers), np.concatenate(stream), {}
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for n in sorted(found):
+            hashed, places, number = (np.concatenate(x) for x in zip(*found[n], strict=True))
+            order = np.argsort(hashed, kind="stable")
+            self.windows[n] = (hashed[order], places[order], number[order])
+
+    def _ids(self, ws: list[bytes]) -> np.ndarray:
+        memo = self.memo
+        try:
+            return np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
+        except KeyError:
+            if len(memo) > 1 << 18:
+                memo.clear()
+            for w in ws:
+                if w not in memo:
+                    memo[w] = xxhash.xxh3_64_intdigest(w)
+            return np.fromiter(map(memo.__getitem__, ws), np.uint64, len(ws))
+
+    def _hash(self, ids: np.ndarray, n: int) -> np.ndarray:
+        out = np.zeros(len(ids) - n + 1, np.uint64)
+        for i in range(n):
+            out += ids[i : len(ids) - n + 1 + i] * self.powers[i]
+        return out
 
     def scan(self, text: bytes) -> tuple[int, list[tuple[int, int]], set]:
         """Number of words, hit spans of word positions, items."""
         ws = words(text)
-        if not ws or not self.lengths:
+        if not ws or not self.windows:
             return len(ws), [], set()
-        ids = np.fromiter(map(self.ids.get, ws, repeat(0)), np.int64, len(ws))
-        known = np.concatenate(([0], np.cumsum(ids != 0)))
+        ids = self._ids(ws)
         spans, items = [], set()
-        for n in self.lengths:
-            if n > len(ws):
+        for n, (hashes, places, numbers) in self.windows.items():
+            if n > len(ids):
                 continue
-            at = np.flatnonzero(known[n:] - known[:-n] == n)
+            hashed = self._hash(ids, n)
+            low = np.searchsorted(hashes, hashed)
+            at = np.flatnonzero(hashes[np.minimum(low, len(hashes) - 1)] == hashed)
             if not len(at):
                 continue
-            hashed = self._hash(np.lib.stride_tricks.sliding_window_view(ids, n)[at])
-            for i in at[np.isin(hashed, self.hashes[n])].tolist():
-                if found := self.windows.get(ids[i : i + n].tobytes()):
-                    spans.append((i, i + n))
-                    items |= found
+            many = np.searchsorted(hashes, hashed[at], side="right") - low[at]
+            hit = np.repeat(at, many)
+            entry = np.arange(len(hit)) + np.repeat(low[at] - np.cumsum(many) + many, many)
+            inside = np.arange(n)
+            for k in range(0, len(hit), PAIRS):
+                h, e = hit[k : k + PAIRS], entry[k : k + PAIRS]
+                same = (self.stream[places[e][:, None] + inside] == ids[h[:, None] + inside]).all(axis=1)
+                spans += [(i, i + n) for i in np.unique(h[same]).tolist()]
+                items |= {self.items[j] for j in np.unique(numbers[e[same]]).tolist()}
         return len(ws), _merged(spans), items
 
 
@@ -109,19 +140,22 @@ def _blocks(benchmark: DataFrame, block_bytes: int) -> tuple[int, Callable[[int]
     return n, lambda b: [(r[0], bytes(r[1])) for r in items.filter(part == b).toLocalIterator()]
 
 
-def hits(docs: DataFrame, benchmark: DataFrame, key: Column, window: int = WINDOW, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """key, text (bytes), n_words, spans of hit words as a flat array, items as strings."""
+def hits(docs: DataFrame, benchmark: DataFrame, key: Column, window: int = WINDOW, block_bytes: int = BLOCK_BYTES, field: str | None = None) -> DataFrame:
+    """key, text (bytes), n_words, spans of hit words as a flat array, items as strings.
+
+    field names the part of a struct key that is the text; then there is no text beside it.
+    """
     n, block = _blocks(benchmark, block_bytes)
-    empty = F.array().cast("array<long>")
-    df = docs.select(key.alias("key"), utf8().alias("text"), F.lit(0).cast("long").alias("n_words"), empty.alias("spans"), F.array().cast("array<string>").alias("items"))
-    schema = df.schema
-    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    text = [] if field else [utf8().alias("text")]
+    df = docs.select(key.alias("key"), *text, F.lit(0).cast("long").alias("n_words"), F.array().cast("array<long>").alias("spans"), F.array().cast("array<string>").alias("items"))
+    ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
     for b in range(n):
         held = docs.sparkSession.sparkContext.broadcast(WindowIndex(block(b), window))
 
         def scan(cols: dict[str, list], held=held) -> dict[str, list]:
-            out = {"key": cols["key"], "text": cols["text"], "n_words": [], "spans": [], "items": []}
-            for text, spans, items in zip(cols["text"], cols["spans"], cols["items"], strict=True):
+            out = {c: cols[c] for c in (("key",) if field else ("key", "text"))} | {"n_words": [], "spans": [], "items": []}
+            texts = [(k[field] or "").encode() for k in cols["key"]] if field else cols["text"]
+            for text, spans, items in zip(texts, cols["spans"], cols["items"], strict=True):
                 count, found, got = held.value.scan(text)
                 old = list(zip(spans[::2], spans[1::2], strict=True))
                 out["n_words"].append(count)
@@ -132,6 +166,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, key: Column, window: int = WINDO
         df = arrow_map(df, scan, ddl)
         if n > 1:
             df = materialize(df, "decontaminate-block")
+            held.unpersist()
     return df
 
 
@@ -182,9 +217,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, remove: str = "documents", wind
         return {"key": kept}
 
     renamed = F.struct(*(F.col(f"`{c}`").alias(f) for c, f in zip(docs.columns, fields, strict=True)))
-    found = hits(docs, benchmark, renamed, window, block_bytes)
+    found = hits(docs, benchmark, renamed, window, block_bytes, field=fields[at])
     kind = found.schema["key"].dataType.simpleString()
-    out = arrow_map(found.drop("text", "items"), judge, f"key {kind}").select("key.*")
+    out = arrow_map(found.drop("items"), judge, f"key {kind}").select("key.*")
     return out.toDF(*docs.columns)
 
 
