@@ -4,15 +4,21 @@ Overlapping heuristic labellers vote good, bad or abstain on each document. All
 documents are reduced to counts of vote patterns, of which there are at most
 3 ** labellers, and expectation-maximisation over these counts estimates each
 labeller's accuracies and the share of good documents. A pattern's posterior is its
-documents' training label. A linear scorer over hashed token shapes and document
-statistics is then trained on a bounded sample and applied to every document, so texts
+documents' training label. A linear scorer over hashed token shapes, hashed words and
+document statistics is then trained on a bounded sample and applied to every document, so texts
 on which all labellers abstain get a score, too.
 
 The vote count and the scoring are maps over all rows; what leaves them before a
 shuffle is a row for each pattern and task.
 
+Labellers of sentences, stop words, repeats and lines abstain on texts of under 20
+words, that of runs under 6: a share of so few words says nothing. The scorer sees these
+shares for every text.
+
 Defined results: a null text counts as empty; empty texts and texts without words
-score 0. Rows map one to one. Without any document with words every score is 0.
+score 0. Rows map one to one, repeated ones get one score, and the training sample
+holds at most `rows` rows even if doc_id repeats. Without any document with words every
+score is 0; an empty table gives no rows. Other columns are never read.
 """
 
 from __future__ import annotations
@@ -25,15 +31,18 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswright.llm._common import arrow_filter, arrow_map, bounded_batches, materialize, utf8
+from glosswright.llm._common import arrow_filter, arrow_map, bounded_batches, first_rows, materialize, utf8
+from glosswright.sources.storage import scratch
 
 #: Documents the scorer is trained on at most, the first by hash.
 TRAIN_ROWS = 20_000
-#: Dimensions of the hashed features.
-DIMENSIONS = 1 << 12
+#: Buckets of token shapes and statistics, and as many of words; dimensions of the hashed features.
+SHAPES = 1 << 12
+DIMENSIONS = 2 * SHAPES
 #: A document is kept when its score reaches this.
 KEEP_AT = 0.5
 
@@ -52,10 +61,21 @@ _SHAPE = re.compile(rb"[a-z\x80-\xff]+|[A-Z]+|[0-9]+")
 _STATS = ("symbols", "upper", "digits", "pipes", "sentences", "stops", "repeats", "lines", "length", "exclaims", "word_size", "longest", "runs")
 
 
+#: Bits of a remembered token: whether it's a stop word, its shape's bucket, its word's bucket, its hash.
+_SHAPE_AT, _WORD_AT, _REST_AT = 1, 13, 25
+_ODD = np.random.default_rng(2).integers(1, 2**63, 3, dtype=np.uint64) | np.uint64(1)
+
+
 def _shape(token: bytes) -> int:
     """Bucket of a token's shape: letters, capitals and digits by class, other bytes as they are."""
     mapped = _SHAPE.sub(lambda m: b"a" if m[0][0] >= 97 else b"A" if m[0][0] >= 65 else b"0", token)
-    return zlib.crc32(mapped[:12]) % DIMENSIONS
+    return zlib.crc32(mapped) % SHAPES
+
+
+def _token(token: bytes) -> int:
+    plain = token.lower().strip(b".,;:!?")
+    word, rest = zlib.crc32(plain, 7) % SHAPES, xxhash.xxh3_64_intdigest(token) >> _REST_AT << _REST_AT
+    return rest | word << _WORD_AT | _shape(token) << _SHAPE_AT | (plain in STOP_WORDS)
 
 
 @dataclass
@@ -64,7 +84,7 @@ class Looked:
 
     words: int
     stats: np.ndarray
-    shapes: np.ndarray  # counts by bucket
+    counts: np.ndarray  # by bucket: shapes first, then words
     buckets: np.ndarray
 
 
@@ -79,18 +99,18 @@ class Reader:
             self.memo.clear()
         memo = self.memo
         try:
-            ids = np.fromiter(map(memo.__getitem__, tokens), np.int64, n)
+            ids = np.fromiter(map(memo.__getitem__, tokens), np.uint64, n)
         except KeyError:
             for t in tokens:
                 if t not in memo:
-                    stop = t.lower().strip(b".,;:!?") in STOP_WORDS
-                    memo[t] = 2 * _shape(t) + stop
-            ids = np.fromiter(map(memo.__getitem__, tokens), np.int64, n)
+                    memo[t] = _token(t)
+            ids = np.fromiter(map(memo.__getitem__, tokens), np.uint64, n)
         raw = np.bincount(np.frombuffer(text, np.uint8), minlength=256)
         size, words = max(1, len(text)), max(1, n)
         upper, lower = raw[65:91].sum(), raw[97:123].sum() + raw[128:].sum()
         lines = [line for line in text.split(b"\n") if line.strip()]
-        triples = len(set(zip(tokens, tokens[1:], tokens[2:], strict=False))) if n > 8 else 0
+        same = ids >> np.uint64(_WORD_AT)
+        triples = same[:-2] * _ODD[0] + same[1:-1] * _ODD[1] + same[2:] * _ODD[2] if n > 2 else same[:0]
         stats = np.array(
             [
                 (raw[33:48].sum() + raw[58:65].sum() + raw[91:97].sum() + raw[123:127].sum() - raw[44] - raw[46] - raw[39] - raw[45]) / size,
@@ -98,18 +118,20 @@ class Reader:
                 raw[48:58].sum() / size,
                 raw[124] / words,
                 (raw[46] + raw[63] + raw[33]) / words,
-                (ids & 1).sum() / words,
-                1 - triples / (n - 2) if n > 8 else 0.0,
+                (ids & np.uint64(1)).sum() / words,
+                1 - len(np.unique(triples)) / len(triples) if len(triples) else 0.0,
                 1 - len(set(lines)) / len(lines) if lines else 0.0,
                 np.log1p(n),
                 raw[33] / words,
                 size / words,
                 max(map(len, lines), default=0) / size,
-                sum(map(bytes.__eq__, tokens, tokens[1:])) / words,
+                (same[1:] == same[:-1]).sum() / words,
             ]
         )
-        buckets, counts = np.unique(ids >> 1, return_counts=True)
-        return Looked(n, stats, counts, buckets)
+        shapes = (ids >> np.uint64(_SHAPE_AT)) % np.uint64(SHAPES)
+        named = (ids >> np.uint64(_WORD_AT)) % np.uint64(SHAPES) + np.uint64(SHAPES)
+        buckets, counts = np.unique(np.concatenate((shapes, named)), return_counts=True)
+        return Looked(n, stats, counts, buckets.astype(np.int64))
 
 
 GOOD, BAD, ABSTAIN = 1, 0, -1
@@ -201,9 +223,14 @@ def _pattern_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return patterns, np.array([r.n for r in rows], float)
 
 
+#: Words weigh less than shapes: there are more of them, and each is rarer.
+WORD_WEIGHT = 0.5
+_STEPS = np.array([[zlib.crc32(b"%d:%d" % (i, k)) % SHAPES for k in range(16)] for i in range(len(_STATS))])
+
+
 @dataclass
 class Scorer:
-    """Linear in the shares of token shapes and in bucketed statistics."""
+    """Linear in the shares of token shapes and words and in bucketed statistics."""
 
     weights: np.ndarray
     bias: float
@@ -211,8 +238,8 @@ class Scorer:
     @staticmethod
     def features(d: Looked) -> tuple[np.ndarray, np.ndarray]:
         steps = [int(min(15, 20 * v)) if i != 8 else int(min(15, 2 * v)) for i, v in enumerate(d.stats.tolist())]
-        fixed = [zlib.crc32(b"%d:%d" % (i, k)) % DIMENSIONS for i, k in enumerate(steps)]
-        values = np.sqrt(d.shapes / max(1, d.words))
+        fixed = [_STEPS[i, k] for i, k in enumerate(steps)]
+        values = np.sqrt(d.counts / max(1, d.words)) * np.where(d.buckets < SHAPES, 1.0, WORD_WEIGHT)
         return np.concatenate((d.buckets, fixed)).astype(np.int64), np.concatenate((values, np.full(len(fixed), 0.3)))
 
     def score(self, d: Looked) -> float:
@@ -222,15 +249,17 @@ class Scorer:
         return float(1 / (1 + np.exp(-np.clip(self.weights[at] @ value + self.bias, -30, 30))))
 
 
-def fit_scorer(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> Scorer:
-    """Logistic regression on soft targets by Adam over the whole sample."""
-    doc = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
-    at, value = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
+def fit_scorer(at: np.ndarray, value: np.ndarray, doc: np.ndarray, target: np.ndarray, rounds: int = 120, ridge: float = 1e-4) -> Scorer:
+    """Logistic regression on soft targets by Adam over the whole sample.
+
+    at, value, doc: dimension, value and document of each feature that isn't 0.
+    """
+    n = len(target)
     w = np.zeros(DIMENSIONS + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
     for t in range(1, rounds + 1):
-        z = np.bincount(doc, w[at] * value, len(rows)) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / len(rows)
+        z = np.bincount(doc, w[at] * value, n) + w[-1]
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
         g = np.append(np.bincount(at, error[doc] * value, DIMENSIONS), error.sum())
         g[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
@@ -251,31 +280,36 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     weak = expectation_maximisation(patterns, counts)
     order = F.xxhash64(F.col("doc_id").cast("string"), F.lit(2))
     first = docs.select("doc_id").withColumn("order", order).orderBy("order").limit(rows)
-    first = materialize(first.select("doc_id").distinct(), "quality-sample")  # at most TRAIN_ROWS ids
-    sample = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(first), "doc_id").select("text")
     sent = docs.sparkSession.sparkContext.broadcast(weak)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read = Reader()
         for batch in batches:
-            looked = [d for d in map(read, batch.column(0).to_pylist()) if d.words]
+            texts = batch.column(0).to_pylist()
+            looked = [d for d in map(read, texts) if d.words]
             features = [Scorer.features(d) for d in looked]
             voted = np.array([votes(d) for d in looked], np.int64).reshape(len(looked), LABELLERS)
             yield pa.RecordBatch.from_arrays(
                 [
+                    pa.array([xxhash.xxh3_64_intdigest(t) >> 1 for t in texts if t.split()], pa.int64()),
                     pa.array([a.astype(np.int16) for a, _ in features], pa.list_(pa.int16())),
                     pa.array([v.astype(np.float32) for _, v in features], pa.list_(pa.float32())),
                     pa.array(sent.value.posterior(voted)),
                 ],
-                names=["at", "value", "target"],
+                names=["order", "at", "value", "target"],
             )
 
-    found = bounded_batches(sample).mapInArrow(run, "at array<smallint>, value array<float>, target double").toArrow()
-    rows_ = sorted(zip(found["target"].to_pylist(), found["at"].to_pylist(), found["value"].to_pylist(), strict=True))
-    if not rows_:
+    with scratch(docs.sparkSession):
+        first = materialize(first.select("doc_id").distinct(), "quality-ids")  # at most `rows` ids
+        sample = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(first), "doc_id")
+        sample = first_rows(materialize(sample, "quality-sample"), rows, "doc_id", "text").select("text")
+        found = bounded_batches(sample).mapInArrow(run, "order long, at array<smallint>, value array<float>, target double").toArrow()
+    if not found.num_rows:
         return Model(weak, None)
-    pairs = [(np.array(a, np.int64), np.array(v, float)) for _, a, v in rows_]
-    return Model(weak, fit_scorer(pairs, np.array([t for t, _, _ in rows_])))
+    found = found.take(np.argsort(found["order"].to_numpy(), kind="stable"))  # the model doesn't depend on the order of tasks
+    at, value = (found[c].combine_chunks() for c in ("at", "value"))
+    doc = np.repeat(np.arange(found.num_rows, dtype=np.int32), np.diff(at.offsets.to_numpy()))
+    return Model(weak, fit_scorer(at.flatten().to_numpy().astype(np.int32), value.flatten().to_numpy(), doc, found["target"].to_numpy()))
 
 
 def report(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
