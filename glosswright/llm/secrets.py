@@ -2,8 +2,8 @@
 
 Base detectors find assignments, access identifiers and long hexadecimal runs.
 Beyond them the scan looks for the parts of a credential: weak identifiers, weak
-secrets and endpoints. Each part gets a scope, the stretch of REACH characters on
-either side that doesn't leave its paragraph. An interval join of identifiers,
+secrets and endpoints. Each part gets a scope, the stretch of REACH bytes on either
+side that doesn't leave its paragraph. A scope meets each part that overlaps it. An interval join of identifiers,
 secrets and endpoints by scope then links parts, and a weak part is reported only
 when it has a complementary one: an identifier a secret, a secret an identifier or
 an endpoint, an endpoint a secret. Base spans are always reported.
@@ -11,7 +11,10 @@ an endpoint, an endpoint a secret. Base spans are always reported.
 The join sorts the parts of a text and looks up neighbours by bisection, so it never
 lists pairs. The scan is a map over rows: nothing is shuffled.
 
-Defined results: a null text counts as empty and has no spans. Rows map one to one.
+Defined results: a null text counts as empty and has no spans. Rows map one to one,
+repeated ones too, and an empty table gives none. Long texts are scanned whole. Spans
+that start together stand in the order of their kinds. Other columns pass through
+`redact` whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from pyspark.sql import DataFrame
 
 from glosswright.llm._common import arrow_map, bounded_batches, utf8
 
-#: Characters between linked parts at most.
+#: Bytes of UTF-8 between linked parts at most.
 REACH = 400
 
 # The patterns of the base detectors, on UTF-8 with A-Z lower-cased for the first.

@@ -17,7 +17,9 @@ and the trained model, nothing else.
 
 Defined results: a null text counts as empty and is scored like one. Labels that are
 null or name no document are ignored; of repeated labels the largest counts. Without
-any labelled row every score is 0. A null doc_id is not held out.
+any labelled row every score is 0. A null doc_id is not held out. Rows map one to one;
+rows that repeat a labelled doc_id each count for training, TRAIN_ROWS rows in all.
+An empty table gives no rows; other columns are never read.
 """
 
 from __future__ import annotations
@@ -32,10 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from glosswright.llm._boosting import Isotonic, Trees, fit, isotonic
-from glosswright.llm._common import arrow_map, bounded_batches, materialize, utf8
+from glosswright.llm._common import arrow_map, bounded_batches, first_rows, materialize, utf8
+from glosswright.sources.storage import scratch
 
-#: Labelled rows to learn from at most, and learned word beginnings at most.
-TRAIN_ROWS, LEXICON_ROWS = 40_000, 8192
+#: Labelled rows to learn from at most.
+TRAIN_ROWS = 40_000
+#: Word beginnings that a task counts before it hands them on.
+HELD_BEGINNINGS = 1 << 18
 
 # Seed lexicon and second-person words.
 INSULTS = (
@@ -72,31 +77,51 @@ class Lexicon:
     weights: dict[str, float]
 
     def __post_init__(self) -> None:
-        self.memo: dict[str, tuple[float, int, int, int]] = {}
-
-    def look_up(self, token: str) -> tuple[float, int, int, int]:
-        """Learned weight, seed word, second person, hit through obfuscation only."""
-        if (found := self.memo.get(token)) is None:
-            if len(self.memo) > 1 << 19:
-                self.memo.clear()
-            word = token.lower()
-            get = self.weights.get
-            weight = max(get(b, 0.0) for b in beginnings(word))
-            seed, leet = int(word in INSULTS), 0
-            if _MIXED.search(word):
-                plain = word.translate(LEET)
-                letters = re.sub(r"[^\w]", "", plain)
-                leet = int(not seed and (plain in INSULTS or letters in INSULTS))
-            found = self.memo[token] = (weight, seed, int(word in SECOND_PERSON), leet)
-        return found
+        self.memo: dict[str, int] = {}
+        self.known: list[tuple[float, ...]] = []
+        self.matrix = np.empty((0, 6))
+
+    def look_up(self, token: str) -> tuple[float, ...]:
+        """Learned weight, seed word, second person, hit through obfuscation only, shouted, obfuscated."""
+        word = token.lower()
+        get = self.weights.get
+        weight = max(get(b, 0.0) for b in beginnings(word))
+        seed, leet, mixed = int(word in INSULTS), 0, int(bool(_MIXED.search(word)))
+        if mixed:
+            plain = word.translate(LEET)
+            letters = re.sub(r"[^\w]", "", plain)
+            leet = int(not seed and (plain in INSULTS or letters in INSULTS))
+        return weight, seed, int(word in SECOND_PERSON), leet, int(len(token) > 2 and token.isupper()), mixed
+
+    def _looked(self, tokens: list[str]) -> np.ndarray:
+        memo = self.memo
+        if len(memo) > 1 << 18:
+            memo.clear()
+            self.known, self.matrix = [], self.matrix[:0]
+        try:
+            at = np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
+        except KeyError:
+            for t in tokens:
+                if t not in memo:
+                    memo[t] = len(self.known)
+                    self.known.append(self.look_up(t))
+            at = np.fromiter(map(memo.__getitem__, tokens), np.int64, len(tokens))
+        if len(self.known) > len(self.matrix):
+            # grown by doubling
+            more = np.zeros((max(1024, 2 * len(self.known)), 6))
+            more[: len(self.known)] = self.known
+            self.matrix, self.filled = more, len(self.known)
+        elif self.known and self.filled < len(self.known):
+            self.matrix[self.filled : len(self.known)] = self.known[self.filled :]
+            self.filled = len(self.known)
+        return self.matrix[at]
 
     def features(self, text: str) -> list[float]:
         tokens = _WORD.findall(text)
         n, chars = max(1, len(tokens)), max(1, len(text))
         raw = np.frombuffer(text.encode(), np.uint8)
         counts = np.bincount(raw, minlength=256)
-        looked = np.array(list(map(self.look_up, tokens)), np.float64).reshape(len(tokens), 4)
-        weight, seed, second, leet = looked.T
+        weight, seed, second, leet, shouted, mixed = self._looked(tokens).T
         hits = np.flatnonzero((weight > 0.5) | (seed > 0) | (leet > 0))
         you = np.flatnonzero(second)
         near = 0
@@ -107,15 +132,12 @@ class Lexicon:
             near = int(((np.abs(left) <= 5) | (np.abs(right) <= 5)).sum())
         upper = counts[65:91].sum()
         letters = max(1, upper + counts[97:123].sum())
-        shouted = sum(len(t) > 2 and t.isupper() for t in tokens) if upper > 0.1 * letters else 0
         symbols = counts[[35, 36, 37, 38, 42, 64, 94, 126, 124]].sum()
-        mixed = sum(1 for t in tokens if _MIXED.search(t)) if counts[[33, 35, 36, 42, 48, 49, 51, 52, 53, 55, 64]].any() else 0
         repeats = int((raw[1:] == raw[:-1]).sum()) if len(raw) > 1 else 0
         return [
-            seed.sum() / n, min(seed.sum(), 50), weight.sum() / n, weight.max(initial=0), min(weight.sum(), 50),
-            min((weight > 0.6).sum(), 50), len(you) / n, near / n, upper / letters, shouted / n, counts[33] / chars,
-            counts[63] / chars, symbols / chars, counts[48:58].sum() / chars, mixed / n, leet.sum() / n,
-            repeats / chars, float(np.log1p(len(tokens))),
+            seed.sum() / n, seed.sum(), weight.sum() / n, weight.max(initial=0), weight.sum(), (weight > 0.6).sum(), len(you) / n, near / n,
+            upper / letters, shouted.sum() / n, counts[33] / chars, counts[63] / chars, symbols / chars, counts[48:58].sum() / chars, mixed.sum() / n,
+            leet.sum() / n, repeats / chars, float(np.log1p(len(tokens))),
         ]
 
 
@@ -140,27 +162,37 @@ def _training_rows(docs: DataFrame, labels: DataFrame, rows: int) -> DataFrame:
     order = F.xxhash64(F.col("doc_id").cast("long"), F.lit(6))
     known = known.withColumn("order", order).orderBy("order", "doc_id").limit(rows)
     known = known.select("doc_id", "toxic", F.pmod("order", F.lit(10)).cast("int").alias("part"))
-    # at most TRAIN_ROWS rows of 16 bytes
+    # at most `rows` rows of 16 bytes
     found = docs.select("doc_id", "text").join(F.broadcast(materialize(known, "toxicity-labels")), "doc_id")
-    return materialize(found, "toxicity-training")
+    found = materialize(found, "toxicity-labelled")
+    return materialize(first_rows(found, rows, "doc_id", "text"), "toxicity-training")
 
 
 def _counts(training: DataFrame) -> DataFrame:
     """begin, n0, p0, n1, p1: texts without and with the label that hold a beginning, by half."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, list[int]] = {}
+
+        def counted() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(list(held), pa.string()), *(pa.array([v[i] for v in held.values()], pa.int64()) for i in range(4))],
+                names=["begin", "n0", "p0", "n1", "p1"],
+            )
+            held.clear()
+            return out
+
+        # a task's counts are summed before they leave it, as long as they fit
         for batch in batches:
-            held: dict[str, list[int]] = {}
             for text, toxic, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 at = 2 * (part % 2) + (1 if toxic else 0)
                 words = {w.lower() for w in _WORD.findall(text or "")}
                 for b in {b for w in words for b in beginnings(w)}:
                     held.setdefault(b, [0, 0, 0, 0])[at] += 1
-            # without a toxic text a beginning only matters where others have one
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(list(held), pa.string()), *(pa.array([v[i] for v in held.values()], pa.int64()) for i in range(4))],
-                names=["begin", "n0", "p0", "n1", "p1"],
-            )
+            if len(held) > HELD_BEGINNINGS:
+                yield counted()
+        if held:
+            yield counted()
 
     rows = bounded_batches(training.select("text", "toxic", "part"))
     parts = rows.mapInArrow(run, "begin string, n0 long, p0 long, n1 long, p1 long")
@@ -181,15 +213,20 @@ def _lexicons(training: DataFrame) -> list[Lexicon]:
     for p, n in (("p0", "n0"), ("p1", "n1"), ("p0 + p1", "n0 + n1")):
         rows = counts.select("begin", F.expr(p).alias("p"), F.expr(n).alias("n")).filter("p > 1")
         rows = rows.withColumn("weight", _lower_limit(F.col("p"), F.col("n"))).filter("weight > 0.3")
-        out.append(Lexicon({r.begin: r.weight for r in rows.orderBy(F.desc("weight"), "begin").limit(LEXICON_ROWS).collect()}))
+        # beginnings of the training texts, whose number is bounded
+        out.append(Lexicon({r.begin: r.weight for r in rows.collect()}))
     return out
 
 
 def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     """The model learned from at most `rows` labelled documents that aren't held out."""
-    training = _training_rows(docs, labels, rows)
+    with scratch(docs.sparkSession):
+        return _train(_training_rows(docs, labels, rows))
+
+
+def _train(training: DataFrame) -> Model:
     first, second, both = _lexicons(training)
-    sent = docs.sparkSession.sparkContext.broadcast((first.weights, second.weights))
+    sent = training.sparkSession.sparkContext.broadcast((first.weights, second.weights))
     names = [f"f{i}" for i in range(len(FEATURES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
