@@ -89,13 +89,13 @@ PATTERNS = """
 # admin
 /wp-admin/*  /wp-login.php|  /wp-json/*  /xmlrpc.php|  /cgi-bin/*  /phpmyadmin/  /administrator/  /admin/  /.git/*  /.env|  /server-status|  /backup/*.sql|  ||cpanel.  ||webmail.
 # download
-*/setup.exe|  */*.exe|  */*.msi|  */*.apk|  */*.dmg|  */*.iso|  */*.torrent|  */*.rar|  */keygen/*  */crack/*  /serial-key^  /nulled/  /warez/*  ||torrents.  ||download.*/free^
+/setup.exe|  .exe|  .msi|  .apk|  .dmg|  .iso|  .torrent|  .rar|  /keygen/*  /crack/*  /serial-key^  /nulled/  /warez/*  ||torrents.  ||download.*/free^
 # feeds
 /feed/  /feed|  /rss/  /rss.xml|  /atom.xml|  /sitemap.xml|  /sitemap_index.xml|  /robots.txt|  /api/v1/*  /api/v2/*  /api/v3/*  /graphql|  /swagger/
 # noise
 /tag/*  /tags/*  /calendar/*  /archive/*/page/  /print/*  /share/*  /search/*  /forum/*/reply^  /forum/memberlist^  /wiki/special:*  /wiki/user_talk:*  /comment/reply^  /404.html|  /test/lorem^
 # media
-*/*.jpg|  */*.jpeg|  */*.png|  */*.gif|  */*.webp|  */*.svg|  */*.mp3|  */*.mp4|  */*.avi|  */*.mov|  */*.zip|  */*.css|  */*.woff2|
+.jpg|  .jpeg|  .png|  .gif|  .webp|  .svg|  .mp3|  .mp4|  .avi|  .mov|  .zip|  .css|  .woff2|
 # gambling
 /slots/  /roulette/  /blackjack/  /sportsbook/  /bookmaker/  ||casino.  ||poker.  ||bet.  /free-spins^  /live-casino^
 # adult
@@ -117,6 +117,9 @@ def pattern_rule(topic: str, pattern: str) -> Rule:
     host, start = body.startswith("||"), body.startswith("|")
     end = body.endswith("|")
     core = body.lstrip("|").removesuffix("|").lower()
+    # an end that isn't anchored may be followed by anything anyhow
+    core = core if start else core.lstrip("*")
+    core = core if end else core.rstrip("*")
     regex = {"*": ".*", "^": r"(?:[^0-9a-z_.%-]|\z)"}
     text = "".join(regex.get(c) or re.escape(c) for c in core)
     lead = r"^(?:[^/]*\.)?" if host else "^" if start else ""
