@@ -17,7 +17,7 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 #: Rows of an Arrow batch, and rows handed to Python code at once.
 BATCH_ROWS, SLICE_ROWS = 1024, 512
 #: Bytes of an Arrow batch.
-BATCH_BYTES = 16 << 20
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -49,9 +49,10 @@ def first_rows(table: DataFrame, rows: int, *key: str) -> DataFrame:
 
 
 def bounded_batches(df: DataFrame) -> DataFrame:
-    """df, after limiting the rows of an Arrow batch, so that long texts fit in a worker."""
+    """df, after limiting the rows of a batch from Parquet and to Arrow, so that long texts fit in an executor."""
     conf = df.sparkSession.conf
-    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+    limits = {"execution.arrow.maxRecordsPerBatch": BATCH_ROWS, "execution.arrow.maxBytesPerBatch": BATCH_BYTES, "parquet.columnarReaderBatchSize": BATCH_ROWS}
+    for name, most in ((f"spark.sql.{k}", v) for k, v in limits.items()):
         # sizes read back with a unit of bytes
         if not 0 < int(conf.get(name).rstrip("b")) <= most:
             conf.set(name, most)

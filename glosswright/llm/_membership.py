@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,17 +64,23 @@ def without(df: DataFrame, lost: DataFrame, key: list[Column], gate: int | None
         same = same & F.col(f"_key{c}").eqNullSafe(F.col(c))
     sc, hashed = df.sparkSession.sparkContext, F.xxhash64(*key[:gate])
 
-    def maybe(words: np.ndarray) -> Column:
-        sent = sc.broadcast(words)
-
-        def test(h: pd.Series) -> pd.Series:
-            return pd.Series(among(sent.value, h.to_numpy()))
-
-        return F.pandas_udf(test, "boolean")(hashed)
-
-    first = maybe(bit_set(lost.select(F.xxhash64(*names[:gate]))))
-    keys = df.filter(first).select(*(k.alias(f"_key{c}") for k, c in zip(key, names, strict=True)))
-    wrong = keys.join(lost, same, "left_anti").select(F.xxhash64(*(f"_key{c}" for c in names[:gate])))
-    second = maybe(bit_set(wrong))
-    asked = df.filter(first).filter(second).withColumns({f"_key{c}": k for k, c in zip(key, names, strict=True)})
-    return df.filter(~first).union(asked.join(lost, same, "left_anti").drop(*(f"_key{c}" for c in names)))
+    def level(*sets: np.ndarray) -> Column:
+        """How many of the sets, one after another, may hold the row; one worker tests them all."""
+        sent = [sc.broadcast(words) for words in sets]
+
+        def test(h: pa.Array) -> pa.Array:
+            values = h.to_numpy(zero_copy_only=False)
+            out, still = np.zeros(len(values), np.int32), np.ones(len(values), bool)
+            for words in sent:
+                still &= among(words.value, values)
+                out += still
+            return pa.array(out)
+
+        return F.arrow_udf(test, "int")(hashed)
+
+    first = bit_set(lost.select(F.xxhash64(*names[:gate])))
+    keys = df.filter(level(first) == 1).select(*(k.alias(f"_key{c}") for k, c in zip(key, names, strict=True)))
+    second = bit_set(keys.join(lost, same, "left_anti").select(F.xxhash64(*(f"_key{c}" for c in names[:gate]))))
+    held = level(first, second)
+    asked = df.filter(held == 2).withColumns({f"_key{c}": k for k, c in zip(key, names, strict=True)})
+    return df.filter(held == 0).union(asked.join(lost, same, "left_anti").drop(*(f"_key{c}" for c in names)))
