@@ -13,6 +13,9 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a row group of intermediate tables: a task holds one while writing and one while
+#: reading, and a file is split between them.
+_ROW_GROUP = 16 << 20
 
 _local_dir: list[str] = []
 _open: list[Scratch] = []
@@ -52,7 +55,7 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     table = spark.read.schema(df.schema).parquet(path)
