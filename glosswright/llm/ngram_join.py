@@ -68,7 +68,7 @@ BLOCKS = 8
 #: Entries of a window, and entries in windows that make a column common.
 WINDOW, COMMON = 1 << 20, 4
 
-_MEMO_WORDS = 1 << 18
+_MEMO_WORDS = 1 << 16
 _ODD = np.random.default_rng(4).integers(1, 2**63, 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
