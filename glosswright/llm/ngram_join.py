@@ -238,19 +238,18 @@ def _postings(nodes: DataFrame, columns: np.ndarray) -> DataFrame:
 
 
 def _sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
-    """node, grams for the nodes, and for a few others that the bit set lets through."""
+    """The rows (node, grams) of the nodes, and of a few others that the bit set lets through, as they lie."""
     sent = sets.sparkSession.sparkContext.broadcast(bit_set(nodes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(among(sent.value, batch.column(0).to_numpy())))
 
-    rows = sets.select(F.col("doc_id").alias("node"), "grams")
-    return bounded_batches(rows).mapInArrow(run, "node long, grams binary")
+    return bounded_batches(sets.select("node", "grams")).mapInArrow(run, "node long, grams binary")
 
 
 def _linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full rows reach the bound."""
+    """The pairs (a, b) whose full rows reach the bound. Rows that stand in no pair aren't shuffled."""
     bounds = Bounds(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,8 +260,8 @@ def _linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
             ]
             yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1])
 
-    left = sets.select(F.col("node").alias("a"), F.col("grams").alias("left"))
-    right = sets.select(F.col("node").alias("b"), F.col("grams").alias("right"))
+    left = _sets_of(sets, pairs.select("a")).toDF("a", "left")
+    right = _sets_of(sets, pairs.select("b")).toDF("b", "right")
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
     return materialize(bounded_batches(both).mapInArrow(run, "a long, b long"), "join-links")
 
@@ -335,24 +334,27 @@ def _labels(tables: Scratch, sets: DataFrame, copies: DataFrame, percent: int, s
     small, large = block(common, bit_set(large.select("node").distinct()))
     pairs = materialize(pairs.unionByName(_product(small, large, percent, last=True)).distinct(), "join-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
-    node_sets = materialize(_sets_of(usable, ends), "join-node-sets")
+    node_sets = materialize(_sets_of(usable.select(F.col("doc_id").alias("node"), "grams"), ends), "join-node-sets")
     tables.drop(sets)
+    sketches = materialize(_sketches(node_sets).distinct(), "join-sketches")
+    pairs = materialize(_possible(pairs, sketches, percent), "join-possible")
     labels = components(_linked(node_sets, pairs, percent))
     members = materialize(large.select(F.col("gram").alias("sig"), "node"), "join-members")
-    return _join_large(tables, members, node_sets, labels, percent)
+    return _join_large(tables, members, node_sets, sketches, labels, percent)
 
 
-def _join_large(tables: Scratch, members: DataFrame, sets: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _join_large(tables: Scratch, members: DataFrame, sets: DataFrame, sketches: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """The labels once the members (sig, node) of frequent columns are compared, too."""
     pivots = members.groupBy("sig").agg(F.min("node").alias("pivot"))
     star = _apart(members, labels).join(pivots, "sig").groupBy("node").agg(F.min("pivot").alias("pivot"))
-    labels = _more(tables, sets, star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).filter("a <> b"), labels, percent)
+    star = star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    labels = _more(tables, sets, _possible(star, sketches, percent), labels, percent)
     large = materialize(_apart(members, labels).select("sig", "node"), "join-apart")
     if large.isEmpty():
         return labels
     # by its columns a pair is listed in the first of them only
     own = large.groupBy("node").agg(F.collect_set("sig").alias("sigs"))
-    shared = materialize(own.join(_sketches(sets), "node").dropDuplicates(["node"]), "join-shared")
+    shared = materialize(own.join(sketches, "node"), "join-shared")
     used = large.limit(0)
     for turn in range(64):
         pairs, pivots = _next_pivots(_apart(large, labels), shared, used, percent, turn)
@@ -410,13 +412,21 @@ def _sketches(sets: DataFrame) -> DataFrame:
     return bounded_batches(sets).mapInArrow(run, "node long, held long, sketch array<int>")
 
 
-def _can_link(percent: int) -> Column:
+def _can_link(percent: int, a: Column, b: Column) -> Column:
     """Whether the sketches of a and b leave the bound within reach.
 
     The sets differ by at least as many shingles as their counts by block do.
     """
-    apart = F.aggregate(F.zip_with("a.sketch", "b.sketch", lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
-    return apart * (100 + percent) <= (100 - percent) * (F.col("a.held") + F.col("b.held"))
+    apart = F.aggregate(F.zip_with(a["sketch"], b["sketch"], lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    return apart * (100 + percent) <= (100 - percent) * (a["held"] + b["held"])
+
+
+def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave the bound within reach, so that only their sets are shipped."""
+    x, y = (sketches.select(*(F.col(c).alias(f"{c}_{end}") for c in sketches.columns)) for end in "ab")
+    both = pairs.join(x, F.col("a") == F.col("node_a")).join(y, F.col("b") == F.col("node_b"))
+    a, b = (F.struct(F.col(f"held_{end}").alias("held"), F.col(f"sketch_{end}").alias("sketch")) for end in "ab")
+    return both.filter(_can_link(percent, a, b)).select("a", "b").distinct()
 
 
 def _next_pivots(members: DataFrame, shared: DataFrame, used: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:
@@ -448,7 +458,7 @@ def _next_pivots(members: DataFrame, shared: DataFrame, used: DataFrame, percent
     b = members.select("sig", "node", "label", block).join(shared, "node").alias("b")
     once = F.array_min(F.array_intersect("a.sigs", "b.sigs")) == F.col("a.sig")
     same = (F.col("a.sig") == F.col("b.sig")) & (F.col("a.block") == F.col("b.block"))
-    pairs = a.join(b, same & (F.col("a.label") != F.col("b.label")) & once & _can_link(percent))
+    pairs = a.join(b, same & (F.col("a.label") != F.col("b.label")) & once & _can_link(percent, *(F.struct(f"{x}.held", f"{x}.sketch") for x in "ab")))
     pairs = pairs.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b"))
     return pairs, best.select("sig", "node")
 
