@@ -14,6 +14,10 @@ in windows of WINDOW entries, of which a bit set of fixed size is broadcast. The
 over this block gives the pairs and a part of their overlap. What the rest can add is
 bounded by the entries behind the shorter prefix, so pairs below the bound go at once.
 
+Sketches. A node's counts by SKETCH blocks of columns bound the overlap from above; they
+are joined to the pairs first, and only pairs that they leave in reach have their sets
+shipped. A doc_id with several texts has several sketches, any of which may keep a pair.
+
 Further blocks. For the pairs that are left the overlap is counted block by block over
 all columns, and a pair goes when its count and what is left of either row fall below
 the bound.
