@@ -76,7 +76,7 @@ class Scratch:
             path = getattr(t, "_scratch_path", None)
             if path in self.paths:
                 self.paths.remove(path)
-                _delete(self.spark, path)
+                delete(self.spark, path)
 
     def keep(self, table: DataFrame) -> DataFrame:
         """Hands a table to the scratch() around this one, or lets it stay if there is none."""
@@ -89,7 +89,7 @@ class Scratch:
 
 def discard(table: DataFrame) -> None:
     """Deletes a table of materialize() that no scratch() holds."""
-    _delete(table.sparkSession, table._scratch_path)
+    delete(table.sparkSession, table._scratch_path)
 
 
 @contextmanager
@@ -102,10 +102,11 @@ def scratch(spark: SparkSession) -> Iterator[Scratch]:
     finally:
         _open.remove(held)
         for path in held.paths:
-            _delete(spark, path)
+            delete(spark, path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a path, wherever it lies, if it's there."""
     jvm = spark.sparkContext._jvm
     there = jvm.org.apache.hadoop.fs.Path(path)
     there.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(there, True)

@@ -292,3 +292,54 @@ def test_words_end_where_the_sql_ends_them(spark, tmp_path):
         con.execute(f"create view {table} as select * from read_parquet('{tmp_path}/{table}.parquet/*.parquet')")
         got = sorted(tuple(r) for r in queries[name](spark, str(tmp_path)).collect())
         assert got and got == sorted(con.execute(sql[name]).fetchall())
+
+
+def test_replay_leaves_out_idle_steps_only():
+    """The replay gives what a step at every token gives, also when a text comes in two batches."""
+    import hashlib
+    import random
+
+    def every_step(plan, pieces):
+        text, ticks, edits, tried = "", 0, 0, set()
+        for piece in pieces:
+            text, ticks = text + piece, ticks + (piece != "")
+            after, kept, _ = rows.step(plan, text, tick=ticks)
+            marks = {hashlib.sha256(f"{e.start}:{e.stop}:{len(e.payload)}:{e.payload}{text[: e.start]}".encode()).hexdigest() for e in kept}
+            if kept and not marks <= tried:
+                tried, text, edits = tried | marks, after, edits + len(kept)
+        return text, ticks, edits, tried
+
+    rules = (
+        replay.RULES, "## Replace (word): les|pour\nWith:\n- ces\n- pour les\n\n## After: pour\nScope:\n- 2 sentences\nAdd:\n- tous\n- les\n",
+        "## Replace: a\nWith:\n- b\n## After: b\nScope:\n- 1 sentence\nAdd:\n- a.\n", "## Force: n\nAdd:\n- tous.\n",
+    )
+    rng = random.Random(5)
+    words = ["les", "Les", "pour", "(pour", "pour,", "pour)", ".", "!", "tous", "ces", " ", "\n", "a", "b", "ß", "le", "s", "ſ", "pou", "r", "", ") "]
+    for plan in map(compile_rules, rules):
+        advance = rows.Replayer(plan)
+        for _ in range(200):
+            pieces = [rng.choice((" ", "")) + rng.choice(words) for _ in range(rng.randrange(1, 40))]
+            cut = rng.randrange(len(pieces) + 1)
+            want, half = every_step(plan, pieces), advance("", pieces[:cut], 0, 0, set())
+            assert advance("", pieces, 0, 0, set()) == advance(half[0], pieces[cut:], *half[1:]) == want, pieces
+
+
+def test_replay_of_long_texts(spark, monkeypatch):
+    import time
+
+    steps = []
+    plain = rows.step
+    monkeypatch.setattr(rows, "step", lambda *a, **k: steps.append(1) or plain(*a, **k))
+    pieces = [f" w{i}" + "." * (i % 9 == 0) for i in range(20_000)] + [" les", " pour", " fin"]
+    begin = time.time()
+    text, ticks, edits, _ = rows.Replayer(compile_rules(replay.RULES))("", pieces, 0, 0, set())
+    assert (ticks, edits, len(steps)) == (20_003, 2, 2) and text.endswith(" ces pour. Tous fin") and time.time() - begin < 10
+
+
+def test_replay_of_several_blocks(spark):
+    words = [f"w{i}" for i in range(3 * replay.BLOCK + 5)]
+    words[replay.BLOCK - 1] = words[2 * replay.BLOCK] = "les"
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, None), (2, "x")], "doc_id long, text string")
+    got = {r.doc_id: r for r in replay.replay_documents(spark, docs, replay.RULES).collect()}
+    words[replay.BLOCK - 1] = "ces"
+    assert (got[1].text, got[1].ticks, got[1].edits) == (" ".join(words), len(words), 1) and (got[2].text, got[2].ticks) == ("x", 1)
