@@ -84,3 +84,23 @@ def without(df: DataFrame, lost: DataFrame, key: list[Column], gate: int | None
     held = level(first, second)
     asked = df.filter(held == 2).withColumns({f"_key{c}": k for k, c in zip(key, names, strict=True)})
     return df.filter(held == 0).union(asked.join(lost, same, "left_anti").drop(*(f"_key{c}" for c in names)))
+
+
+def one_of_each(df: DataFrame, wanted: DataFrame, key: list[Column], gate: int | None = None) -> DataFrame:
+    """One row of df for each row of wanted that the key equals (nulls too); columns as before.
+
+    Only rows that may be among the wanted, by the first `gate` columns of the key, are shuffled.
+    """
+    names = [f"_wanted_{i}" for i in range(len(key))]
+    wanted = wanted.toDF(*names)
+    sent = df.sparkSession.sparkContext.broadcast(bit_set(wanted.select(F.xxhash64(*names[:gate]))))
+
+    def test(h: pa.Array) -> pa.Array:
+        return pa.array(among(sent.value, h.to_numpy(zero_copy_only=False)))
+
+    same = F.lit(True)
+    for n in names:
+        same = same & F.col(f"_key{n}").eqNullSafe(F.col(n))
+    asked = df.filter(F.arrow_udf(test, "boolean")(F.xxhash64(*key[:gate]))).withColumns({f"_key{n}": k for n, k in zip(names, key, strict=True)})
+    keys = [f"_key{n}" for n in names]
+    return asked.join(wanted, same, "left_semi").dropDuplicates(keys).drop(*keys)

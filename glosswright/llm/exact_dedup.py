@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from glosswright.llm._common import ascii_lower, materialize
-from glosswright.llm._membership import without
+from glosswright.llm._membership import one_of_each, without
 from glosswright.sources.storage import scratch
 
 #: Counters of a partition's summary, and candidates at most. A digest that stands more than
@@ -99,12 +99,17 @@ def drop_duplicates(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:
     """docs without the rows that lost; its columns are as before.
 
     Documents that stay aren't shuffled: a bit set of the losers' ids passes them where
-    they lie, see without().
+    they lie, see without(). Of rows that repeat the winner's doc_id and text one stays;
+    the texts of such rows alone are shuffled.
     """
+    key = [F.col("doc_id"), digest()]
     with scratch(docs.sparkSession) as tables:
-        lost = decide(docs, counters).filter(~F.col("kept")).select("doc_id", "digest")
-        lost = tables.keep(materialize(lost, "exact-lost"))
-    return without(docs, lost, [F.col("doc_id"), digest()], gate=1)
+        decided = decide(docs, counters).filter("not kept or group_size > 1").groupBy("doc_id", "digest", "kept").agg(F.count(F.lit(1)).alias("n"))
+        decided = materialize(decided.filter("not kept or n > 1"), "exact-lost")
+        lost = tables.keep(decided)
+    again = lost.filter("kept").select("doc_id", "digest")
+    kept = without(docs, lost.select("doc_id", "digest"), key, gate=1)
+    return kept if again.isEmpty() else kept.union(one_of_each(docs, again, key, gate=1))
 
 
 def report(docs: DataFrame, counters: int = COUNTERS) -> DataFrame:

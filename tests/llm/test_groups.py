@@ -83,6 +83,14 @@ def test_exact_dedup(spark, counters):
     assert exact_dedup.report(empty(spark)).count() == 0
 
 
+def test_exact_dedup_leaves_one_of_repeated_rows(spark):
+    rows = [(1, "Ab", "x"), (2, "aB", "y"), (2, "aB", "y"), (2, "ab", "y"), (3, "c", "z"), (3, "c", "z"), (3, "d", "z"), (None, "e", "n"), (None, "e", "n"), (5, None, "q"), (5, "", "q")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, digest string").repartition(3)
+    kept = exact_dedup.drop_duplicates(df)
+    assert kept.columns == df.columns
+    assert sorted(str((r.doc_id, low(r.text), r.digest)) for r in kept.collect()) == sorted(str(x) for x in [(2, "ab", "y"), (3, "c", "z"), (3, "d", "z"), (None, "e", "n"), (5, "", "q")])
+
+
 def test_misra_gries_finds_what_is_frequent(spark):
     rng = random.Random(2)
     values = [b"hot"] * 400 + [b"warm"] * 150 + [str(rng.random()).encode() for _ in range(1000)]
