@@ -63,6 +63,8 @@ _STATS = ("symbols", "upper", "digits", "pipes", "sentences", "stops", "repeats"
 
 #: Bits of a remembered token: whether it's a stop word, its shape's bucket, its word's bucket, its hash.
 _SHAPE_AT, _WORD_AT, _REST_AT = 1, 13, 25
+#: Remembered tokens of a worker, some 12 MB.
+_MEMO_TOKENS = 1 << 16
 _ODD = np.random.default_rng(2).integers(1, 2**63, 3, dtype=np.uint64) | np.uint64(1)
 
 
@@ -95,7 +97,7 @@ class Reader:
     def __call__(self, text: bytes) -> Looked:
         tokens = text.split()
         n = len(tokens)
-        if len(self.memo) > 1 << 18:
+        if len(self.memo) > _MEMO_TOKENS:
             self.memo.clear()
         memo = self.memo
         try:
