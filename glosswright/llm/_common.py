@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from glosswright.sources.storage import materialize, shared_dir
 
-__all__ = ["arrow_filter", "arrow_map", "ascii_lower", "bounded_batches", "first_rows", "materialize", "shared_dir", "table", "utf8"]
+__all__ = ["arrow_filter", "arrow_map", "ascii_lower", "bounded_batches", "first_rows", "materialize", "released", "shared_dir", "table", "utf8"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -59,6 +60,26 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, before and after which a worker hands free memory back to the system.
+
+    Workers are used again by later tasks of other steps, and idle ones stay for a while.
+    """
+
+    def give_back() -> None:
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+        if trim:
+            trim(0)
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back()
+        yield from run(batches)
+        give_back()
+
+    return wrapped
+
+
 def arrow_map(
     df: DataFrame,
     fn: Callable[[dict[str, list]], dict[str, Sequence]],
@@ -79,7 +100,7 @@ def arrow_map(
                     [pa.array(out[f.name], type=f.type) for f in arrow_schema], schema=arrow_schema
                 )
 
-    return bounded_batches(df).mapInArrow(run, schema)
+    return bounded_batches(df).mapInArrow(released(run), schema)
 
 
 def arrow_filter(
@@ -97,4 +118,4 @@ def arrow_filter(
                 texts = [(t or "").encode() for t in part.column(at).to_pylist()]
                 yield part.filter(pa.array(keep(texts), type=pa.bool_()))
 
-    return bounded_batches(df).mapInArrow(run, df.schema)
+    return bounded_batches(df).mapInArrow(released(run), df.schema)

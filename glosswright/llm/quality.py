@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswright.llm._common import arrow_filter, arrow_map, bounded_batches, first_rows, materialize, utf8
+from glosswright.llm._common import arrow_filter, arrow_map, bounded_batches, first_rows, materialize, released, utf8
 from glosswright.sources.storage import scratch
 
 #: Documents the scorer is trained on at most, the first by hash.
@@ -218,7 +218,7 @@ def _pattern_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
             [pa.array(list(held), pa.int64()), pa.array(list(held.values()), pa.int64())], names=["pattern", "n"]
         )
 
-    found = bounded_batches(docs.select(utf8().alias("text"))).mapInArrow(run, "pattern long, n long")
+    found = bounded_batches(docs.select(utf8().alias("text"))).mapInArrow(released(run), "pattern long, n long")
     rows = sorted(found.groupBy("pattern").agg(F.sum("n").alias("n")).collect())
     codes = np.array([r.pattern for r in rows], np.int64)
     patterns = np.stack([codes // 3**j % 3 - 1 for j in range(LABELLERS)], axis=1).reshape(len(rows), LABELLERS)
@@ -305,7 +305,7 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         first = materialize(first.select("doc_id").distinct(), "quality-ids")  # at most `rows` ids
         sample = docs.select("doc_id", utf8().alias("text")).join(F.broadcast(first), "doc_id")
         sample = first_rows(materialize(sample, "quality-sample"), rows, "doc_id", "text").select("text")
-        found = bounded_batches(sample).mapInArrow(run, "order long, at array<smallint>, value array<float>, target double").toArrow()
+        found = bounded_batches(sample).mapInArrow(released(run), "order long, at array<smallint>, value array<float>, target double").toArrow()
     if not found.num_rows:
         return Model(weak, None)
     found = found.take(np.argsort(found["order"].to_numpy(), kind="stable"))  # the model doesn't depend on the order of tasks

@@ -186,6 +186,16 @@ def test_unlinked_members_of_a_frequent_column(spark, monkeypatch):
     assert len(turns) <= 2 + np.log2(300 / 8) + 1 and sum(listed) <= 300 * 299 / 2
 
 
+def test_released_maps_pass_every_batch():
+    import pyarrow as pa
+
+    from glosswright.llm._common import released
+
+    batches = [pa.RecordBatch.from_arrays([pa.array(range(n))], names=["v"]) for n in (3, 0, 5)]
+    assert list(released(lambda found: (b.slice(0, 2) for b in found))(iter(batches))) == [b.slice(0, 2) for b in batches]
+    assert list(released(iter)(iter([]))) == []
+
+
 def test_bit_set_filters_lose_nothing(spark):
     from glosswright.llm._membership import among, bit_set, without
 
