@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from glosswright.llm._common import bounded_batches, released
+
 #: Bits of a set; 8 MB, whatever the number of values. Beyond some tens of millions of
 #: values it lets more and more wrong ones through, which costs time and no result.
 BITS = 1 << 26
@@ -30,18 +32,68 @@ def bit_set(values: DataFrame) -> np.ndarray:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            at = np.unique(_places(batch.column(0).to_numpy(zero_copy_only=False)))
-            if len(at):
-                word, first = np.unique(at >> 6, return_index=True)
-                bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
+            yield from _words(_places(batch.column(0).to_numpy(zero_copy_only=False)))
+
+    return _gathered(values.dropna().mapInArrow(released(run), "word long, bits long"))
+
+
+def _words(places: np.ndarray) -> Iterator[pa.RecordBatch]:
+    at = np.unique(places)
+    if len(at):
+        word, first = np.unique(at >> 6, return_index=True)
+        bits = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first)
+        yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(bits.view(np.int64))], names=["word", "bits"])
 
-    rows = values.dropna().mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+
+def _gathered(words: DataFrame) -> np.ndarray:
+    rows = words.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     out = np.zeros(BITS // 64, np.uint64)
     out[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return out
 
 
+def repeated(lists: DataFrame) -> np.ndarray:
+    """The set of the values that stand more than once in the lists of the only column.
+
+    Instead of values the last 36 bits of their hashes are dealt, by 12 of them and sorted,
+    at most two of each from one window, and as planes of bytes, of which the first
+    compresses well: three bytes a value at most. The few values whose bits are others', too, are let in.
+    """
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+
+        def dealt() -> pa.RecordBatch:
+            at = np.sort(mix(np.concatenate(held).view(np.uint64)) & np.uint64((1 << 36) - 1))
+            held.clear()
+            at = at[np.concatenate((np.ones(min(2, len(at)), bool), at[2:] != at[:-2]))]
+            bucket, first = np.unique(at >> np.uint64(24), return_index=True)
+            rest = at.astype("<u4").view(np.uint8).reshape(-1, 4)[:, 2::-1]
+            planes = [np.ascontiguousarray(x.T).tobytes() for x in np.split(rest, first[1:])]
+            return pa.RecordBatch.from_arrays([pa.array(bucket.astype(np.int32)), pa.array(planes, pa.binary())], names=["bucket", "planes"])
+
+        size = 0
+        for batch in batches:
+            held.append(batch.column(0).flatten().to_numpy())
+            size += len(held[-1])
+            if size >= 1 << 20:
+                yield dealt()
+                size = 0
+        if size:
+            yield dealt()
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, parts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                planes = [np.frombuffer(x, np.uint8).reshape(3, -1).astype(np.int64) for x in parts.as_py()]
+                rest = np.sort(np.concatenate([p[0] << 16 | p[1] << 8 | p[2] for p in planes]))
+                yield from _words((bucket << 24 | rest[1:][rest[1:] == rest[:-1]]) % BITS)
+
+    rows = bounded_batches(lists).mapInArrow(released(deal), "bucket int, planes binary")
+    buckets = rows.groupBy("bucket").agg(F.collect_list("planes").alias("planes"))
+    return _gathered(bounded_batches(buckets).mapInArrow(released(again), "word long, bits long"))
+
+
 def among(words: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Whether each value may be in the set; False is certain."""
     at = _places(values)

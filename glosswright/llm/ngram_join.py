@@ -1,7 +1,7 @@
 """N-gram Jaccard join: a blocked sparse product of the document by n-gram incidence.
 
 A row of the incidence matrix is a document's set of distinct word shingles, hashed to
-64 bits; the matrix is written once, 8 bytes an entry. Equal sets are one row, a node.
+64 bits; rows are made from the texts whenever they are read, as they are larger than these. Equal sets are one row, a node.
 Pairs count whose overlap reaches the size-derived bound
 
     100 * overlap >= percent * union,  that is  overlap >= percent/(100+percent) * (a+b).
@@ -14,9 +14,10 @@ in windows of WINDOW entries, of which a bit set of fixed size is broadcast. The
 over this block gives the pairs and a part of their overlap. What the rest can add is
 bounded by the entries behind the shorter prefix, so pairs below the bound go at once.
 
-Sketches. A node's counts by SKETCH blocks of columns bound the overlap from above; they
-are joined to the pairs first, and only pairs that they leave in reach have their sets
-shipped. A doc_id with several texts has several sketches, any of which may keep a pair.
+Sketches. Of finer blocks of columns, four to eight a shingle, those that hold an odd
+number in one row and an even one in the other bound the difference from below; their
+bits are joined to the pairs first, and only pairs that they leave in reach have their
+sets shipped. A doc_id with several texts has several sketches, any of which may keep a pair.
 
 Further blocks. For the pairs that are left the overlap is counted block by block over
 all columns, and a pair goes when its count and what is left of either row fall below
@@ -46,7 +47,7 @@ by either text. An empty table gives no rows; other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -54,9 +55,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from glosswright.llm._common import SLICE_ROWS, bounded_batches, materialize, utf8
+from glosswright.llm._common import SLICE_ROWS, bounded_batches, materialize, released, utf8
 from glosswright.llm._components import components
-from glosswright.llm._membership import among, bit_set, mix, without
+from glosswright.llm._membership import among, bit_set, mix, repeated, without
 from glosswright.sources.storage import Scratch, scratch
 
 #: Columns up to this many members list their pairs.
@@ -149,80 +150,102 @@ class Bounds:
         return count + rest >= F.expr(f"({self.percent} * ({a} + {b}) + {99 + self.percent}) div {100 + self.percent}")
 
 
-def _sets(docs: DataFrame, n: int) -> DataFrame:
-    """doc_id, n_shingles, the set's key in two halves, and the set."""
+def _texts(docs: DataFrame) -> DataFrame:
+    return bounded_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("text")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingle = Shingler(n)
-        for batch in batches:
-            for start in range(0, batch.num_rows, SLICE_ROWS):
-                part = batch.slice(start, SLICE_ROWS)
-                sets = [shingle(t) for t in part.column(1).to_pylist()]
-                raw = [s.tobytes() for s in sets]
-                keys = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, raw)), np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(keys[::2]), pa.array(keys[1::2]), pa.array(raw, pa.binary())],
-                    names=["doc_id", "n_shingles", "k1", "k2", "grams"],
-                )
 
-    rows = bounded_batches(docs.select(F.col("doc_id").cast("long"), utf8().alias("text")))
-    return rows.mapInArrow(run, "doc_id long, n_shingles long, k1 long, k2 long, grams binary")
+def _keys(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of each set's key."""
+    keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s.tobytes()) for s in sets), np.int64)
+    return keys[::2], keys[1::2]
 
 
-def _common(sets: DataFrame) -> DataFrame:
-    """The columns that windows of entries hold again and again."""
+def _rows(docs: DataFrame, n: int) -> DataFrame:
+    """doc_id, n_shingles, k1, k2 of each row; besides, gram and n of columns that a window of entries holds again and again."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+        shingle, held, size = Shingler(n), [], 0
+        names = ["doc_id", "n_shingles", "k1", "k2", "gram", "n"]
 
         def repeated() -> pa.RecordBatch:
             grams, counts = np.unique(np.concatenate(held), return_counts=True)
             held.clear()
             again = counts > 1
-            return pa.RecordBatch.from_arrays([pa.array(grams[again].view(np.int64)), pa.array(counts[again])], names=["gram", "n"])
+            columns = [pa.array(grams[again].view(np.int64)), pa.array(counts[again])]
+            return pa.RecordBatch.from_arrays([pa.nulls(len(columns[0]), pa.int64())] * 4 + columns, names=names)
 
-        size = 0
         for batch in batches:
-            for raw in batch.column(0).to_pylist():
-                held.append(np.frombuffer(raw, np.uint64))
-                size += len(held[-1])
-                if size >= WINDOW:
-                    yield repeated()
-                    size = 0
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                sets = [shingle(t) for t in part.column(1).to_pylist()]
+                k1, k2 = _keys(sets)
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), sizes, pa.array(k1), pa.array(k2), *[pa.nulls(len(sets), pa.int64())] * 2], names=names
+                )
+                for known, grams in zip(part.column(0).is_valid().to_pylist(), sets, strict=True):
+                    if known and len(grams):
+                        held.append(grams)
+                        size += len(grams)
+                        if size >= WINDOW:
+                            yield repeated()
+                            size = 0
         if held:
             yield repeated()
 
-    rows = bounded_batches(sets.select("grams")).mapInArrow(run, "gram long, n long")
-    return rows.groupBy("gram").agg(F.sum("n").alias("n")).filter(F.col("n") >= COMMON).select("gram")
+    return _texts(docs).mapInArrow(released(run), "doc_id long, n_shingles long, k1 long, k2 long, gram long, n long")
+
+
+def _wanted(docs: DataFrame, n: int, only: np.ndarray | None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, list[np.ndarray]]]]:
+    """Reads batches of _texts() as doc_ids and sets that aren't empty; only: a bit set that may hold the doc_ids that are wanted.
+
+    Sets are twice as large as the texts, so they are made from them each time and not stored.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(only)
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
+        shingle = Shingler(n)
+        for batch in batches:
+            batch = batch.filter(batch.column(0).is_valid())
+            if sent.value is not None:
+                batch = batch.filter(pa.array(among(sent.value, batch.column(0).to_numpy()), pa.bool_()))
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                sets = [shingle(t) for t in part.column(1).to_pylist()]
+                full = np.array([len(s) > 0 for s in sets], bool)
+                yield part.column(0).to_numpy()[full], [s for s in sets if len(s)]
+
+    return read
 
 
-def _prefixes(sets: DataFrame, common: np.ndarray, copies: np.ndarray, only: np.ndarray | None, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, n: int, common: np.ndarray, copies: np.ndarray, only: np.ndarray | None, percent: int) -> DataFrame:
     """node, k1, k2, size, prefix of sets that can have links; copy: may be a copy or a repeated row.
 
     only: a bit set that may hold the nodes that are wanted.
     """
-    sc = sets.sparkSession.sparkContext
-    sent_common, sent_copies, sent_only, bounds = sc.broadcast(common), sc.broadcast(copies), sc.broadcast(only), Bounds(percent)
+    sc = docs.sparkSession.sparkContext
+    sent_common, sent_copies, read, bounds = sc.broadcast(common), sc.broadcast(copies), _wanted(docs, n, only), Bounds(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if sent_only.value is not None:
-                batch = batch.filter(pa.array(among(sent_only.value, batch.column(0).to_numpy())))
-            wanted = [bounds.prefix(n) for n in batch.column(3).to_pylist()]
+        for ids, sets in read(batches):
+            wanted = [bounds.prefix(len(s)) for s in sets]
             prefixes = []
-            for raw, n in zip(batch.column(5).to_pylist(), wanted, strict=True):
-                grams = np.frombuffer(raw, np.int64)[: None if n else 0]
+            for grams, most in zip(sets, wanted, strict=True):
+                grams = grams.view(np.int64)[: None if most else 0]
                 last = among(sent_common.value, grams)
-                prefixes.append(np.concatenate((grams[~last][:n], grams[last]))[:n])
-            copy = pa.array(among(sent_copies.value, batch.column(4).to_numpy()))
+                prefixes.append(np.concatenate((grams[~last][:most], grams[last]))[:most])
+            k1, k2 = _keys(sets)
+            copy = pa.array(among(sent_copies.value, ids ^ k1), pa.bool_())
             offsets = np.concatenate(([0], np.cumsum([len(p) for p in prefixes]))).astype(np.int32)
             flat = np.concatenate(prefixes) if prefixes else np.empty(0, np.int64)
             lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-            out = pa.RecordBatch.from_arrays([*batch.columns[:4], copy, lists], names=["node", "k1", "k2", "size", "copy", "prefix"])
-            yield out.filter(pa.array([n > 0 for n in wanted], pa.bool_()))
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(k1), pa.array(k2), sizes, copy, lists], names=["node", "k1", "k2", "size", "copy", "prefix"]
+            )
+            yield out.filter(pa.array([most > 0 for most in wanted], pa.bool_()))
 
-    rows = sets.select("doc_id", "k1", "k2", "n_shingles", F.xxhash64("doc_id", "k1", "k2"), "grams")
-    return bounded_batches(rows).mapInArrow(run, "node long, k1 long, k2 long, size long, copy boolean, prefix array<long>")
+    return _texts(docs).mapInArrow(released(run), "node long, k1 long, k2 long, size long, copy boolean, prefix array<long>")
 
 
 def _postings(nodes: DataFrame, columns: np.ndarray) -> DataFrame:
@@ -238,7 +261,18 @@ def _postings(nodes: DataFrame, columns: np.ndarray) -> DataFrame:
             node, size = (batch.column(i).to_numpy()[row[held]] for i in (0, 1))
             yield pa.RecordBatch.from_arrays([pa.array(flat[held]), pa.array(node), pa.array(size)], names=["gram", "node", "size"])
 
-    return bounded_batches(nodes.select("node", "size", "prefix")).mapInArrow(run, "gram long, node long, size long")
+    return bounded_batches(nodes.select("node", "size", "prefix")).mapInArrow(released(run), "gram long, node long, size long")
+
+
+def _node_sets(docs: DataFrame, n: int, nodes: DataFrame) -> DataFrame:
+    """The rows (node, grams) of the nodes, and of a few others that the bit set lets through."""
+    read = _wanted(docs, n, bit_set(nodes))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for ids, sets in read(batches):
+            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "grams"])
+
+    return _texts(docs).mapInArrow(released(run), "node long, grams binary")
 
 
 def _sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -249,7 +283,7 @@ def _sets_of(sets: DataFrame, nodes: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(among(sent.value, batch.column(0).to_numpy())))
 
-    return bounded_batches(sets.select("node", "grams")).mapInArrow(run, "node long, grams binary")
+    return bounded_batches(sets.select("node", "grams")).mapInArrow(released(run), "node long, grams binary")
 
 
 def _linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
@@ -267,7 +301,7 @@ def _linked(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     left = _sets_of(sets, pairs.select("a")).toDF("a", "left")
     right = _sets_of(sets, pairs.select("b")).toDF("b", "right")
     both = pairs.join(right, "b").join(left, "a").select("a", "b", "left", "right")
-    return materialize(bounded_batches(both).mapInArrow(run, "a long, b long"), "join-links")
+    return materialize(bounded_batches(both).mapInArrow(released(run), "a long, b long"), "join-links")
 
 
 def _product(held: DataFrame, large: DataFrame, percent: int, last: bool) -> DataFrame:
@@ -291,14 +325,16 @@ def _product(held: DataFrame, large: DataFrame, percent: int, last: bool) -> Dat
 
 
 def classes(docs: DataFrame, n: int = 3, percent: int = 90, small_group: int = SMALL_GROUP) -> DataFrame:
-    """doc_id, n_shingles, component_id for each row of docs."""
+    """doc_id, n_shingles, component_id for each row of docs, which is read four times and must stay the same."""
     with scratch(docs.sparkSession) as tables:
-        sets = materialize(_sets(docs, n), "join-sets")
-        rows = materialize(sets.drop("grams"), "join-rows")
+        seen = materialize(_rows(docs, n), "join-rows")
+        rows = seen.filter("gram is null").select("doc_id", "n_shingles", "k1", "k2")
+        again = seen.filter("gram is not null").groupBy("gram").agg(F.sum("n").alias("n"))
+        common = bit_set(again.filter(F.col("n") >= COMMON).select("gram"))
         known = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
         firsts = materialize(rows.filter(known).groupBy("k1", "k2").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("size")), "join-firsts")
         copies = _copies(rows.filter(known), firsts)
-        labels = _labels(tables, sets, copies, percent, small_group)
+        labels = _labels(tables, docs, n, common, copies, percent, small_group)
         found = firsts.join(labels, "node", "left").select("k1", "k2", F.coalesce("label", "node").alias("component_id"))
         own = F.when(known, F.col("component_id")).otherwise(F.col("doc_id"))
         out = rows.join(found, ["k1", "k2"], "left").select("doc_id", "n_shingles", own.alias("component_id"))
@@ -312,24 +348,23 @@ def _copies(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     return materialize(held, "join-copies")
 
 
-def _labels(tables: Scratch, sets: DataFrame, copies: DataFrame, percent: int, small_group: int) -> DataFrame:
-    """(node, label) of the nodes that have links. sets goes on the way."""
-    usable = sets.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    again = bit_set(copies.select(F.xxhash64("doc_id", "k1", "k2")))
+def _labels(tables: Scratch, docs: DataFrame, n: int, common: np.ndarray, copies: DataFrame, percent: int, small_group: int) -> DataFrame:
+    """(node, label) of the nodes that have links."""
+    again = bit_set(copies.select(F.col("doc_id").bitwiseXOR(F.col("k1"))))
 
     def block(common: np.ndarray, only: np.ndarray | None) -> tuple[DataFrame, DataFrame]:
         """The entries (gram, node, size) of the prefixes in small and in frequent columns."""
-        prefixes = materialize(_prefixes(usable, common, again, only, percent), "join-prefixes")
+        prefixes = materialize(_prefixes(docs, n, common, again, only, percent), "join-prefixes")
         really = copies.filter("doc_id <> node").select(F.col("doc_id").alias("node"), "k1", "k2")
         others = prefixes.filter("copy").join(really, ["node", "k1", "k2"], "left_anti").dropDuplicates(["node", "k1", "k2"])
         nodes = prefixes.filter("not copy").unionByName(others.select(prefixes.columns))
-        entries = nodes.select(F.explode("prefix").alias("gram"))
-        columns = materialize(entries.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "join-columns")
-        held = materialize(_postings(nodes, bit_set(columns.select("gram"))).join(columns, "gram"), "join-postings")
-        tables.drop(prefixes, columns)
+        met = materialize(_postings(nodes, repeated(nodes.select("prefix"))), "join-met")
+        tables.drop(prefixes)
+        columns = met.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+        held = materialize(met.join(columns, "gram"), "join-postings")
+        tables.drop(met)
         return held.filter(F.col("n") <= small_group).drop("n"), held.filter(F.col("n") > small_group).drop("n")
 
-    common = bit_set(_common(usable))
     small, large = block(common, None)
     pairs = _product(small, large, percent, last=False)
     # pairs with frequent columns only have both ends here: these meet in other columns,
@@ -338,8 +373,7 @@ def _labels(tables: Scratch, sets: DataFrame, copies: DataFrame, percent: int, s
     small, large = block(common, bit_set(large.select("node").distinct()))
     pairs = materialize(pairs.unionByName(_product(small, large, percent, last=True)).distinct(), "join-pairs")
     ends = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).union(large.select("node")).distinct()
-    node_sets = materialize(_sets_of(usable.select(F.col("doc_id").alias("node"), "grams"), ends), "join-node-sets")
-    tables.drop(sets)
+    node_sets = materialize(_node_sets(docs, n, ends), "join-node-sets")
     sketches = materialize(_sketches(node_sets).distinct(), "join-sketches")
     pairs = materialize(_possible(pairs, sketches, percent), "join-possible")
     labels = components(_linked(node_sets, pairs, percent))
@@ -352,24 +386,24 @@ def _join_large(tables: Scratch, members: DataFrame, sets: DataFrame, sketches:
     pivots = members.groupBy("sig").agg(F.min("node").alias("pivot"))
     star = _apart(members, labels).join(pivots, "sig").groupBy("node").agg(F.min("pivot").alias("pivot"))
     star = star.select(F.col("pivot").alias("a"), F.col("node").alias("b")).filter("a <> b")
-    labels = _more(tables, sets, _possible(star, sketches, percent), labels, percent)
+    labels = _more(tables, sets, sketches, star, labels, percent)
     large = materialize(_apart(members, labels).select("sig", "node"), "join-apart")
     if large.isEmpty():
         return labels
     # by its columns a pair is listed in the first of them only
     own = large.groupBy("node").agg(F.collect_set("sig").alias("sigs"))
-    shared = materialize(own.join(sketches, "node"), "join-shared")
+    shared = materialize(own.join(sketches.drop("odd"), "node"), "join-shared")
     used = large.limit(0)
     for turn in range(64):
         pairs, pivots = _next_pivots(_apart(large, labels), shared, used, percent, turn)
         if pivots.isEmpty():
             break
-        labels = _more(tables, sets, pairs, labels, percent)
+        labels = _more(tables, sets, sketches, pairs, labels, percent)
         used = materialize(used.unionByName(pivots), "join-used")
     return labels
 
 
-def _more(tables: Scratch, sets: DataFrame, pairs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+def _more(tables: Scratch, sets: DataFrame, sketches: DataFrame, pairs: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
     """labels, after the pairs that they don't join are compared.
 
     What is linked already is one vertex, so only new links between components are
@@ -381,7 +415,9 @@ def _more(tables: Scratch, sets: DataFrame, pairs: DataFrame, labels: DataFrame,
             rows = rows.join(labels.select(F.col("node").alias(end), F.col("label").alias(f"label_{end}")), end, "left")
         return rows.select("a", "b", F.coalesce("label_a", "a").alias("label_a"), F.coalesce("label_b", "b").alias("label_b"))
 
-    pairs = materialize(labelled(pairs).filter("label_a <> label_b").select("a", "b").distinct(), "join-pairs")
+    listed = materialize(labelled(pairs).filter("label_a <> label_b").select("a", "b").distinct(), "join-pairs")
+    pairs = materialize(_possible(listed, sketches, percent), "join-possible")
+    tables.drop(listed)
     found = None if pairs.isEmpty() else _linked(sets, pairs, percent)
     tables.drop(pairs)
     if found is None or found.isEmpty():
@@ -402,18 +438,37 @@ def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _sketches(sets: DataFrame) -> DataFrame:
-    """node, held, sketch: a set's size and its counts by SKETCH blocks of the columns."""
+    """node, held, sketch, odd: a set's size, its counts by SKETCH blocks of the columns, and whether finer blocks hold an odd number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [np.frombuffer(g, np.uint64) for g in batch.column(1).to_pylist()]
             counts = [np.bincount((g % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.int32) for g in grams]
+            odd = pa.array(map(odd_blocks, grams), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(g) for g in grams], pa.int64()), pa.array(counts, pa.list_(pa.int32()))],
-                names=["node", "held", "sketch"],
+                [batch.column(0), pa.array([len(g) for g in grams], pa.int64()), pa.array(counts, pa.list_(pa.int32())), odd],
+                names=["node", "held", "sketch", "odd"],
             )
 
-    return bounded_batches(sets).mapInArrow(run, "node long, held long, sketch array<int>")
+    return bounded_batches(sets).mapInArrow(released(run), "node long, held long, sketch array<int>, odd binary")
+
+
+def odd_blocks(grams: np.ndarray) -> bytes:
+    """Bits that tell which column blocks hold an odd number of a set's shingles; four to eight blocks a shingle."""
+    blocks = 1 << max(6, (4 * len(grams) - 1).bit_length())
+    at = (grams & np.uint64(blocks - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=blocks) & 1).astype(bool), bitorder="little").tobytes()
+
+
+def least_apart(x: bytes, y: bytes) -> int:
+    """At least so many shingles are in one of two sets only, by their odd blocks: each block that differs holds one."""
+    if len(x) < len(y):
+        x, y = y, x
+    p, q = int.from_bytes(x, "little"), int.from_bytes(y, "little")
+    for i in range((len(x) // len(y)).bit_length() - 1):
+        half = 8 * len(x) >> (i + 1)
+        p = (p >> half) ^ (p & ((1 << half) - 1))
+    return (p ^ q).bit_count()
 
 
 def _can_link(percent: int, a: Column, b: Column) -> Column:
@@ -426,11 +481,19 @@ def _can_link(percent: int, a: Column, b: Column) -> Column:
 
 
 def _possible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sketches leave the bound within reach, so that only their sets are shipped."""
-    x, y = (sketches.select(*(F.col(c).alias(f"{c}_{end}") for c in sketches.columns)) for end in "ab")
-    both = pairs.join(x, F.col("a") == F.col("node_a")).join(y, F.col("b") == F.col("node_b"))
-    a, b = (F.struct(F.col(f"held_{end}").alias("held"), F.col(f"sketch_{end}").alias("sketch")) for end in "ab")
-    return both.filter(_can_link(percent, a, b)).select("a", "b").distinct()
+    """The pairs (a, b) whose odd blocks leave the bound within reach, so that only their sets are shipped."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, x, y = (batch.column(i).to_pylist() for i in range(2, 6))
+            kept = [
+                max(abs(m - n), least_apart(p, q)) * (100 + percent) <= (100 - percent) * (m + n) for m, n, p, q in zip(a, b, x, y, strict=True)
+            ]
+            yield batch.filter(pa.array(kept, pa.bool_())).select([0, 1])
+
+    x, y = (sketches.select(F.col("node").alias(end), F.col("held").alias(f"held_{end}"), F.col("odd").alias(f"odd_{end}")) for end in "ab")
+    both = pairs.join(x, "a").join(y, "b").select("a", "b", "held_a", "held_b", "odd_a", "odd_b")
+    return bounded_batches(both).mapInArrow(released(run), "a long, b long").distinct()
 
 
 def _next_pivots(members: DataFrame, shared: DataFrame, used: DataFrame, percent: int, turn: int) -> tuple[DataFrame, DataFrame]:

@@ -186,6 +186,44 @@ def test_unlinked_members_of_a_frequent_column(spark, monkeypatch):
     assert len(turns) <= 2 + np.log2(300 / 8) + 1 and sum(listed) <= 300 * 299 / 2
 
 
+def test_join_stores_no_sets_of_unpaired_documents(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(80))) for i in range(60)]
+    rows += [(60 + i, rows[0][1] + f" x{i}") for i in range(2)]
+    stored, write = {}, ngram_join.materialize
+
+    def counted(df, name):
+        table = write(df, name)
+        if "grams" in table.columns:
+            stored[name] = table.count()
+        return table
+
+    monkeypatch.setattr(ngram_join, "materialize", counted)
+    got = sorted(tuple(r) for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == brute_components(rows, 3, 90) and sum(stored.values()) <= 3
+
+
+def test_odd_blocks_bound_the_difference():
+    rng = np.random.default_rng(8)
+    grams = rng.integers(0, 2**63, 9000).astype(np.uint64)
+    for size, other, shared in ((1, 1, 0), (1, 1, 1), (3, 40, 2), (16, 17, 16), (300, 290, 270), (4000, 5000, 3900)):
+        x, y = grams[:size], grams[size - shared : size - shared + other]
+        found, apart = ngram_join.least_apart(ngram_join.odd_blocks(x), ngram_join.odd_blocks(y)), size + other - 2 * shared
+        assert found == ngram_join.least_apart(ngram_join.odd_blocks(y), ngram_join.odd_blocks(x))
+        assert 0.6 * apart - 3 <= found <= apart and found % 2 == apart % 2
+
+
+def test_repeated_values_are_all_found(spark):
+    from glosswright.llm._membership import among, repeated
+
+    rng = np.random.default_rng(5)
+    alone, twice = rng.integers(-(2**63), 2**63 - 1, (2, 3000))
+    rows = [([int(v) for v in part],) for part in np.array_split(np.concatenate((alone, twice, twice, twice[:9])), 40)] + [([],)]
+    words = repeated(spark.createDataFrame(rows, "v array<long>").repartition(4))
+    assert among(words, twice).all() and among(words, alone).mean() < 0.01
+    assert not repeated(spark.createDataFrame([], "v array<long>")).any()
+
+
 def test_released_maps_pass_every_batch():
     import pyarrow as pa
 
