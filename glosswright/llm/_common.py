@@ -2,16 +2,15 @@
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Callable, Iterator, Sequence
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from glosswright.sources.storage import materialize, shared_dir
+from glosswright.sources.storage import give_back, materialize, shared_dir
 
-__all__ = ["arrow_filter", "arrow_map", "ascii_lower", "bounded_batches", "first_rows", "materialize", "released", "shared_dir", "table", "utf8"]
+__all__ = ["arrow_filter", "arrow_map", "ascii_lower", "bounded_batches", "first_rows", "give_back", "materialize", "released", "shared_dir", "table", "utf8"]
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -66,12 +65,6 @@ def released(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
     Workers are used again by later tasks of other steps, and idle ones stay for a while.
     """
 
-    def give_back() -> None:
-        pa.default_memory_pool().release_unused()
-        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
-        if trim:
-            trim(0)
-
     def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         give_back()
         yield from run(batches)

@@ -28,6 +28,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glosswright.llm._common import arrow_filter, arrow_map, bounded_batches, first_rows, materialize, released, utf8
+from glosswright.llm._common import arrow_filter, arrow_map, bounded_batches, first_rows, give_back, materialize, released, utf8
 from glosswright.sources.storage import scratch
 
 #: Documents the scorer is trained on at most, the first by hash.
@@ -227,6 +228,8 @@ def _pattern_counts(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 #: Words weigh less than shapes: there are more of them, and each is rarer.
 WORD_WEIGHT = 0.5
+#: Features that training goes through at once.
+_FEATURES = 1 << 16
 _STEPS = np.array([[zlib.crc32(b"%d:%d" % (i, k)) % SHAPES for k in range(16)] for i in range(len(_STATS))])
 
 
@@ -254,15 +257,26 @@ class Scorer:
 def fit_scorer(at: np.ndarray, value: np.ndarray, doc: np.ndarray, target: np.ndarray, rounds: int = 120, ridge: float = 1e-4) -> Scorer:
     """Logistic regression on soft targets by Adam over the whole sample.
 
-    at, value, doc: dimension, value and document of each feature that isn't 0.
+    at, value, doc: dimension, value and document of each feature that isn't 0, by document.
+    They are gone through some _FEATURES at a time, so that nothing else of their length is
+    held; a dimension's sum goes on where the last one ended, so it is the same to the last bit.
     """
     n = len(target)
     w = np.zeros(DIMENSIONS + 1)
     m, v = np.zeros_like(w), np.zeros_like(w)
+    ends = np.searchsorted(doc, doc[_FEATURES - 1 :: _FEATURES], "right").tolist()
+    blocks = [slice(*x) for x in pairwise(sorted({0, *ends, len(at)}))]
+    every = np.arange(DIMENSIONS)
     for t in range(1, rounds + 1):
-        z = np.bincount(doc, w[at] * value, n) + w[-1]
+        z = np.full(n, w[-1])
+        for b in blocks:
+            low, high = doc[b.start], doc[b.stop - 1] + 1
+            z[low:high] = np.bincount(doc[b] - low, w[at[b]] * value[b]) + w[-1]
         error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
-        g = np.append(np.bincount(at, error[doc] * value, DIMENSIONS), error.sum())
+        g = np.zeros(DIMENSIONS)
+        for b in blocks:
+            g = np.bincount(np.concatenate((every, at[b])), np.concatenate((g, error[doc[b]] * value[b])))
+        g = np.append(g, error.sum())
         g[:-1] += ridge * w[:-1]
         m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
         w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
@@ -310,8 +324,13 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
         return Model(weak, None)
     found = found.take(np.argsort(found["order"].to_numpy(), kind="stable"))  # the model doesn't depend on the order of tasks
     at, value = (found[c].combine_chunks() for c in ("at", "value"))
-    doc = np.repeat(np.arange(found.num_rows, dtype=np.int32), np.diff(at.offsets.to_numpy()))
-    return Model(weak, fit_scorer(at.flatten().to_numpy().astype(np.int32), value.flatten().to_numpy(), doc, found["target"].to_numpy()))
+    target = found["target"].to_numpy()
+    del found
+    doc = np.repeat(np.arange(len(target), dtype=np.int32), np.diff(at.offsets.to_numpy()))
+    model = Model(weak, fit_scorer(at.flatten().to_numpy(), value.flatten().to_numpy(), doc, target))
+    del at, value, doc
+    give_back()
+    return model
 
 
 def report(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:

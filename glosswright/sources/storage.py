@@ -3,13 +3,17 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import re
 import shutil
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import pyarrow as pa
+from py4j.protocol import Py4JError
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -17,8 +21,12 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: reading, and a file is split between them.
 _ROW_GROUP = 16 << 20
 
+#: Seconds between two calls of tidy() that do something, and how many times as long as the last one took.
+_TIDY_S, _TIDY_TIMES = 10, 50
+
 _local_dir: list[str] = []
 _open: list[Scratch] = []
+_tidy_at = [0.0]
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -58,11 +66,53 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
         df.write.option("parquet.block.size", _ROW_GROUP).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
+    tidy(spark)
     table = spark.read.schema(df.schema).parquet(path)
     table._scratch_path = path
     return table
 
 
+def give_back() -> None:
+    """Hands this process' free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def tidy(spark: SparkSession) -> None:
+    """Hands the driver's free memory back to the system, in Python and in its JVM; most calls do nothing.
+
+    A step of some hundred jobs leaves plans, broadcasts and what the JVM's compiler freed
+    behind, and a JVM with room in its heap keeps all of that. The time between two calls
+    that collect garbage grows with the time that takes.
+    """
+    began = time.monotonic()
+    if began < _tidy_at[0]:
+        return
+    give_back()
+    spark.sparkContext._jvm.System.gc()
+    trim_jvm(spark)
+    took = time.monotonic() - began
+    _tidy_at[0] = began + max(_TIDY_S, _TIDY_TIMES * took)
+
+
+def trim_jvm(spark: SparkSession) -> str:
+    """The JVM's answer to System.trim_native_heap; empty where it doesn't know that."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    of = jvm.java.lang.Class.forName
+    kinds, args = gateway.new_array(jvm.java.lang.Class, 4), gateway.new_array(jvm.java.lang.Object, 4)
+    for i, kind in enumerate(("javax.management.ObjectName", "java.lang.String", "[Ljava.lang.Object;", "[Ljava.lang.String;")):
+        kinds[i] = of(kind)
+    try:
+        args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+        # the server's own class isn't open to Py4J, its interface is
+        invoke = of("javax.management.MBeanServerConnection").getMethod("invoke", kinds)
+        return str(invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args))
+    except Py4JError:
+        return ""
+
+
 class Scratch:
     """The tables materialised since scratch() began."""
 

@@ -436,6 +436,51 @@ def test_toxicity_features_equal_brute_force():
         assert f["seed_count"] == sum(k[1] for k in known) and f["shouted"] == sum(len(w) > 2 and w.isupper() for w in ws) / n and f["exclaims"] == t.count("!") / chars
 
 
+def test_scorer_training_holds_a_bounded_part_of_the_features():
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    n = 3000
+    doc = np.repeat(np.arange(n, dtype=np.int32), rng.integers(1, 400, n))
+    at, value = rng.integers(0, quality.DIMENSIONS, len(doc)).astype(np.int16), rng.random(len(doc), dtype=np.float32)
+    target = rng.random(n)
+    tracemalloc.start()
+    got = quality.fit_scorer(at, value, doc, target, rounds=3)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 8 * len(doc)  # one copy of the features as doubles
+    # the same training over all features at once
+    w = np.zeros(quality.DIMENSIONS + 1)
+    m, v = np.zeros_like(w), np.zeros_like(w)
+    for t in range(1, 4):
+        z = np.bincount(doc, w[at] * value, n) + w[-1]
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / n
+        g = np.append(np.bincount(at, error[doc] * value, quality.DIMENSIONS), error.sum())
+        g[:-1] += 1e-4 * w[:-1]
+        m, v = 0.9 * m + 0.1 * g, 0.999 * v + 0.001 * g * g
+        w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
+    assert (got.weights == w[:-1]).all() and got.bias == w[-1]
+
+
+def test_materialize_hands_the_drivers_memory_back(spark, monkeypatch):
+    from glosswright.sources import storage
+
+    beans = spark.sparkContext._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    full = [b for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName()]
+    counts = lambda: sum(b.getCollectionCount() for b in full)
+    monkeypatch.setattr(storage, "_tidy_at", [0.0])
+    before = counts()
+    storage.discard(storage.materialize(spark.range(3).toDF("x"), "tidy"))
+    after = counts()
+    assert after > before
+    for _ in range(3):  # soon after, nothing is done
+        storage.tidy(spark)
+    assert counts() == after
+    assert storage.trim_jvm(spark) == "" or "Trim native heap" in storage.trim_jvm(spark)
+
+
 def test_labeller_accuracies_are_recovered():
     import numpy as np
 
