@@ -29,12 +29,14 @@ nodes that share frequent columns alone are both among them, so they meet in a r
 one. In columns that are frequent even then, those of large families or of documents
 that are little more than a common passage, each member first meets one pivot, the smallest member of its columns; what is
 of one component then needs no comparing. Where components remain apart, pivots of
-them, twice as many in each round, meet the members of other components, dealt by
-sub-blocks of SUB_BLOCK members. A sketch (counts by SKETCH blocks of columns) bounds
-the overlap from above, and pairs below the bound aren't listed. So a column of n
-members takes at most 1 + log2(n / 128) rounds after the first, lists each pair once,
-and only pairs that the sketch can't tell from linked ones. The work is quadratic only
-in members of one column that are in different components and look alike by counts.
+them, few at first and four times as many in each round, meet the members of other
+components, dealt by sub-blocks of SUB_BLOCK members: a family is mostly one component
+before many of its links are listed. A sketch (odd blocks as above, but 64 * SKETCH
+whatever the set's size) bounds the difference from below, and pairs out of reach
+aren't listed. So a column of n members takes at most 1 + log4(1 + n / 5) rounds after
+the first, lists each pair once, and only pairs that the sketch can't tell from linked
+ones. The work is quadratic only in members of one column that are in different
+components and look alike by sketches.
 
 Shingles and set keys are hashes: two different shingles are taken for the same with a
 probability of 2^-64, two different sets with one of 2^-128.
@@ -63,11 +65,11 @@ from glosswright.sources.storage import Scratch, scratch
 #: Columns up to this many members list their pairs.
 SMALL_GROUP = 16
 #: Members of a frequent column that meet all others in the first round: of its largest and of its smallest components.
-PIVOTS = (16, 112)
+PIVOTS = (2, 14)
 #: Members of a frequent column that one key deals out.
 SUB_BLOCK = 4096
-#: Column blocks of a sketch, which bounds the overlap before a pair is listed.
-SKETCH = 64
+#: Words of 64 column blocks in a sketch, which bounds the difference before a pair is listed.
+SKETCH = 32
 #: Column blocks of a pair's exact count.
 BLOCKS = 8
 #: Entries of a window, and entries in windows that make a column common.
@@ -395,7 +397,7 @@ def _join_large(tables: Scratch, members: DataFrame, sets: DataFrame, sketches:
     shared = materialize(own.join(sketches.drop("odd"), "node"), "join-shared")
     used = large.limit(0)
     for turn in range(64):
-        pairs, pivots = _next_pivots(_apart(large, labels), shared, used, percent, turn)
+        pairs, pivots = _next_pivots(_labelled(large, labels), shared, used, percent, turn)
         if pivots.isEmpty():
             break
         labels = _more(tables, sets, sketches, pairs, labels, percent)
@@ -432,30 +434,39 @@ def _more(tables: Scratch, sets: DataFrame, sketches: DataFrame, pairs: DataFram
 
 def _apart(members: DataFrame, labels: DataFrame) -> DataFrame:
     """The members, with labels, of columns that hold more than one component."""
-    labelled = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    labelled = _labelled(members, labels)
     mixed = labelled.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low < high")
     return labelled.join(mixed.select("sig"), "sig")
 
 
+def _labelled(members: DataFrame, labels: DataFrame) -> DataFrame:
+    """The members with labels; one without links is its own."""
+    return members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def _sketches(sets: DataFrame) -> DataFrame:
-    """node, held, sketch, odd: a set's size, its counts by SKETCH blocks of the columns, and whether finer blocks hold an odd number."""
+    """node, held, sketch, odd: a set's size, and whether column blocks hold an odd number, 64 * SKETCH blocks and as many as fit the size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             grams = [np.frombuffer(g, np.uint64) for g in batch.column(1).to_pylist()]
-            counts = [np.bincount((g % np.uint64(SKETCH)).astype(np.int64), minlength=SKETCH).astype(np.int32) for g in grams]
+            words = [np.frombuffer(_odd(g, 64 * SKETCH), np.int64) for g in grams]
             odd = pa.array(map(odd_blocks, grams), pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(g) for g in grams], pa.int64()), pa.array(counts, pa.list_(pa.int32())), odd],
+                [batch.column(0), pa.array([len(g) for g in grams], pa.int64()), pa.array(words, pa.list_(pa.int64())), odd],
                 names=["node", "held", "sketch", "odd"],
             )
 
-    return bounded_batches(sets).mapInArrow(released(run), "node long, held long, sketch array<int>, odd binary")
+    return bounded_batches(sets).mapInArrow(released(run), "node long, held long, sketch array<long>, odd binary")
 
 
 def odd_blocks(grams: np.ndarray) -> bytes:
     """Bits that tell which column blocks hold an odd number of a set's shingles; four to eight blocks a shingle."""
-    blocks = 1 << max(6, (4 * len(grams) - 1).bit_length())
+    return _odd(grams, 1 << max(6, (4 * len(grams) - 1).bit_length()))
+
+
+def _odd(grams: np.ndarray, blocks: int) -> bytes:
+    """The bits for a power of two of blocks."""
     at = (grams & np.uint64(blocks - 1)).astype(np.int64)
     return np.packbits((np.bincount(at, minlength=blocks) & 1).astype(bool), bitorder="little").tobytes()
 
@@ -474,9 +485,10 @@ def least_apart(x: bytes, y: bytes) -> int:
 def _can_link(percent: int, a: Column, b: Column) -> Column:
     """Whether the sketches of a and b leave the bound within reach.
 
-    The sets differ by at least as many shingles as their counts by block do.
+    Each block that is odd in one of the sets only holds a shingle by which they differ.
     """
-    apart = F.aggregate(F.zip_with(a["sketch"], b["sketch"], lambda x, y: F.abs(x - y)), F.lit(0), lambda x, y: x + y)
+    apart = F.aggregate(F.zip_with(a["sketch"], b["sketch"], lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    apart = F.greatest(apart, F.abs(a["held"] - b["held"]))
     return apart * (100 + percent) <= (100 - percent) * (a["held"] + b["held"])
 
 
@@ -501,10 +513,10 @@ def _next_pivots(members: DataFrame, shared: DataFrame, used: DataFrame, percent
 
     The next pivots are members of the column's largest components, which are the
     likeliest to reach the rest, and of its smallest, which are the rest; each turn
-    takes twice as many. Members that were pivots have met everyone; a column is done
+    takes four times as many. Members that were pivots have met everyone; a column is done
     when the others are one component.
     """
-    members = members.join(used, ["sig", "node"], "left_anti")
+    members = materialize(members.join(used, ["sig", "node"], "left_anti").select("sig", "node", "label"), "join-unmet")
     mixed = members.groupBy("sig").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("size"))
     blocks = F.ceil(F.col("size") / SUB_BLOCK).cast("int").alias("blocks")
     members = members.join(mixed.filter("low < high").select("sig", blocks), "sig")
@@ -517,7 +529,7 @@ def _next_pivots(members: DataFrame, shared: DataFrame, used: DataFrame, percent
         place = F.row_number().over(Window.partitionBy("sig").orderBy(mates, "node"))
         return ranked.withColumn("place", place).filter(F.col("place") <= n).select("sig", "node", "label", "blocks")
 
-    best = first(F.desc("mates"), PIVOTS[0] << turn).unionByName(first(F.asc("mates"), PIVOTS[1] << turn))
+    best = first(F.desc("mates"), PIVOTS[0] << 2 * turn).unionByName(first(F.asc("mates"), PIVOTS[1] << 2 * turn))
     best = materialize(best.dropDuplicates(["sig", "node"]), "join-pivots")
     dealt = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
     a = best.select("sig", "node", "label", dealt).join(shared, "node").alias("a")

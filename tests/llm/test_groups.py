@@ -186,6 +186,23 @@ def test_unlinked_members_of_a_frequent_column(spark, monkeypatch):
     assert len(turns) <= 2 + np.log2(300 / 8) + 1 and sum(listed) <= 300 * 299 / 2
 
 
+def test_large_family_lists_few_pairs(spark, monkeypatch):
+    """A family of near copies, many of them too far apart: the pairs listed don't grow with its square."""
+    rng = random.Random(3)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for i in range(500):
+        words = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(words)))
+    listed, possible = [], ngram_join._possible
+    monkeypatch.setattr(ngram_join, "_possible", lambda pairs, *a: (listed.append(pairs.count()), possible(pairs, *a))[1])
+    got = sorted(tuple(r) for r in ngram_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), 5, 80).collect())
+    assert got == brute_components(rows, 5, 80)
+    assert sum(listed) <= 10 * len(rows)
+
+
 def test_join_stores_no_sets_of_unpaired_documents(spark, monkeypatch):
     rng = random.Random(4)
     rows = [(i, " ".join(f"w{rng.randrange(10**9)}" for _ in range(80))) for i in range(60)]
